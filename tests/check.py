@@ -12,7 +12,7 @@ import __spark_entry__ as entry  # noqa: E402
 
 sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
 names = sys.argv[2:]
-spark = get_spark("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+spark = get_spark("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
                                          "spark.driver.memory": "16g", "spark.driver.bindAddress": "127.0.0.1", "spark.driver.host": "127.0.0.1"})
 spark.sparkContext.setLogLevel("ERROR")
 con = duck(sf)

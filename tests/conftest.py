@@ -11,7 +11,7 @@ from tidemark.session import get_spark  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = get_spark("tests", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g",
         "spark.driver.bindAddress": "127.0.0.1", "spark.driver.host": "127.0.0.1"})
     session.sparkContext.setLogLevel("ERROR")
     if not session.conf.get("spark.checkpoint.dir", None):

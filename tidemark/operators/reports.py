@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions import month_of, rate
 from tidemark.operators.marts import HORIZONS
 
-TREND_YEARS = (2023, 2024)
-
 
 def _sums(*names: str) -> list[Column]:
     return [F.sum(n).alias(n) for n in names]
@@ -81,34 +79,37 @@ def period_comparison(daily: DataFrame, baseline_year: int, comparison_year: int
     return pairs.select(F.inline("m")).withColumn("percent_change", change)
 
 
-def leader(df: DataFrame, label: str, name: str, value: str, highest: bool = True, keep: Column | None = None) -> DataFrame:
-    """Arg-max or arg-min with a name tie-break, as one aggregate row; no row when nothing qualifies."""
-    key = F.struct(F.col(value).cast("double").alias("value"), F.col(name).alias("name"))
-    usable = F.col(value).isNotNull() if keep is None else keep
-    best = F.max(key) if highest else F.min(key)
-    picked = df.where(usable).agg(best.alias("k")).where(F.col("k").isNotNull())
-    return picked.select(F.lit(label).alias("highlight"), F.col("k.name").alias("leader"), F.col("k.value").alias("value"))
+def leaders(df: DataFrame, name: str, wanted: Sequence[tuple[str, str, bool]]) -> DataFrame:
+    """Arg-max / arg-min rows of one frame in a single aggregate, ties broken by name.
+
+    ``wanted`` lists (label, value column, highest?).  The lowest is taken among positive values only; a label
+    without a qualifying row yields no row.
+    """
+    def best(label: str, value: str, highest: bool) -> Column:
+        key = F.struct(F.col(value).cast("double").alias("value"), F.col(name).alias("leader"))
+        usable = F.col(value).isNotNull() if highest else F.col(value) > 0
+        pick = (F.max if highest else F.min)(F.when(usable, key))
+        return F.struct(F.lit(label).alias("highlight"), pick["leader"].alias("leader"), pick["value"].alias("value"))
+
+    return df.agg(F.array(*[best(*w) for w in wanted]).alias("a")).select(F.inline("a")).where(F.col("leader").isNotNull())
 
 
 def channel_highlights(channels: DataFrame) -> DataFrame:
-    name = "acquisition_channel"
-    return (
-        leader(channels, "highest_install_volume", name, "installation_count")
-        .union(leader(channels, "highest_signup_conversion", name, "install_to_signup_rate"))
-        .union(leader(channels, "lowest_cost_per_install", name, "cost_per_install_gbp", False,
-                      F.col("cost_per_install_gbp") > 0))
-        .union(leader(channels, "highest_marketing_spend", name, "marketing_spend_gbp"))
-    )
+    return leaders(channels, "acquisition_channel", [
+        ("highest_install_volume", "installation_count", True),
+        ("highest_signup_conversion", "install_to_signup_rate", True),
+        ("lowest_cost_per_install", "cost_per_install_gbp", False),
+        ("highest_marketing_spend", "marketing_spend_gbp", True),
+    ])
 
 
 def business_leaders(channels: DataFrame, retention_by_channel: DataFrame, features: DataFrame) -> DataFrame:
-    return (
-        leader(channels, "best_signup_channel", "acquisition_channel", "install_to_signup_rate")
-        .union(leader(channels, "lowest_positive_cpi", "acquisition_channel", "cost_per_install_gbp", False,
-                      F.col("cost_per_install_gbp") > 0))
-        .union(leader(retention_by_channel, "best_d365_channel", "acquisition_channel", "paid_retention_d365"))
-        .union(leader(features, "top_feature", "feature_name", "feature_use_event_count"))
-    )
+    """Best signup channel, cheapest install, best one-year retention and top feature."""
+    by_channel = leaders(channels, "acquisition_channel", [
+        ("best_signup_channel", "install_to_signup_rate", True), ("lowest_positive_cpi", "cost_per_install_gbp", False)])
+    return by_channel.union(
+        leaders(retention_by_channel, "acquisition_channel", [("best_d365_channel", "paid_retention_d365", True)])
+    ).union(leaders(features, "feature_name", [("top_feature", "feature_use_event_count", True)]))
 
 
 # --- engagement and money -------------------------------------------------------------------------------
@@ -129,7 +130,7 @@ def feature_share(daily_features: DataFrame) -> DataFrame:
 
 
 def top_feature(daily_features: DataFrame) -> DataFrame:
-    return leader(feature_share(daily_features), "top_feature", "feature_name", "feature_use_event_count")
+    return leaders(feature_share(daily_features), "feature_name", [("top_feature", "feature_use_event_count", True)])
 
 
 def revenue(daily: DataFrame, *by: Column | str, renewals: bool = False) -> DataFrame:
