@@ -156,23 +156,24 @@ def mature_values(outcomes: DataFrame, plan: DataFrame) -> DataFrame:
         F.round(F.col(column) * 100).cast("long").alias("minor_units"))
 
 
-def blocks(values: DataFrame, within: Sequence[str], max_blocks: int, seed: str) -> DataFrame:
-    """Hash-ordered blocks of equal size, at most ``max_blocks`` per group, with their user count and sum.
+def blocks(df: DataFrame, within: Sequence[str], key: str, sums: Sequence[str], max_blocks: int, seed: str) -> DataFrame:
+    """Hash-ordered blocks of equal size, at most ``max_blocks`` per group, with row count and sums.
 
-    Up to ``max_blocks`` users every block is one user and resampling blocks is resampling users.  Beyond,
-    blocks keep the work per replicate constant however many users an experiment has.
+    Up to ``max_blocks`` rows every block is one row and resampling blocks is resampling rows.  Beyond,
+    blocks keep the work per replicate constant however many rows a group has.
     """
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("assignment_id")))
-    hashed = values.withColumn("__h", order)
-    ranked = ordered_prefix(hashed, [F.col("__h"), F.col("assignment_id")], [F.substring("__h", 1, 3)], {"rank": F.lit(1)}, list(within))
-    sizes = values.groupBy(*within).agg(F.count(F.lit(1)).alias("__n"))
+    hashed = df.withColumn("__h", F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))))
+    ranked = ordered_prefix(hashed, [F.col("__h"), F.col(key)], [F.substring("__h", 1, 3)], {"rank": F.lit(1)}, list(within))
+    if within:
+        sized = ranked.join(df.groupBy(*within).agg(F.count(F.lit(1)).alias("__n")), list(within))
+    else:
+        sized = ranked.withColumn("__n", df.agg(F.count(F.lit(1))).scalar())
     width = F.ceil(F.col("__n") / F.lit(float(max_blocks)))
-    return ranked.join(sizes, list(within)).groupBy(
-        *within, F.floor((F.col("rank") - 1) / width).cast("long").alias("block")
-    ).agg(F.count(F.lit(1)).alias("users"), F.sum("minor_units").alias("minor_units"))
+    return sized.groupBy(*within, F.floor((F.col("rank") - 1) / width).cast("long").alias("block")).agg(
+        F.count(F.lit(1)).alias("users"), *[F.sum(c).alias(c) for c in sums])
 
 
-def _replicated(df: DataFrame, replicates: int) -> DataFrame:
+def replicated(df: DataFrame, replicates: int) -> DataFrame:
     """Every (bounded) block once per replicate, spread over all tasks before it is unfolded."""
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(tasks, *df.columns).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
@@ -197,7 +198,7 @@ def bootstrap_mean_diff(values: DataFrame, replicates: int = 10_000, alpha: floa
     Poisson weights approximate multinomial resampling; they let each block be drawn independently.
     """
     within = ["experiment_id", "metric_key", "variant"]
-    drawn = _replicated(blocks(values, within, max_blocks, "bootstrap"), replicates)
+    drawn = replicated(blocks(values, within, "assignment_id", ["minor_units"], max_blocks, "bootstrap"), replicates)
     weight = poisson_weight(uniform("experiment_id", "variant", F.col("block").cast("string"), F.col("replicate").cast("string")))
     w = drawn.withColumn("w", weight)
     mean = lambda arm: F.try_divide(
@@ -228,7 +229,7 @@ def permutation_test(values: DataFrame, replicates: int = 10_000, max_blocks: in
     Each replicate orders the pooled blocks by a fresh hash and calls the first ones control, as many as
     make up the control arm (exactly, when blocks are single users).
     """
-    pooled = blocks(values, ["experiment_id", "metric_key"], max_blocks, "permutation")
+    pooled = blocks(values, ["experiment_id", "metric_key"], "assignment_id", ["minor_units"], max_blocks, "permutation")
     m = arm_moments(values).select("experiment_id", "metric_key", "control_count", "treatment_count", "control_minor_units", "treatment_minor_units")
     n1, n2 = F.col("control_count").cast("double"), F.col("treatment_count").cast("double")
     observed = m.withColumns({
@@ -237,7 +238,7 @@ def permutation_test(values: DataFrame, replicates: int = 10_000, max_blocks: in
         "width": F.ceil((n1 + n2) / F.lit(float(max_blocks))),
     }).withColumn("quota", F.round(n1 / F.col("width")).cast("long"))
     key = ["experiment_id", "metric_key"]
-    shuffled = _replicated(pooled, replicates).withColumn("draw", F.md5(F.concat_ws(
+    shuffled = replicated(pooled, replicates).withColumn("draw", F.md5(F.concat_ws(
         ":", F.lit("perm"), "experiment_id", F.col("block").cast("string"), F.col("replicate").cast("string"))))
     # At most max_blocks rows per (experiment, replicate), so this window is bounded by construction.
     order = Window.partitionBy(*key, "replicate").orderBy("draw", "block")
