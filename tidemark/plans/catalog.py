@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from tidemark.plans import experiment_queries, mart_queries, scoring_queries
+from tidemark.plans import experiment_queries, ingest_queries, mart_queries, scoring_queries
 from tidemark.sources import Warehouse
 
 CATALOG: dict[str, Callable[[Warehouse], DataFrame]] = {
     **mart_queries.QUERIES,
     **experiment_queries.QUERIES,
     **scoring_queries.QUERIES,
+    **ingest_queries.QUERIES,
 }
