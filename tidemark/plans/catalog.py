@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from tidemark.plans import experiment_queries, ingest_queries, mart_queries, scoring_queries
+from tidemark.plans import experiment_queries, ingest_queries, mart_queries, scoring_queries, warehouse_queries
 from tidemark.sources import Warehouse
 
 CATALOG: dict[str, Callable[[Warehouse], DataFrame]] = {
@@ -14,4 +14,5 @@ CATALOG: dict[str, Callable[[Warehouse], DataFrame]] = {
     **experiment_queries.QUERIES,
     **scoring_queries.QUERIES,
     **ingest_queries.QUERIES,
+    **warehouse_queries.QUERIES,
 }

@@ -72,11 +72,13 @@ def snapshot_audit(spark: SparkSession, source_dir: str, contracts: list[Contrac
     expected = spark.createDataFrame([(c.dataset,) for c in contracts], "dataset string").withColumn("expected", F.lit(True))
     # The list of dataset names is bounded by the folder's contracts, not by the data.
     present = {r.dataset for r in files.select("dataset").toLocalIterator()}
+    # The reader refuses plans that touch nothing but the malformed column, hence the look at a data column.
+    broken = lambda first: F.col(MALFORMED).isNotNull() & F.coalesce(F.length(first) >= 0, F.lit(True))
     counts = None
     for c in contracts:
         if c.dataset in present:
             one = scan_contract(spark, f"{source_dir}/{c.dataset}.csv", c).groupBy(F.lit(c.dataset).alias("dataset")).agg(
-                F.count(F.lit(1)).alias("row_count"), F.count(MALFORMED).alias("malformed_count"))
+                F.count(F.lit(1)).alias("row_count"), F.count_if(broken(c.columns[0])).alias("malformed_count"))
             counts = one if counts is None else counts.unionByName(one)
     audit = expected.join(files, "dataset", "full_outer")
     audit = audit.join(counts, "dataset", "left") if counts is not None else audit.withColumns(
