@@ -7,35 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def _tagged(kind: str, text: Column) -> Column:
-    return F.to_json(F.array(F.lit(kind), text))
-
-
-def canonical_value(name: str, dtype: str) -> Column:
-    """``["type","text"]`` of one value; equal decimals and equal instants give equal text."""
-    c = F.col(name)
+def canonical_value(name: str, dtype: str) -> str:
+    """SQL text of ``["type","text"]`` for one value; equal decimals and equal instants give equal text."""
+    c = f"`{name}`"
     if dtype == "boolean":
-        tagged = _tagged("boolean", c.cast("string"))
+        kind, text = "boolean", f"CAST({c} AS STRING)"
     elif dtype in ("tinyint", "smallint", "int", "bigint"):
-        tagged = _tagged("integer", c.cast("string"))
+        kind, text = "integer", f"CAST({c} AS STRING)"
     elif dtype.startswith("decimal"):
-        plain = c.cast("decimal(38,18)").cast("string")
-        tagged = _tagged("decimal", F.when(c == 0, "0").otherwise(F.regexp_replace(F.regexp_replace(plain, "0+$", ""), r"\.$", "")))
+        plain = f"CAST(CAST({c} AS DECIMAL(38,18)) AS STRING)"
+        kind, text = "decimal", f"CASE WHEN {c} = 0 THEN '0' ELSE regexp_replace({plain}, '[.]?0+$', '') END"
     elif dtype.startswith("timestamp"):
-        tagged = _tagged("timestamp", F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+        kind, text = "timestamp", f"date_format({c}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")"
     elif dtype == "date":
-        tagged = _tagged("date", F.date_format(c, "yyyy-MM-dd"))
+        kind, text = "date", f"date_format({c}, 'yyyy-MM-dd')"
     elif dtype == "string":
-        tagged = _tagged("string", c)
+        kind, text = "string", c
     else:
         raise TypeError(f"no canonical text for {dtype}")
-    return F.when(c.isNull(), '["null",null]').otherwise(tagged)
+    return f"""CASE WHEN {c} IS NULL THEN '["null",null]' ELSE to_json(array('{kind}', {text})) END"""
 
 
 def canonical_payload(df: DataFrame, dataset: str, columns: Sequence[str] | None = None) -> Column:
+    """``{"dataset":...,"fields":[[column,[type,text]],...]}`` as one column expression."""
     kinds = dict(df.dtypes)
-    fields = [F.concat(F.lit(f'["{c}",'), canonical_value(c, kinds[c]), F.lit("]")) for c in columns or df.columns]
-    return F.concat(F.lit(f'{{"dataset":"{dataset}","fields":['), F.concat_ws(",", *fields), F.lit("]}"))
+    fields = ", ',', ".join(f"""'["{c}",', {canonical_value(c, kinds[c])}, ']'""" for c in columns or df.columns)
+    return F.expr(f"""concat('{{"dataset":"{dataset}","fields":[', {fields}, ']}}')""")
 
 
 def row_hash(df: DataFrame, dataset: str, columns: Sequence[str] | None = None) -> Column:

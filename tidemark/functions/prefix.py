@@ -20,20 +20,17 @@ def ordered_prefix(
     therefore spread over as many tasks as it has buckets.  ``bucket`` values come from the data, so a
     recomputed task lands on the same slice.
     """
-    within = within or []
-    names = [f"__b{i}" for i in range(len(bucket))]
-    tagged = df.select("*", *[b.alias(n) for n, b in zip(names, bucket)],
+    # One struct key per slice: it is never NULL itself, NULL fields compare equal, and the window, the totals and
+    # the join all use it, so the rows are shuffled exactly once.
+    group = F.struct(*within) if within else F.lit(0)
+    tagged = df.select("*", F.struct(group.alias("g"), F.struct(*[b.alias(f"b{i}") for i, b in enumerate(bucket)]).alias("b")).alias("__k"),
                        *[m.alias(f"__m_{k}") for k, m in measures.items()])
-    keys = [*within, *names]
-    totals = tagged.groupBy(*keys).agg(*[F.sum(f"__m_{k}").alias(f"__t_{k}") for k in measures])
-    over_buckets = (Window.partitionBy(*within) if within else Window.partitionBy()).orderBy(*names)
+    totals = tagged.groupBy("__k").agg(*[F.sum(f"__m_{k}").alias(f"__t_{k}") for k in measures])
+    over_buckets = (Window.partitionBy("__k.g") if within else Window.partitionBy()).orderBy("__k.b")
     before = over_buckets.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *[F.col(c).alias(f"__k_{c}") for c in keys],
-        *[F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0)).alias(f"__o_{k}") for k in measures],
-    )
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        F.col("__k").alias("__j"), *[F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0)).alias(f"__o_{k}") for k in measures])
+    inside = Window.partitionBy("__k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = tagged.select("*", *[F.sum(f"__m_{k}").over(inside).alias(f"__l_{k}") for k in measures])
-    match = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in keys]
-    joined = local.join(offsets, match)
+    joined = local.join(offsets, F.col("__k") == F.col("__j"))
     return joined.select(*df.columns, *[(F.col(f"__l_{k}") + F.col(f"__o_{k}")).alias(k) for k in measures])

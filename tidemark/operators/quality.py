@@ -6,7 +6,7 @@ that fills a third of a table arrives as one row per task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -38,38 +38,41 @@ def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
+def _rule(terms: list[str]) -> Column:
+    """One predicate from many short terms; NULL terms do not count."""
+    return F.expr(" OR ".join(f"coalesce({t}, false)" for t in terms) or "false")
+
+
 def null_violation(contract: Contract) -> Column:
     """A required field is missing, or a text is blank."""
-    missing = [F.col(f.name).isNull() for f in contract.fields if not f.nullable]
-    blank = [F.coalesce(F.trim(f.name) == "", F.lit(False)) for f in contract.fields if f.kind == "string"]
-    return _any(missing + blank)
+    missing = [f"{f.name} IS NULL" for f in contract.fields if not f.nullable]
+    return _rule(missing + [f"trim({f.name}) = ''" for f in contract.fields if f.kind == "string"])
 
 
 def domain_violation(contract: Contract) -> Column:
     """Surrounding blanks, a value outside its domain, or out of range."""
-    out: list[Column] = []
+    out: list[str] = []
     for f in contract.fields:
-        c = F.col(f.name)
         if f.kind == "string":
-            out.append(c != F.trim(c))
+            out.append(f"{f.name} <> trim({f.name})")
         if f.allowed is not None:
-            out.append(~c.isin(*f.allowed))
+            out.append(f"{f.name} NOT IN ({', '.join(repr(v) for v in f.allowed)})")
         if f.low is not None:
-            out.append(c < f.low)
+            out.append(f"{f.name} < {f.low}")
         if f.high is not None:
-            out.append(c > f.high)
-    return _any([F.coalesce(c, F.lit(False)) for c in out])
+            out.append(f"{f.name} > {f.high}")
+    return _rule(out)
 
 
 def row_violation(contract: Contract) -> Column:
     return null_violation(contract) | domain_violation(contract)
 
 
-def nullability(tables: dict[str, DataFrame], rules: dict[str, Contract]) -> DataFrame:
+def nullability(tables: Mapping[str, DataFrame], rules: dict[str, Contract]) -> DataFrame:
     return stacked([row_checks(df, n, {f"{n}_nullability": ("nullability", null_violation(rules[n]))}) for n, df in tables.items()])
 
 
-def domains(tables: dict[str, DataFrame], rules: dict[str, Contract]) -> DataFrame:
+def domains(tables: Mapping[str, DataFrame], rules: dict[str, Contract]) -> DataFrame:
     return stacked([row_checks(df, n, {f"{n}_domain": ("domain", domain_violation(rules[n]))}) for n, df in tables.items()])
 
 
@@ -82,7 +85,7 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return per_key.agg((F.sum("n") - distinct).alias("violation_count"))
 
 
-def uniqueness(tables: dict[str, DataFrame], rules: dict[str, Contract]) -> DataFrame:
+def uniqueness(tables: Mapping[str, DataFrame], rules: dict[str, Contract]) -> DataFrame:
     primary = [(n, f"{n}_{rules[n].key}_unique", [rules[n].key]) for n in tables]
     extra = [
         ("installations", "installations_anonymous_id_unique", ["anonymous_id"]),
@@ -118,7 +121,7 @@ REFERENCES = [
 ]
 
 
-def referential(tables: dict[str, DataFrame]) -> DataFrame:
+def referential(tables: Mapping[str, DataFrame]) -> DataFrame:
     out = []
     for child, parent, keys, check in REFERENCES:
         rows = tables[child]
@@ -135,7 +138,7 @@ def _before(child: DataFrame, parent: DataFrame, key: str, at: str, floor: str)
     return child.select(key, at).join(parent.select(key, floor), key).agg(F.count_if(F.col(at) < F.col(floor)).alias("violation_count"))
 
 
-def chronology(tables: dict[str, DataFrame]) -> DataFrame:
+def chronology(tables: Mapping[str, DataFrame]) -> DataFrame:
     c, cat = F.col, "chronology"
     t = tables
     users, inst = t["users"], t["installations"]
@@ -164,7 +167,7 @@ def chronology(tables: dict[str, DataFrame]) -> DataFrame:
 
 # --- events against entities ------------------------------------------------------------------------------
 
-def event_entity_counts(tables: dict[str, DataFrame]) -> DataFrame:
+def event_entity_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Lifecycle events against the entities they announce: six differences from one count per table."""
     name = F.col("event_name")
     kinds = ["app_install", "signup", "trial_started", "subscription_started", "subscription_renewed", "payment_failed"]
@@ -187,7 +190,7 @@ def event_entity_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return both.select(F.inline(entries))
 
 
-def event_timestamp_match(tables: dict[str, DataFrame]) -> DataFrame:
+def event_timestamp_match(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Entities without an event of the expected name at the expected time, in one anti join for all four kinds."""
     expected = [
         ("installations", "installation_app_install_timestamp_match", "app_install", "installation_id", "installed_at"),
@@ -207,7 +210,7 @@ def event_timestamp_match(tables: dict[str, DataFrame]) -> DataFrame:
         "dataset_name", F.lit("reconciliation").alias("category"), "check_name", F.coalesce("violation_count", F.lit(0)).alias("violation_count"))
 
 
-def snapshot_bounds(tables: dict[str, DataFrame], snapshot_at: Column, times: dict[str, Sequence[str]], max_rows: int) -> DataFrame:
+def snapshot_bounds(tables: Mapping[str, DataFrame], snapshot_at: Column, times: dict[str, Sequence[str]], max_rows: int) -> DataFrame:
     """Times not before the snapshot moment, and tables outside the agreed scale."""
     out = []
     for n, columns in times.items():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import count_when, days, elapsed_seconds, hours, ordered_prefix, rate
 from tidemark.operators.inference import blocks, poisson_weight, replicated, uniform
@@ -132,12 +132,11 @@ def split_summary(split: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("row_count"), F.sum(LABEL).alias("converted_count"), rate(F.sum(LABEL), F.count(F.lit(1))).alias("conversion_rate"),
         F.min(day).alias("earliest_trial_date"), F.max(day).alias("latest_trial_date"),
         (F.count_distinct(LABEL) == 2).alias("has_both_classes")).withColumn("position", order)
-    # Four rows at most: the self-join compares each split with the earlier ones.
-    earlier = per.select(F.col("position").alias("p0"), F.col("latest_trial_date").alias("d0"))
-    overlaps = per.join(earlier, F.col("p0") < F.col("position"), "left").groupBy("split").agg(F.max("d0").alias("before"))
-    return per.join(overlaps, "split").select(
+    # The window sees the four splits, not their rows.
+    earlier = F.max("latest_trial_date").over(Window.orderBy("position").rowsBetween(Window.unboundedPreceding, -1))
+    return per.select(
         "split", "row_count", "converted_count", "conversion_rate", "earliest_trial_date", "latest_trial_date", "has_both_classes",
-        F.coalesce(F.col("before") < F.col("earliest_trial_date"), F.lit(True)).alias("starts_after_earlier_splits"))
+        F.coalesce(earlier < F.col("earliest_trial_date"), F.lit(True)).alias("starts_after_earlier_splits"))
 
 
 def temporal_folds(rows: DataFrame, folds: int = 5) -> DataFrame:

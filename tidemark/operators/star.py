@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import date_key, ordered_prefix
+from tidemark.functions.lazy import LazyFrames
 from tidemark.operators.marts import date_dimension, day_bounds
 from tidemark.operators.quality import stacked
 
@@ -19,7 +21,7 @@ def surrogate_key() -> Column:
     return F.shiftleft(F.col("ingestion_batch_id"), ROW_BITS) + F.col("source_row_number")
 
 
-def dense_keys(df: DataFrame, order: str = "source_row_number", width: int = 65_536) -> DataFrame:
+def dense_keys(df: DataFrame, order: str = "source_row_number", width: int = 1 << 20) -> DataFrame:
     """Identity numbers 1..n in source row order, ranked inside row-number ranges instead of one task."""
     return ordered_prefix(df, [F.col(order)], [F.floor(F.col(order) / width)], {"surrogate_key": F.lit(1)})
 
@@ -45,7 +47,7 @@ DATASET_OF = {
 }
 
 
-def dim_date(staging: dict[str, DataFrame]) -> DataFrame:
+def dim_date(staging: Mapping[str, DataFrame]) -> DataFrame:
     """Calendar over every dated column, so no fact loses its day."""
     return date_dimension(day_bounds(*[(staging[DATASET_OF[t]], c) for t, c, _ in DATED]))
 
@@ -115,24 +117,29 @@ def fact_marketing_spend(s: DataFrame, build: int) -> DataFrame:
                        "acquisition_channel", "spend", "impressions", "clicks")
 
 
-def build_star(staging: dict[str, DataFrame], build: int) -> dict[str, DataFrame]:
-    """All dimensions and facts of one build."""
-    i = dim_installation(staging["installations"], build)
-    u = dim_user(staging["users"], i, build)
-    x = dim_experiment(staging["experiment_assignments"], build)
-    s = fact_subscription(staging["subscriptions"], i, u, build)
-    return {
-        "dim_installation": i, "dim_user": u, "dim_experiment": x, "dim_app_release": dim_app_release(staging["app_releases"], build),
-        "fact_product_event": fact_product_event(staging["product_events"], i, u, build), "fact_subscription": s,
-        "fact_subscription_transaction": fact_subscription_transaction(staging["subscription_transactions"], s, i, u, build),
-        "fact_experiment_assignment": fact_experiment_assignment(staging["experiment_assignments"], i, u, x, build),
-        "fact_marketing_spend": fact_marketing_spend(staging["marketing_spend"], build),
-    }
+def build_star(staging: Mapping[str, DataFrame], build: int) -> LazyFrames:
+    """All dimensions and facts of one build, each described when it is first read."""
+    star: LazyFrames
+    t = lambda name: star[name]
+    star = LazyFrames({
+        "dim_installation": lambda: dim_installation(staging["installations"], build),
+        "dim_user": lambda: dim_user(staging["users"], t("dim_installation"), build),
+        "dim_experiment": lambda: dim_experiment(staging["experiment_assignments"], build),
+        "dim_app_release": lambda: dim_app_release(staging["app_releases"], build),
+        "fact_product_event": lambda: fact_product_event(staging["product_events"], t("dim_installation"), t("dim_user"), build),
+        "fact_subscription": lambda: fact_subscription(staging["subscriptions"], t("dim_installation"), t("dim_user"), build),
+        "fact_subscription_transaction": lambda: fact_subscription_transaction(
+            staging["subscription_transactions"], t("fact_subscription"), t("dim_installation"), t("dim_user"), build),
+        "fact_experiment_assignment": lambda: fact_experiment_assignment(
+            staging["experiment_assignments"], t("dim_installation"), t("dim_user"), t("dim_experiment"), build),
+        "fact_marketing_spend": lambda: fact_marketing_spend(staging["marketing_spend"], build),
+    })
+    return star
 
 
 # --- counts and reconciliation ----------------------------------------------------------------------------
 
-def dataset_counts(tables: dict[str, DataFrame], alias: str) -> DataFrame:
+def dataset_counts(tables: Mapping[str, DataFrame], alias: str) -> DataFrame:
     """Rows per batch and dataset."""
     return stacked([df.groupBy("ingestion_batch_id").agg(F.count(F.lit(1)).alias(alias)).select(
         "ingestion_batch_id", F.lit(n).alias("dataset_name"), alias) for n, df in tables.items()])
@@ -157,7 +164,7 @@ def layer_reconciliation(upper: DataFrame, lower: DataFrame, upper_count: str, l
         "ingestion_batch_id", "dataset_name", upper_count, low.alias(lower_count), delta.alias("row_count_delta"), (delta == 0).alias("reconciled"))
 
 
-def lineage_reconciliation(staging: dict[str, DataFrame], analytics: dict[str, DataFrame], keys: dict[str, str]) -> DataFrame:
+def lineage_reconciliation(staging: Mapping[str, DataFrame], analytics: Mapping[str, DataFrame], keys: dict[str, str]) -> DataFrame:
     """Staged rows missing in the analytics layer, or there with another row number, hash or run.
 
     The analytics side is reduced to one row per key first, so repeated keys never multiply.
@@ -192,13 +199,17 @@ def build_authorisation(batches: DataFrame, validations: DataFrame, promotions:
 
 def build_reconciliation(reconciliation: DataFrame, assignments: DataFrame, experiment: DataFrame) -> DataFrame:
     """Analytics rows must equal staged rows plus the derived experiment rows."""
-    sums = reconciliation.groupBy("ingestion_batch_id").agg(
+    b = "ingestion_batch_id"
+    sums = reconciliation.groupBy(b).agg(
         F.count(F.lit(1)).alias("dataset_count"), F.count_if("reconciled").alias("reconciled_count"),
         F.sum("staging_row_count").alias("staging_row_count"), F.sum("analytics_row_count").alias("fact_row_count"))
-    staged = assignments.groupBy("ingestion_batch_id").agg(F.count_distinct("experiment_id").alias("staged_experiments"))
-    built = experiment.groupBy("ingestion_batch_id").agg(F.count(F.lit(1)).alias("built_experiments"))
+    staged = assignments.groupBy(b).agg(F.count_distinct("experiment_id").alias("staged_experiments"))
+    made = experiment.groupBy(b).agg(F.count(F.lit(1)).alias("built_experiments"))
+    # The three per-batch totals are stacked and folded; nothing is joined.
+    folded = sums.unionByName(staged, allowMissingColumns=True).unionByName(made, allowMissingColumns=True)
+    measures = [c for c in folded.columns if c != b]
     total = F.col("fact_row_count") + F.col("built_experiments")
-    return sums.join(staged, "ingestion_batch_id").join(built, "ingestion_batch_id").select(
+    return folded.groupBy(b).agg(*[F.max(c).alias(c) for c in measures]).select(
         "*", total.alias("analytics_row_count"), (F.col("staged_experiments") == F.col("built_experiments")).alias("experiments_reconciled"),
         (total == F.col("staging_row_count") + F.col("staged_experiments")).alias("rows_reconciled"))
 
@@ -218,7 +229,7 @@ def _differs(name: str) -> Column:
     return ~F.col(name).eqNullSafe(F.col(f"built_{name}"))
 
 
-def relationship_checks(staging: dict[str, DataFrame], star: dict[str, DataFrame], keys: dict[str, str]) -> DataFrame:
+def relationship_checks(staging: Mapping[str, DataFrame], star: Mapping[str, DataFrame], keys: dict[str, str]) -> DataFrame:
     """Facts joined back to their dimensions must name the same business ids as the staged rows."""
     b = "ingestion_batch_id"
     ids = {"installation": ("dim_installation", "installation_key", "installation_id"), "user": ("dim_user", "user_key", "user_id"),
@@ -246,19 +257,25 @@ def relationship_checks(staging: dict[str, DataFrame], star: dict[str, DataFrame
     return stacked(out).withColumn("passed", F.col("violation_count") == 0)
 
 
-def date_key_checks(star: dict[str, DataFrame], calendar: DataFrame) -> DataFrame:
+def date_key_checks(star: Mapping[str, DataFrame], calendar: DataFrame) -> DataFrame:
     """Every date key must exist in the calendar and name the UTC day of its time.
 
-    Facts collapse to their distinct (day, key) pairs before the calendar is joined.
+    Each fact is read once for all its dates and collapses to distinct (day, key) pairs; the calendar is joined
+    once, to the pairs of all tables together.
     """
-    days = calendar.select(F.col("date_key").alias("k"), "full_date")
-    out = []
+    dates: dict[str, list[tuple[str, str]]] = {}
     for table, at, key in DATED:
-        pairs = star[table].where(F.col(at).isNotNull()).groupBy(F.to_date(at).alias("day"), F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-        bad = F.coalesce(F.sum(F.when(~F.col("full_date").eqNullSafe(F.col("day")), F.col("n"))), F.lit(0))
-        out.append(pairs.join(days, "k", "left").agg(bad.alias("violation_count")).select(
-            F.lit(table).alias("table_name"), F.lit(key).alias("date_key_column"), "violation_count"))
-    return stacked(out)
+        dates.setdefault(table, []).append((at, key))
+    pairs = []
+    for table, columns in dates.items():
+        entries = F.expr("array(" + ", ".join(f"named_struct('date_key_column', '{k}', 'day', CAST({at} AS DATE), 'date_key', {k})" for at, k in columns) + ")")
+        pairs.append(star[table].select(F.lit(table).alias("table_name"), F.inline(entries)).where(F.col("day").isNotNull())
+                     .groupBy("table_name", "date_key_column", "day", "date_key").agg(F.count(F.lit(1)).alias("n")))
+    wrong = F.coalesce(F.sum(F.when(~F.col("full_date").eqNullSafe(F.col("day")), F.col("n"))), F.lit(0))
+    counted = stacked(pairs).join(calendar.select("date_key", "full_date"), "date_key", "left").groupBy("table_name", "date_key_column").agg(wrong.alias("found"))
+    names = calendar.sparkSession.createDataFrame([(t, k) for t, _, k in DATED], "table_name string, date_key_column string")
+    return names.join(counted, ["table_name", "date_key_column"], "left").select(
+        "table_name", "date_key_column", F.coalesce("found", F.lit(0)).alias("violation_count"))
 
 
 def build_control_check(reconciliation: DataFrame, experiment: DataFrame, table_count: int, expected_tables: int = 10) -> DataFrame:

@@ -90,5 +90,7 @@ def compose(body: str, shared: dict[str, str]) -> str:
     """Prefix ``body`` with the sources and shared steps it mentions, in definition order."""
     everything = {**SOURCES, **shared}
     needed = _needed(body, everything)
-    ctes = [f"{name} AS ({text.strip()}\n)" for name, text in everything.items() if name in needed]
+    texts = [body, *[everything[n] for n in needed]]
+    uses = {n: sum(len(re.findall(rf"\b{n}\b", t)) for t in texts) for n in needed}
+    ctes = [f"{name} AS {'MATERIALIZED ' if uses[name] > 1 else ''}({text.strip()}\n)" for name, text in everything.items() if name in needed]
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body.strip()

@@ -15,7 +15,8 @@ from tidemark.operators.registry import metric_registry
 from tidemark.plans import experiment_queries as eq
 from tidemark.plans import mart_queries as mq
 from tidemark.sources import Warehouse
-from tidemark.sources.layers import BATCH, BUILD, RULES, Layers
+from tidemark.functions.lazy import LazyFrames
+from tidemark.sources.layers import BATCH, RULES, layers
 
 KEYS = {n: c.key for n, c in RULES.items()}
 DATED_COLUMNS = {
@@ -24,20 +25,20 @@ DATED_COLUMNS = {
 }
 
 
-def raw(w: Warehouse) -> dict[str, DataFrame]:
-    return Layers(w).raw
+def raw(w: Warehouse) -> LazyFrames:
+    return layers(w).raw
 
 
-def staging(w: Warehouse) -> dict[str, DataFrame]:
-    return Layers(w).staging
+def staging(w: Warehouse) -> LazyFrames:
+    return layers(w).staging
 
 
-def built(w: Warehouse) -> dict[str, DataFrame]:
-    return star.build_star(staging(w), BUILD)
+def built(w: Warehouse) -> LazyFrames:
+    return layers(w).star
 
 
-def by_dataset(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    return {dataset: tables[t] for t, dataset in star.DATASET_OF.items()}
+def by_dataset(tables: LazyFrames) -> LazyFrames:
+    return LazyFrames({dataset: (lambda t=t: tables[t]) for t, dataset in star.DATASET_OF.items()})
 
 
 def raw_files(w: Warehouse) -> DataFrame:
@@ -49,20 +50,17 @@ def raw_files(w: Warehouse) -> DataFrame:
 
 
 def staging_recon(w: Warehouse) -> DataFrame:
-    layers = Layers(w)
-    return star.layer_reconciliation(star.dataset_counts(layers.raw, "raw_row_count"), star.dataset_counts(layers.staging, "staging_row_count"),
+    return star.layer_reconciliation(star.dataset_counts(raw(w), "raw_row_count"), star.dataset_counts(staging(w), "staging_row_count"),
                                      "raw_row_count", "staging_row_count")
 
 
 def analytics_recon(w: Warehouse) -> DataFrame:
-    s = staging(w)
-    return star.layer_reconciliation(star.dataset_counts(s, "staging_row_count"),
-                                     star.dataset_counts(by_dataset(star.build_star(s, BUILD)), "analytics_row_count"), "staging_row_count", "analytics_row_count")
+    return star.layer_reconciliation(star.dataset_counts(staging(w), "staging_row_count"),
+                                     star.dataset_counts(by_dataset(built(w)), "analytics_row_count"), "staging_row_count", "analytics_row_count")
 
 
 def lineage(w: Warehouse) -> DataFrame:
-    s = staging(w)
-    return star.lineage_reconciliation(s, by_dataset(star.build_star(s, BUILD)), KEYS)
+    return star.lineage_reconciliation(staging(w), by_dataset(built(w)), KEYS)
 
 
 def table(name: str, w: Warehouse) -> DataFrame:
@@ -74,7 +72,7 @@ def table(name: str, w: Warehouse) -> DataFrame:
 def all_checks(w: Warehouse) -> DataFrame:
     """The whole raw catalogue: row reconciliation, events against entities, keys, references, time order, nulls, domains."""
     t = raw(w)
-    recon = star.raw_reconciliation(raw_files(w), star.dataset_counts(Layers(w).staging, "actual_row_count")).select(
+    recon = star.raw_reconciliation(raw_files(w), star.dataset_counts(staging(w), "actual_row_count")).select(
         "dataset_name", F.lit("reconciliation").alias("category"), F.concat("dataset_name", F.lit("_raw_reconciliation")).alias("check_name"),
         F.when(F.col("reconciled"), 0).otherwise(1).cast("long").alias("violation_count"))
     return quality.check_results([

@@ -69,20 +69,20 @@ def snapshot_audit(spark: SparkSession, source_dir: str, contracts: list[Contrac
     name = F.regexp_extract("path", r"/([^/]+)\.csv(?:/|$)", 1)
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(source_dir)
              .select(name.alias("dataset"), "length").groupBy("dataset").agg(F.count(F.lit(1)).alias("file_count"), F.sum("length").alias("bytes")))
-    expected = spark.createDataFrame([(c.dataset,) for c in contracts], "dataset string").withColumn("expected", F.lit(True))
     # The list of dataset names is bounded by the folder's contracts, not by the data.
     present = {r.dataset for r in files.select("dataset").toLocalIterator()}
     # The reader refuses plans that touch nothing but the malformed column, hence the look at a data column.
     broken = lambda first: F.col(MALFORMED).isNotNull() & F.coalesce(F.length(first) >= 0, F.lit(True))
-    counts = None
+    audit = spark.createDataFrame([(c.dataset,) for c in contracts], "dataset string").withColumn("expected", F.lit(True)).unionByName(
+        files, allowMissingColumns=True)
     for c in contracts:
         if c.dataset in present:
-            one = scan_contract(spark, f"{source_dir}/{c.dataset}.csv", c).groupBy(F.lit(c.dataset).alias("dataset")).agg(
-                F.count(F.lit(1)).alias("row_count"), F.count_if(broken(c.columns[0])).alias("malformed_count"))
-            counts = one if counts is None else counts.unionByName(one)
-    audit = expected.join(files, "dataset", "full_outer")
-    audit = audit.join(counts, "dataset", "left") if counts is not None else audit.withColumns(
-        {"row_count": F.lit(None).cast("long"), "malformed_count": F.lit(None).cast("long")})
-    status = F.when(F.col("file_count").isNull(), "missing").when(F.col("expected").isNull(), "unexpected").otherwise("present")
-    return audit.select("dataset", status.alias("status"), F.coalesce("row_count", F.lit(0)).alias("row_count"),
-                        F.coalesce("malformed_count", F.lit(0)).alias("malformed_count"))
+            audit = audit.unionByName(scan_contract(spark, f"{source_dir}/{c.dataset}.csv", c).agg(
+                F.lit(c.dataset).alias("dataset"), F.count(F.lit(1)).alias("row_count"), F.count_if(broken(c.columns[0])).alias("malformed_count")),
+                allowMissingColumns=True)
+    for c in ("row_count", "malformed_count"):
+        if c not in audit.columns:
+            audit = audit.withColumn(c, F.lit(None).cast("long"))
+    status = F.when(F.max("file_count").isNull(), "missing").when(F.max("expected").isNull(), "unexpected").otherwise("present")
+    return audit.groupBy("dataset").agg(status.alias("status"), F.coalesce(F.max("row_count"), F.lit(0)).alias("row_count"),
+                                        F.coalesce(F.max("malformed_count"), F.lit(0)).alias("malformed_count"))

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions import days
 from tidemark.functions.canonical import row_hash
+from tidemark.functions.lazy import LazyFrames
 from tidemark.operators.quality import row_violation
+from tidemark.operators.star import build_star
 from tidemark.sources.contracts import BILLING, EVENTS, PAYMENT_STATUSES, PLATFORMS, RELEASE_TYPES, ROLLOUTS, STATUSES, TRANSACTION_TYPES, VARIANTS, Contract, Field
 from tidemark.sources.tables import Warehouse
 
@@ -69,44 +71,68 @@ class Layers:
         return rows.select("*", row_hash(rows, dataset, columns).alias("row_hash"), F.lit(BATCH).cast("long").alias("ingestion_batch_id"))
 
     @cached_property
-    def raw(self) -> dict[str, DataFrame]:
+    def raw(self) -> LazyFrames:
         w, c = self.w, F.col
-        events = w.product_events.withColumn("anonymous_id", F.concat(F.lit("anon_"), c("installation_id").cast("string")))
-        orders = w.table("orders").select(c("o_orderkey").alias("subscription_id"), c("o_totalprice").cast("decimal(18,2)").alias("price_gbp"),
-                                          c("o_orderstatus").alias("s"), c("o_custkey").alias("user_id"), c("o_custkey").alias("installation_id"),
-                                          c("o_orderdate").alias("at"), c("o_orderpriority").alias("p"))
-        subscriptions = orders.select(
-            "subscription_id", "user_id", "installation_id", F.when(c("p").isin("1-URGENT", "2-HIGH"), "annual").otherwise("monthly").alias("billing_period"),
-            "price_gbp", F.when(c("s") == "F", "expired").when(c("s") == "O", "active").otherwise("trialing").alias("status"),
-            (c("at") - days(7)).alias("trial_started_at"), c("at").alias("trial_ends_at"), F.when(c("s") != "P", c("at")).alias("subscription_started_at"),
-            F.when(c("s") == "F", c("at") + days(((c("subscription_id") * 13) % 500).cast("int"))).alias("expired_at"))
-        transactions = w.transactions.select(
-            "*", F.concat_ws("_", c("subscription_id").cast("string"), c("billing_cycle_number").cast("string")).alias("transaction_id"),
-            c("user_id").alias("installation_id"), F.lit(1).alias("attempt_number"))
-        assignments = w.experiment_assignments.withColumn("allocation_probability", c("allocation_probability").cast("decimal(9,6)")).join(
-            w.experiments.select("experiment_id", c("start_at").alias("experiment_start_at"), c("end_at").alias("experiment_end_at"),
-                                 "primary_metric", "analysis_window_days"), "experiment_id")
-        spend = w.marketing_spend.withColumn("marketing_spend_id", F.concat_ws("_", c("period_start").cast("string"), "acquisition_channel"))
-        day = F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'") + days((c("p_partkey") % 30).cast("int"))
-        size = c("p_size")
-        releases = w.table("part").select(
-            c("p_partkey").alias("app_release_id"), c("p_brand").alias("release_key"), c("p_name").alias("release_name"), size.alias("release_sequence"),
-            F.when(c("p_partkey") % 2 == 0, "ios").otherwise("android").alias("platform"), F.concat(F.lit("1."), size.cast("string")).alias("version"),
-            day.alias("release_at"), F.when(c("p_type") == "ECONOMY", "major").when(c("p_type") == "SMALL", "minor").otherwise(F.lower("p_type")).alias("release_type"),
-            F.when(c("p_partkey") % 2 == 0, "full").otherwise("phased").alias("rollout_strategy"), (size % 10).alias("rollout_days"),
-            (day + days((size % 10 - 1).cast("int"))).alias("rollout_complete_at"))
-        number = {
-            "installations": (w.installations, c("installation_id") + 2), "users": (w.users, c("user_id") + 2),
-            "product_events": (events, c("event_id") + 2), "subscriptions": (subscriptions, c("subscription_id") + 2),
-            "subscription_transactions": (transactions, c("subscription_id") * 8 + c("billing_cycle_number") + 2),
-            "experiment_assignments": (assignments, c("user_id") * 4 + F.ascii(F.right("experiment_id", F.lit(1))) - 96),
-            "marketing_spend": (spend, F.datediff("period_start", F.lit("2023-01-01").cast("date")) * 128 + F.ascii("acquisition_channel")),
-            "app_releases": (releases, c("app_release_id") + 2),
+
+        def events() -> DataFrame:
+            return w.product_events.withColumn("anonymous_id", F.concat(F.lit("anon_"), c("installation_id").cast("string")))
+
+        def subscriptions() -> DataFrame:
+            o, at, status = w.table("orders"), c("o_orderdate"), c("o_orderstatus")
+            return o.select(
+                c("o_orderkey").alias("subscription_id"), c("o_custkey").alias("user_id"), c("o_custkey").alias("installation_id"),
+                F.when(c("o_orderpriority").isin("1-URGENT", "2-HIGH"), "annual").otherwise("monthly").alias("billing_period"),
+                c("o_totalprice").cast("decimal(18,2)").alias("price_gbp"),
+                F.when(status == "F", "expired").when(status == "O", "active").otherwise("trialing").alias("status"),
+                (at - days(7)).alias("trial_started_at"), at.alias("trial_ends_at"), F.when(status != "P", at).alias("subscription_started_at"),
+                F.when(status == "F", at + days(((c("o_orderkey") * 13) % 500).cast("int"))).alias("expired_at"))
+
+        def transactions() -> DataFrame:
+            return w.transactions.select(
+                "*", F.concat_ws("_", c("subscription_id").cast("string"), c("billing_cycle_number").cast("string")).alias("transaction_id"),
+                c("user_id").alias("installation_id"), F.lit(1).alias("attempt_number"))
+
+        def assignments() -> DataFrame:
+            x = w.experiments.select("experiment_id", c("start_at").alias("experiment_start_at"), c("end_at").alias("experiment_end_at"),
+                                     "primary_metric", "analysis_window_days")
+            return w.experiment_assignments.withColumn("allocation_probability", c("allocation_probability").cast("decimal(9,6)")).join(x, "experiment_id")
+
+        def spend() -> DataFrame:
+            return w.marketing_spend.withColumn("marketing_spend_id", F.concat_ws("_", c("period_start").cast("string"), "acquisition_channel"))
+
+        def releases() -> DataFrame:
+            day = F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'") + days((c("p_partkey") % 30).cast("int"))
+            size, even = c("p_size"), c("p_partkey") % 2 == 0
+            return w.table("part").select(
+                c("p_partkey").alias("app_release_id"), c("p_brand").alias("release_key"), c("p_name").alias("release_name"), size.alias("release_sequence"),
+                F.when(even, "ios").otherwise("android").alias("platform"), F.concat(F.lit("1."), size.cast("string")).alias("version"), day.alias("release_at"),
+                F.when(c("p_type") == "ECONOMY", "major").when(c("p_type") == "SMALL", "minor").otherwise(F.lower("p_type")).alias("release_type"),
+                F.when(even, "full").otherwise("phased").alias("rollout_strategy"), (size % 10).alias("rollout_days"),
+                (day + days((size % 10 - 1).cast("int"))).alias("rollout_complete_at"))
+
+        # Record numbers: unique per delivered record, derived from its key.
+        source = {
+            "installations": (lambda: w.installations, "installation_id + 2"), "users": (lambda: w.users, "user_id + 2"),
+            "product_events": (events, "event_id + 2"), "subscriptions": (subscriptions, "subscription_id + 2"),
+            "subscription_transactions": (transactions, "subscription_id * 8 + billing_cycle_number + 2"),
+            "experiment_assignments": (assignments, "user_id * 4 + ascii(right(experiment_id, 1)) - 96"),
+            "marketing_spend": (spend, "datediff(period_start, DATE'2023-01-01') * 128 + ascii(acquisition_channel)"),
+            "app_releases": (releases, "app_release_id + 2"),
         }
-        return {name: self._raw(name, df, n) for name, (df, n) in number.items()}
+        return LazyFrames({n: (lambda n=n, f=f, e=e: self._raw(n, f(), F.expr(e))) for n, (f, e) in source.items()})
 
     @cached_property
-    def staging(self) -> dict[str, DataFrame]:
+    def staging(self) -> LazyFrames:
         """Raw rows that break no row rule, stamped with the validation run."""
-        return {name: df.where(~row_violation(RULES[name])).withColumn("validation_run_id", F.lit(VALIDATION_RUN).cast("long"))
-                for name, df in self.raw.items()}
+        return self.raw.map(lambda n, df: df.where(~row_violation(RULES[n])).withColumn("validation_run_id", F.lit(VALIDATION_RUN).cast("long")))
+
+    @cached_property
+    def star(self) -> LazyFrames:
+        return build_star(self.staging, BUILD)
+
+
+def layers(w: Warehouse) -> Layers:
+    """The layers of one warehouse, described once per query."""
+    if not hasattr(w, "_layers"):
+        w._layers = Layers(w)
+    return w._layers

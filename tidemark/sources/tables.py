@@ -30,9 +30,13 @@ class Warehouse:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = tune(spark)
         self.path = path.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        """One Parquet table; files are listed and the schema read once per warehouse."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return self._tables[name]
 
     @cached_property
     def installations(self) -> DataFrame:
