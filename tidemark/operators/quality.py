@@ -82,7 +82,7 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``count(*) - count(distinct key)``: rows are combined per key before the distinct keys are counted."""
     per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     distinct = F.count(F.lit(1)) if len(keys) > 1 else F.count(keys[0])
-    return per_key.agg((F.sum("n") - distinct).alias("violation_count"))
+    return per_key.agg((F.coalesce(F.sum("n"), F.lit(0)) - distinct).alias("violation_count"))
 
 
 def uniqueness(tables: Mapping[str, DataFrame], rules: dict[str, Contract]) -> DataFrame:
@@ -100,7 +100,7 @@ def uniqueness(tables: Mapping[str, DataFrame], rules: dict[str, Contract]) -> D
 def unmatched(child: DataFrame, parent: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Child rows without a parent on all keys.  Rows collapse to (keys, count) first, so the anti join sees each key once per task."""
     per_key = child.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return per_key.join(parent.select(*keys), list(keys), "left_anti").agg(F.sum("n").alias("violation_count"))
+    return per_key.join(parent.select(*keys), list(keys), "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violation_count"))
 
 
 # (child, parent, keys, check): fixed catalogue of references.

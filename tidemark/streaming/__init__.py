@@ -1,0 +1 @@
+"""No streaming operators: the analytics works on batch snapshots, and this package adds none of its own."""
