@@ -20,8 +20,8 @@ def text_frame(spark, contract, rows):
 
 def codes(spark, **changes):
     row = dict(zip(TXN.columns, GOOD)) | changes
-    out = ingest.parse_rows(text_frame(spark, TXN, [tuple(row[c] for c in TXN.columns)]), TXN).select("errors").first()
-    return [(e.field, e.code) for e in out.errors]
+    out = ingest.parse_rows(text_frame(spark, TXN, [tuple(row[c] for c in TXN.columns)]), TXN).first()
+    return [tuple(d.split(":")) for d in out.error_details.split("|") if d]
 
 
 @pytest.mark.parametrize("change, expected", [
@@ -44,7 +44,7 @@ def test_first_failing_rule_per_field(spark, change, expected):
 def test_boolean_and_date_cells(spark):
     c = Contract("x", "k", (Field("k"), Field("flag", "boolean"), Field("day", "date", nullable=True)))
     rows = [("a", "true", "2024-02-29"), ("b", "TRUE", ""), ("c", "false", "2023-02-29"), ("d", "false", "2024-1-01")]
-    out = {r.k: (r.flag, r.day, r.error_codes) for r in ingest.typed_cast(ingest.parse_rows(text_frame(spark, c, rows), c)).collect()}
+    out = {r.k: (r.flag, r.day, r.error_codes) for r in ingest.typed_cast(ingest.parse_rows(text_frame(spark, c, rows), c), c).collect()}
     assert out["a"] == (True, dt.date(2024, 2, 29), "")
     assert out["b"][2] == "INVALID_BOOLEAN" and out["c"][2] == "INVALID_DATE" and out["d"][2] == "INVALID_DATE"
 

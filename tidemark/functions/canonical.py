@@ -10,22 +10,24 @@ from pyspark.sql import Column, DataFrame, functions as F
 def canonical_value(name: str, dtype: str) -> str:
     """SQL text of ``["type","text"]`` for one value; equal decimals and equal instants give equal text."""
     c = f"`{name}`"
+    if dtype == "string":
+        # Only text with quotes, backslashes or control characters needs the JSON writer.
+        plain = f"""CASE WHEN {c} RLIKE '["\\\\\\\\\\\\x00-\\\\x1f]' THEN to_json(array('string', {c})) ELSE concat('["string","', {c}, '"]') END"""
+        return f"""CASE WHEN {c} IS NULL THEN '["null",null]' ELSE {plain} END"""
     if dtype == "boolean":
         kind, text = "boolean", f"CAST({c} AS STRING)"
     elif dtype in ("tinyint", "smallint", "int", "bigint"):
         kind, text = "integer", f"CAST({c} AS STRING)"
     elif dtype.startswith("decimal"):
-        plain = f"CAST(CAST({c} AS DECIMAL(38,18)) AS STRING)"
-        kind, text = "decimal", f"CASE WHEN {c} = 0 THEN '0' ELSE regexp_replace({plain}, '[.]?0+$', '') END"
+        digits = f"CAST(CAST({c} AS DECIMAL(38,18)) AS STRING)"
+        kind, text = "decimal", f"CASE WHEN {c} = 0 THEN '0' ELSE trim(TRAILING '.' FROM trim(TRAILING '0' FROM {digits})) END"
     elif dtype.startswith("timestamp"):
         kind, text = "timestamp", f"date_format({c}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")"
     elif dtype == "date":
         kind, text = "date", f"date_format({c}, 'yyyy-MM-dd')"
-    elif dtype == "string":
-        kind, text = "string", c
     else:
         raise TypeError(f"no canonical text for {dtype}")
-    return f"""CASE WHEN {c} IS NULL THEN '["null",null]' ELSE to_json(array('{kind}', {text})) END"""
+    return f"""CASE WHEN {c} IS NULL THEN '["null",null]' ELSE concat('["{kind}","', {text}, '"]') END"""
 
 
 def canonical_payload(df: DataFrame, dataset: str, columns: Sequence[str] | None = None) -> Column:

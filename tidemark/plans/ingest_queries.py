@@ -85,32 +85,32 @@ def results(w: Warehouse) -> dict[str, DataFrame]:
 
 
 def hashed(w: Warehouse) -> DataFrame:
-    rows = ingest.accepted_rows(parsed(w))
+    rows = ingest.accepted_rows(parsed(w), TRANSACTIONS)
     return rows.select("transaction_id", row_hash(rows, TRANSACTIONS.dataset).alias("row_hash"))
 
 
 def promoted(w: Warehouse) -> DataFrame:
-    rows = ingest.accepted_rows(parsed(w))
+    rows = ingest.accepted_rows(parsed(w), TRANSACTIONS)
     batch = rows.withColumn("ingestion_batch_id", F.year("attempted_at").cast("long"))
     return ingest.promote_batch(batch, F.col("ingestion_batch_id") * 10).select(
         "transaction_id", "ingestion_batch_id", "validation_run_id", F.col("amount_gbp").cast("double").alias("amount_gbp"))
 
 
 def typed_text(w: Warehouse) -> DataFrame:
-    return ingest.typed_cast(parsed(w)).withColumn("amount_gbp", F.col("amount_gbp").cast("double"))
+    return ingest.typed_cast(parsed(w), TRANSACTIONS).withColumn("amount_gbp", F.col("amount_gbp").cast("double"))
 
 
 QUERIES = {
     "scan_contract": lambda w: scanned(w).select(*TRANSACTIONS.columns),
     "snapshot_audit": audited,
     "table_fingerprint": lambda w: ingest.snapshot_fingerprint({
-        "subscription_transactions": ingest.accepted_rows(parsed(w)), "users": w.users}),
+        "subscription_transactions": ingest.accepted_rows(parsed(w), TRANSACTIONS), "users": w.users}),
     "typed_cast": typed_text,
-    "accepted_rows": lambda w: ingest.accepted_rows(parsed(w)).withColumn("amount_gbp", F.col("amount_gbp").cast("double")),
+    "accepted_rows": lambda w: ingest.accepted_rows(parsed(w), TRANSACTIONS).withColumn("amount_gbp", F.col("amount_gbp").cast("double")),
     "quarantine_rows": lambda w: ingest.quarantine_rows(parsed(w), TRANSACTIONS),
     "row_hash": hashed,
     "new_batches_only": batch_counts,
-    "load_reconciliation": lambda w: ingest.load_reconciliation(parsed(w), ingest.accepted_rows(parsed(w)), TRANSACTIONS.dataset),
+    "load_reconciliation": lambda w: ingest.load_reconciliation(parsed(w), ingest.accepted_rows(parsed(w), TRANSACTIONS), TRANSACTIONS.dataset),
     "promote_batch": promoted,
     "orphan_partitions": lambda w: ingest.orphan_partitions(order_batches(w), batch_audit(w)),
     "canonical_csv": lambda w: canonical_text(w.users.withColumn("onboarded", F.col("onboarding_completed_at").isNotNull())),
