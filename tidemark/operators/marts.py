@@ -18,13 +18,19 @@ HORIZONS = (30, 90, 180, 365)
 
 # --- calendar -----------------------------------------------------------------------------------------
 
-def day_bounds(*columns: tuple[DataFrame, str]) -> DataFrame:
-    """One row with the first and last day over several timestamp or date columns (map-side min/max only)."""
-    parts = [
-        df.agg(F.to_date(F.min(c)).alias("first_day"), F.to_date(F.max(c)).alias("last_day")) for df, c in columns
-    ]
-    return reduce(DataFrame.unionByName, parts).agg(
-        F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"))
+def day_bounds(*columns: tuple[DataFrame, str | Sequence[str]]) -> DataFrame:
+    """One row with the first and last day over several timestamp or date columns.
+
+    Every frame is read once for all its columns; only map-side minima and maxima move.
+    """
+    def ends(df: DataFrame, names: Sequence[str]) -> DataFrame:
+        first = [F.to_date(F.min(c)) for c in names]
+        last = [F.to_date(F.max(c)) for c in names]
+        low, high = (first[0], last[0]) if len(names) == 1 else (F.least(*first), F.greatest(*last))
+        return df.agg(low.alias("first_day"), high.alias("last_day"))
+
+    parts = [ends(df, [c] if isinstance(c, str) else list(c)) for df, c in columns]
+    return reduce(DataFrame.unionByName, parts).agg(F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"))
 
 
 def date_dimension(bounds: DataFrame) -> DataFrame:

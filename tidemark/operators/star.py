@@ -49,7 +49,10 @@ DATASET_OF = {
 
 def dim_date(staging: Mapping[str, DataFrame]) -> DataFrame:
     """Calendar over every dated column, so no fact loses its day."""
-    return date_dimension(day_bounds(*[(staging[DATASET_OF[t]], c) for t, c, _ in DATED]))
+    columns: dict[str, list[str]] = {}
+    for table, at, _ in DATED:
+        columns.setdefault(DATASET_OF[table], []).append(at)
+    return date_dimension(day_bounds(*[(staging[n], c) for n, c in columns.items()]))
 
 
 def dim_installation(s: DataFrame, build: int) -> DataFrame:
