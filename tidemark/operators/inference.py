@@ -238,12 +238,12 @@ def permutation_test(values: DataFrame, replicates: int = 10_000, max_blocks: in
         "width": F.ceil((n1 + n2) / F.lit(float(max_blocks))),
     }).withColumn("quota", F.round(n1 / F.col("width")).cast("long"))
     key = ["experiment_id", "metric_key"]
-    shuffled = replicated(pooled, replicates).withColumn("draw", F.md5(F.concat_ws(
+    # The quota joins the few blocks, not their replicates.
+    shuffled = replicated(pooled.join(observed.select(*key, "quota"), key), replicates).withColumn("draw", F.md5(F.concat_ws(
         ":", F.lit("perm"), "experiment_id", F.col("block").cast("string"), F.col("replicate").cast("string"))))
     # At most max_blocks rows per (experiment, replicate), so this window is bounded by construction.
     order = Window.partitionBy(*key, "replicate").orderBy("draw", "block")
-    chosen = shuffled.withColumn("position", F.row_number().over(order)).join(
-        observed.select(*key, "quota"), key).where(F.col("position") <= F.col("quota"))
+    chosen = shuffled.withColumn("position", F.row_number().over(order)).where(F.col("position") <= F.col("quota"))
     control = chosen.groupBy(*key, "replicate").agg(F.sum("minor_units").alias("s"), F.sum("users").alias("n"))
     users = F.col("control_count") + F.col("treatment_count")
     diff = F.abs(F.try_divide((F.col("pool") - F.col("s")).cast("double"), (users - F.col("n")).cast("double"))

@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.functions.fixed import fixed_rows
 from tidemark.sources.contracts import Contract
 
 RESULT = ["dataset_name", "category", "check_name", "violation_count"]
@@ -205,7 +206,7 @@ def event_timestamp_match(tables: Mapping[str, DataFrame]) -> DataFrame:
     seen = tables["product_events"].where(name.isin(*[e[2] for e in expected])).select(
         "event_name", F.when(name == "app_install", F.col("installation_id")).otherwise(F.col("user_id")).alias("who"), F.col("occurred_at").alias("at"))
     counted = wanted.join(seen, ["event_name", "who", "at"], "left_anti").groupBy("dataset_name", "check_name").agg(F.count(F.lit(1)).alias("violation_count"))
-    names = wanted.sparkSession.createDataFrame([(n, check) for n, check, *_ in expected], "dataset_name string, check_name string")
+    names = fixed_rows(wanted.sparkSession, [(n, check) for n, check, *_ in expected], ["dataset_name", "check_name"])
     return names.join(counted, ["dataset_name", "check_name"], "left").select(
         "dataset_name", F.lit("reconciliation").alias("category"), "check_name", F.coalesce("violation_count", F.lit(0)).alias("violation_count"))
 

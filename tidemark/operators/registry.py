@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.functions.fixed import fixed_rows
+
 # Metric key, domain, unit, support status.
 METRICS = [
     ("installation_count", "acquisition", "count", "supported"),
@@ -60,4 +62,4 @@ CONTINUOUS_METRICS = {"revenue_per_assigned_user_30d": "successful_revenue_gbp_3
 
 def metric_registry(spark: SparkSession) -> DataFrame:
     """The 39 definitions as a frame; its size is fixed."""
-    return spark.createDataFrame(METRICS, "metric_key string, metric_domain string, metric_unit string, support_status string")
+    return fixed_rows(spark, METRICS, ["metric_key", "metric_domain", "metric_unit", "support_status"])

@@ -197,26 +197,21 @@ def probability_metrics(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     y, p = F.col("label"), F.col("p")
     scores = scored.groupBy(*by, "p").agg(F.sum(y).cast("long").alias("pos"), F.sum(1 - y).cast("long").alias("neg"))
-    cum = ordered_prefix(scores, [p], [F.floor(p * 4096)], {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")}, list(by))
-    totals = scores.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    if by:
-        joined = cum.join(totals, list(by))
-    else:
-        joined = cum.withColumn("__t", totals.select(F.struct("all_pos", "all_neg")).scalar()).withColumns({c: F.col(f"__t.{c}") for c in ("all_pos", "all_neg")})
-    n = F.sum(F.col("pos") + F.col("neg"))
+    # Running counts from the highest score down: positives and negatives at or above each score.
+    cum = ordered_prefix(scores, [p.desc()], [F.floor(p * -4096)], {"tp": F.col("pos"), "fp": F.col("neg")}, list(by))
+    n, positives, negatives = F.sum(F.col("pos") + F.col("neg")), F.sum("pos").cast("double"), F.sum("neg").cast("double")
     clipped = F.least(F.greatest(p, F.lit(1e-15)), F.lit(1.0 - 1e-15))
-    below = F.col("cum_neg") - F.col("neg") / 2.0
-    at_or_above = lambda c, total: F.col(total) - F.col(f"cum_{c}") + F.col(c)
-    tp, fp = at_or_above("pos", "all_pos"), at_or_above("neg", "all_neg")
-    pairs = F.max("all_pos").cast("double") * F.max("all_neg")
-    both = (F.max("all_pos") > 0) & (F.max("all_neg") > 0)
-    return joined.groupBy(*by).agg(
+    both = (positives > 0) & (negatives > 0)
+    # Pairs in which a negative outranks a positive; ties count half.
+    inverted = F.sum(F.col("pos") * (F.col("fp") - F.col("neg") / 2.0))
+    precision = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    return cum.groupBy(*by).agg(
         n.alias("row_count"), (F.sum("pos") / n).alias("observed_rate"), (F.sum(p * (F.col("pos") + F.col("neg"))) / n).alias("probability_mean"),
         F.min(p).alias("probability_min"), F.max(p).alias("probability_max"),
         (F.sum(F.col("pos") * F.pow(1.0 - p, F.lit(2)) + F.col("neg") * F.pow(p, F.lit(2))) / n).alias("brier_score"),
         (-F.sum(F.col("pos") * F.ln(clipped) + F.col("neg") * F.ln(1.0 - clipped)) / n).alias("log_loss"),
-        F.when(both, F.try_divide(F.sum(F.col("pos") * below), pairs)).alias("roc_auc"),
-        F.when(both, F.try_divide(F.sum(F.col("pos") * tp / (tp + fp)), F.max("all_pos").cast("double"))).alias("average_precision"))
+        F.when(both, 1.0 - F.try_divide(inverted, positives * negatives)).alias("roc_auc"),
+        F.when(both, F.try_divide(precision, positives)).alias("average_precision"))
 
 
 _COMPARED = ("brier_score", "log_loss", "roc_auc", "average_precision")

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import date_key, ordered_prefix
+from tidemark.functions.fixed import fixed_rows
 from tidemark.functions.lazy import LazyFrames
 from tidemark.operators.marts import date_dimension, day_bounds
 from tidemark.operators.quality import stacked
@@ -276,7 +277,7 @@ def date_key_checks(star: Mapping[str, DataFrame], calendar: DataFrame) -> DataF
                      .groupBy("table_name", "date_key_column", "day", "date_key").agg(F.count(F.lit(1)).alias("n")))
     wrong = F.coalesce(F.sum(F.when(~F.col("full_date").eqNullSafe(F.col("day")), F.col("n"))), F.lit(0))
     counted = stacked(pairs).join(calendar.select("date_key", "full_date"), "date_key", "left").groupBy("table_name", "date_key_column").agg(wrong.alias("found"))
-    names = calendar.sparkSession.createDataFrame([(t, k) for t, _, k in DATED], "table_name string, date_key_column string")
+    names = fixed_rows(calendar.sparkSession, [(t, k) for t, _, k in DATED], ["table_name", "date_key_column"])
     return names.join(counted, ["table_name", "date_key_column"], "left").select(
         "table_name", "date_key_column", F.coalesce("found", F.lit(0)).alias("violation_count"))
 

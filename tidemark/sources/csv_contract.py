@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from tidemark.functions.fixed import fixed_rows
 from tidemark.sources.contracts import Contract
 
 MALFORMED = "_malformed"
@@ -73,7 +74,7 @@ def snapshot_audit(spark: SparkSession, source_dir: str, contracts: list[Contrac
     present = {r.dataset for r in files.select("dataset").toLocalIterator()}
     # The reader refuses plans that touch nothing but the malformed column, hence the look at a data column.
     broken = lambda first: F.col(MALFORMED).isNotNull() & F.coalesce(F.length(first) >= 0, F.lit(True))
-    audit = spark.createDataFrame([(c.dataset,) for c in contracts], "dataset string").withColumn("expected", F.lit(True)).unionByName(
+    audit = fixed_rows(spark, [(c.dataset,) for c in contracts], ["dataset"]).withColumn("expected", F.lit(True)).unionByName(
         files, allowMissingColumns=True)
     for c in contracts:
         if c.dataset in present:

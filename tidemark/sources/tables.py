@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import days, hours
+from tidemark.functions.fixed import fixed_rows
 from tidemark.session import tune
 
 EXPERIMENTS = [
@@ -169,11 +170,9 @@ class Warehouse:
 
     @cached_property
     def experiments(self) -> DataFrame:
-        rows = self.spark.createDataFrame(
-            EXPERIMENTS,
-            "experiment_id string, start_at string, end_at string, analysis_window_days int, eligibility_rule string, "
-            "primary_metric string, secondary_metric string, commercial_metric string, guardrail_metric string",
-        )
+        rows = fixed_rows(self.spark, EXPERIMENTS, [
+            "experiment_id", "start_at", "end_at", "analysis_window_days", "eligibility_rule",
+            "primary_metric", "secondary_metric", "commercial_metric", "guardrail_metric"])
         return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_at", "end_at")})
 
     @cached_property
