@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.llm.jaccard_join import near_duplicates
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix_sources, n_words
+from tidemark.llm.quality_classifier import quality_scores
 from tidemark.llm.store import table
+from tidemark.llm.toxicity import toxicity_scores
+from tidemark.llm.zdict import held_out
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +31,21 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_jaccard_join)}
+def _classified(scores: DataFrame, at: float) -> DataFrame:
+    return scores.select("doc_id", held_out("doc_id").alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= at).cast("int").alias("predicted"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return _classified(toxicity_scores(docs.select("doc_id", "text"), labels), 0.7)
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return _classified(quality_scores(docs.select("doc_id", "text"), labels), 0.5)
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_jaccard_join, op4_toxicity, op10_quality_classifier)}
 
 ORACLE = {
     "op2_line_dedup": r"""
