@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.llm.cap_filters import near_vectors
 from tidemark.llm.jaccard_join import near_duplicates
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix_sources, n_words
+from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality_classifier import quality_scores
-from tidemark.llm.store import table
+from tidemark.llm.quality_rules import STOP_WORDS, judge
+from tidemark.llm.store import folder, table
+from tidemark.llm.token_parquet import token_output
 from tidemark.llm.toxicity import toxicity_scores
+from tidemark.llm.warc import read_pages, read_records, write_archives
 from tidemark.llm.zdict import held_out
 
 
@@ -45,7 +50,35 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(quality_scores(docs.select("doc_id", "text"), labels), 0.5)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_jaccard_join, op4_toxicity, op10_quality_classifier)}
+def op5_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    pages = read_pages(read_records(spark, path), payloads=False)
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid")
+
+
+def op7_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_mix_sources, op2_line_dedup, op3_jaccard_join, op4_toxicity, op5_token_parquet, op6_warc, op7_cap_filters, op8_quality_rules,
+    op9_best_fit_packing, op10_quality_classifier)}
 
 ORACLE = {
     "op2_line_dedup": r"""
@@ -58,4 +91,43 @@ marked AS (SELECT k.doc_id, k.pos, k.line, l.lead IS NOT NULL AND l.lead <> k.do
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op6_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+t AS (SELECT h, max(page_id) AS target FROM p WHERE strlen(h) >= 1000 GROUP BY h)
+SELECT p.page_id, strlen(p.h) AS payload_bytes, sha1(p.h) AS payload_digest,
+  CASE WHEN t.target IS NULL OR t.target = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN t.target <> p.page_id THEN t.target END AS refers_to, TRUE AS valid
+FROM p LEFT JOIN t ON p.h = t.h""",
+    "op7_cap_filters": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_sum(list_transform(embedding, x -> CAST(x AS DOUBLE) * x))) AS norm FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_sum(list_transform(list_zip(a.e, b.e), z -> z[1] * z[2])) / (a.norm * b.norm) >= 0.98),
+reach AS (SELECT a AS node, a AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other),
+least AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept
+FROM embeddings LEFT JOIN least ON node = vec_id LEFT JOIN counts ON a = vec_id""",
+    "op8_quality_rules": r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+places AS (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS g FROM places),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM windows) WHERE c > 1),
+spans AS (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS n FROM twice),
+repeats AS (SELECT doc_id, sum(n) AS n FROM spans GROUP BY doc_id),
+m AS (
+  SELECT doc_id, len(words) AS n_words, length(t) AS n_chars, length(t) - length(regexp_replace(t, '[^\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    len(list_filter(words, x -> lower(x) IN (@STOP@))) AS n_stop_words, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN repeats r USING (doc_id)),
+j AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 14 * n_words AND n_symbols <= 0.1 * n_words AND n_stop_words >= 0.04 * n_words
+    AND n_dup_lines <= 0.5 * n_lines AND n_chars >= 50 AS kept
+FROM j""".replace("@STOP@", ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))),
 }
