@@ -100,12 +100,12 @@ SELECT p.page_id, strlen(p.h) AS payload_bytes, sha1(p.h) AS payload_digest,
 FROM p LEFT JOIN t ON p.h = t.h""",
     "op7_cap_filters": r"""
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_sum(list_transform(embedding, x -> CAST(x AS DOUBLE) * x))) AS norm FROM embeddings
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS norm FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
-  WHERE list_sum(list_transform(list_zip(a.e, b.e), z -> z[1] * z[2])) / (a.norm * b.norm) >= 0.98),
+  WHERE list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) / (a.norm * b.norm) >= 0.98),
 reach AS (SELECT a AS node, a AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other),
 least AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
 counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
@@ -114,7 +114,7 @@ FROM embeddings LEFT JOIN least ON node = vec_id LEFT JOIN counts ON a = vec_id"
     "op8_quality_rules": r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
 places AS (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8),
 windows AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS g FROM places),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM windows) WHERE c > 1),
@@ -123,7 +123,7 @@ repeats AS (SELECT doc_id, sum(n) AS n FROM spans GROUP BY doc_id),
 m AS (
   SELECT doc_id, len(words) AS n_words, length(t) AS n_chars, length(t) - length(regexp_replace(t, '[^\x20\x09-\x0D]', '', 'g')) AS word_chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
-    len(list_filter(words, x -> lower(x) IN (@STOP@))) AS n_stop_words, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+    len(list_filter(words, lambda x: lower(x) IN (@STOP@))) AS n_stop_words, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN repeats r USING (doc_id)),
 j AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
