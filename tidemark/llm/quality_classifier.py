@@ -66,7 +66,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> tuple:
     make = size_features(good, bad)
     rows = sample.where("half = 1").select("doc_id", "y", F.col("text").cast("binary")).mapInArrow(
         featurise(make, ["doc_id", "y"]), "doc_id long, y int, x array<double>").orderBy("doc_id").collect()
-    x, y = np.array([r["x"] for r in rows]).reshape(len(rows), -1), np.array([r["y"] for r in rows], float)
+    x, y = np.array([r["x"] for r in rows], float), np.array([r["y"] for r in rows], float)
     # Both classes count alike, whatever their shares in the sample.
     return make, fit_logistic(x, y)
 
