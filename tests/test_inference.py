@@ -80,10 +80,34 @@ def test_permutation_p_matches_enumeration(spark):
     assert p == pytest.approx(sum(hits) / len(hits), abs=0.03)
 
 
-def test_blocks_are_equal_sized_and_bounded(spark):
+def test_clusters_keep_every_row_and_are_bounded(spark):
     v = values(spark, range(1000), range(1300))
-    b = inf.blocks(v, ["experiment_id"], "assignment_id", ["minor_units"], 100, "s").collect()
-    assert len(b) == 100 and {r.users for r in b} == {23} and sum(r.minor_units for r in b) == 100 * (sum(range(1000)) + sum(range(1300)))
+    b = inf.hashed_clusters(v, ["experiment_id"], "assignment_id", ["minor_units"], 100, "s").collect()
+    assert len(b) == 100 and sum(r.users for r in b) == 2300 and sum(r.minor_units for r in b) == sum(range(1000)) + sum(range(1300))
+
+
+@pytest.mark.parametrize("n", [400, 50_000])
+def test_interval_agrees_with_the_normal_approximation_at_any_size(spark, n):
+    """The same clusters and weights below and far above their number: no switch of method with the size."""
+    control, treatment = [(7 * i) % 101 for i in range(n)], [(11 * i) % 131 for i in range(n)]
+    r = inf.bootstrap_mean_diff(values(spark, control, treatment), replicates=3000).first()
+    mean = lambda x: sum(x) / len(x)
+    var = lambda x: sum((v - mean(x)) ** 2 for v in x) / len(x)
+    effect = (mean(treatment) - mean(control)) / 100
+    half = 1.96 * ((var(control) + var(treatment)) / n) ** 0.5 / 100
+    assert r.confidence_interval_low == pytest.approx(effect - half, abs=0.25 * half)
+    assert r.confidence_interval_high == pytest.approx(effect + half, abs=0.25 * half)
+
+
+def test_every_planned_metric_has_a_verdict(spark):
+    rows = [("ok", "control", True, 0.5)] * 40 + [("ok", "treatment", True, 0.5)] * 42 + [("one", "control", True, 0.5)] * 5 + [("third", "control", True, 0.5), ("third", "other", True, 0.5)]
+    rows += [("skew", "control", True, 0.5)] * 90 + [("skew", "treatment", True, 0.5)] * 10 + [("none", "control", True, None), ("none", "treatment", True, None), ("young", "control", False, 0.5)]
+    outcomes = spark.createDataFrame(rows, "experiment_id string, variant string, analysis_window_mature boolean, allocation_probability double")
+    plan = spark.createDataFrame([(e, "m", "primary", "ready_binary") for e in ("ok", "one", "third", "skew", "none", "young", "absent")],
+                                 "experiment_id string, metric_key string, metric_role string, inference_status string")
+    got = {r.experiment_id: r.blocked_reason for r in inf.blocked_metrics(outcomes, plan).collect()}
+    assert got == {"ok": None, "one": "missing_arm", "third": "unexpected_arm", "skew": "sample_ratio_mismatch", "none": "invalid_allocation",
+                   "young": "no_mature_user", "absent": "no_mature_user"}
 
 
 def test_variant_draw_follows_allocation_in_any_order(spark):

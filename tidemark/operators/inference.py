@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions import count_when, ordered_prefix, rate
+from tidemark.functions import count_when, rate
 from tidemark.functions.normal import erfc, two_sided_p, z_quantile
 from tidemark.operators.registry import BINARY_METRICS, CONTINUOUS_METRICS
 
@@ -108,6 +108,27 @@ def passing_srm(outcomes: DataFrame) -> DataFrame:
     return srm_check(outcomes.where(F.col("analysis_window_mature"))).where(~F.col("mismatch_detected")).select("experiment_id")
 
 
+def blocked_metrics(outcomes: DataFrame, plan: DataFrame, alpha: float = SRM_ALPHA) -> DataFrame:
+    """One row per planned metric with a verdict: the first reason that keeps its inference from being read, or NULL.
+
+    Reasons: no mature user, an unexpected arm, a missing arm, an allocation that is missing or not inside (0, 1), a sample
+    ratio mismatch, a metric the registry does not support.  Nothing that was planned is left out.
+    """
+    mature = F.coalesce(F.col("analysis_window_mature"), F.lit(False))
+    known = F.col("variant").isin("control", "treatment")
+    state = outcomes.groupBy("experiment_id").agg(
+        count_when(mature).alias("mature_count"), count_when(mature & ~F.coalesce(known, F.lit(False))).alias("unexpected_arm_count"))
+    srm = srm_check(outcomes.where(mature), alpha).select("experiment_id", "control_count", "treatment_count", "control_allocation", "treatment_allocation", "mismatch_detected")
+    share = lambda arm: F.coalesce((F.col(f"{arm}_allocation") > 0) & (F.col(f"{arm}_allocation") < 1), F.lit(False))
+    reason = (
+        F.when(F.coalesce("mature_count", F.lit(0)) == 0, "no_mature_user").when(F.col("unexpected_arm_count") > 0, "unexpected_arm")
+        .when(F.col("control_count") * F.col("treatment_count") == 0, "missing_arm").when(~(share("control") & share("treatment")), "invalid_allocation")
+        .when(F.coalesce("mismatch_detected", F.lit(True)), "sample_ratio_mismatch")
+        .when(~F.col("inference_status").isin("ready_binary", "pending_continuous_inference"), F.col("inference_status")))
+    joined = plan.select("experiment_id", "metric_key", "metric_role", "inference_status").join(state, "experiment_id", "left").join(srm, "experiment_id", "left")
+    return joined.select("experiment_id", "metric_key", "metric_role", F.coalesce("mature_count", F.lit(0)).alias("mature_count"), reason.alias("blocked_reason"))
+
+
 def two_proportion_test(counts: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Pooled z-test of treatment minus control; no variance means z = 0 and p = 1."""
     n1, n2 = F.col("control_total").cast("double"), F.col("treatment_total").cast("double")
@@ -144,7 +165,7 @@ def newcombe_interval(counts: DataFrame, alpha: float = 0.05) -> DataFrame:
     })
 
 
-# --- mean outcomes: resampling over blocks ----------------------------------------------------------------
+# --- mean outcomes: resampling over clusters ----------------------------------------------------------------
 
 def mature_values(outcomes: DataFrame, plan: DataFrame) -> DataFrame:
     """Per-user values of the planned mean metrics, in integer minor units so that every sum is exact."""
@@ -156,25 +177,18 @@ def mature_values(outcomes: DataFrame, plan: DataFrame) -> DataFrame:
         F.round(F.col(column) * 100).cast("long").alias("minor_units"))
 
 
-def blocks(df: DataFrame, within: Sequence[str], key: str, sums: Sequence[str], max_blocks: int, seed: str) -> DataFrame:
-    """Hash-ordered blocks of equal size, at most ``max_blocks`` per group, with row count and sums.
+def hashed_clusters(df: DataFrame, within: Sequence[str], key: str, sums: Sequence[str], clusters: int, seed: str) -> DataFrame:
+    """Rows gathered into clusters by a hash of their key, with row count and sums: what replicates resample.
 
-    Up to ``max_blocks`` rows every block is one row and resampling blocks is resampling rows.  Beyond,
-    blocks keep the work per replicate constant however many rows a group has.
+    The same at every size: with few rows most clusters are single rows, with many they are random samples of equal
+    expected size, and the work per replicate is bounded by ``clusters``.  One partial aggregate, no ordering.
     """
-    hashed = df.withColumn("__h", F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))))
-    ranked = ordered_prefix(hashed, [F.col("__h"), F.col(key)], [F.substring("__h", 1, 3)], {"rank": F.lit(1)}, list(within))
-    if within:
-        sized = ranked.join(df.groupBy(*within).agg(F.count(F.lit(1)).alias("__n")), list(within))
-    else:
-        sized = ranked.withColumn("__n", df.agg(F.count(F.lit(1))).scalar())
-    width = F.ceil(F.col("__n") / F.lit(float(max_blocks)))
-    return sized.groupBy(*within, F.floor((F.col("rank") - 1) / width).cast("long").alias("block")).agg(
-        F.count(F.lit(1)).alias("users"), *[F.sum(c).alias(c) for c in sums])
+    cluster = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long") % clusters
+    return df.groupBy(*within, cluster.alias("block")).agg(F.count(F.lit(1)).alias("users"), *[F.sum(c).alias(c) for c in sums])
 
 
 def replicated(df: DataFrame, replicates: int) -> DataFrame:
-    """Every (bounded) block once per replicate, spread over all tasks before it is unfolded."""
+    """Every (bounded) cluster once per replicate, spread over all tasks before it is unfolded."""
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(tasks, *df.columns).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
 
@@ -184,21 +198,24 @@ def uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("double") / float(2**32)
 
 
-def poisson_weight(u: Column, top: int = 9) -> Column:
-    """Poisson(1) quantile of ``u``; the distribution function is a literal ladder."""
+def poisson_weight(u: Column, top: int = 12) -> Column:
+    """Poisson(1) quantile of ``u``; the distribution function is a literal ladder.
+
+    Beyond 12 less probability is left than the 2^-32 steps of a draw can show, so the ladder is no cap.
+    """
     out: Column = F.lit(top)
     for k in range(top - 1, -1, -1):
         out = F.when(u < sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)), k).otherwise(out)
     return out.cast("long")
 
 
-def bootstrap_mean_diff(values: DataFrame, replicates: int = 10_000, alpha: float = 0.05, max_blocks: int = 1_000) -> DataFrame:
-    """Percentile interval of the treatment minus control mean from Poisson(1) block weights.
+def bootstrap_mean_diff(values: DataFrame, replicates: int = 10_000, alpha: float = 0.05, clusters: int = 1_000) -> DataFrame:
+    """Percentile interval of the treatment minus control mean from Poisson(1) weights of hashed clusters.
 
-    Poisson weights approximate multinomial resampling; they let each block be drawn independently.
+    Poisson weights approximate multinomial resampling; they let each cluster be drawn independently.
     """
     within = ["experiment_id", "metric_key", "variant"]
-    drawn = replicated(blocks(values, within, "assignment_id", ["minor_units"], max_blocks, "bootstrap"), replicates)
+    drawn = replicated(hashed_clusters(values, within, "assignment_id", ["minor_units"], clusters, "bootstrap"), replicates)
     weight = poisson_weight(uniform("experiment_id", "variant", F.col("block").cast("string"), F.col("replicate").cast("string")))
     w = drawn.withColumn("w", weight)
     mean = lambda arm: F.try_divide(
@@ -223,25 +240,26 @@ def arm_moments(values: DataFrame) -> DataFrame:
         f"{arm}_mean": F.col(f"{arm}_minor_units").cast("double") / 100.0 / F.col(f"{arm}_count") for arm in ("control", "treatment")})
 
 
-def permutation_test(values: DataFrame, replicates: int = 10_000, max_blocks: int = 1_000) -> DataFrame:
-    """Two-sided randomisation p-value ``(extreme + 1) / (replicates + 1)`` with the arm size held fixed.
+def permutation_test(values: DataFrame, replicates: int = 10_000, clusters: int = 1_000) -> DataFrame:
+    """Two-sided randomisation p-value ``(extreme + 1) / (replicates + 1)`` over hashed clusters of users.
 
-    Each replicate orders the pooled blocks by a fresh hash and calls the first ones control, as many as
-    make up the control arm (exactly, when blocks are single users).
+    Each replicate orders the pooled clusters by a fresh hash and calls the first ones control: the same share of the
+    clusters as of the users.  Means are taken over the users that a replicate puts into each arm.
     """
-    pooled = blocks(values, ["experiment_id", "metric_key"], "assignment_id", ["minor_units"], max_blocks, "permutation")
+    pooled = hashed_clusters(values, ["experiment_id", "metric_key"], "assignment_id", ["minor_units"], clusters, "permutation")
     m = arm_moments(values).select("experiment_id", "metric_key", "control_count", "treatment_count", "control_minor_units", "treatment_minor_units")
     n1, n2 = F.col("control_count").cast("double"), F.col("treatment_count").cast("double")
     observed = m.withColumns({
         "observed": F.abs(F.col("treatment_minor_units") / n2 - F.col("control_minor_units") / n1),
         "pool": F.col("control_minor_units") + F.col("treatment_minor_units"),
-        "width": F.ceil((n1 + n2) / F.lit(float(max_blocks))),
-    }).withColumn("quota", F.round(n1 / F.col("width")).cast("long"))
+    })
     key = ["experiment_id", "metric_key"]
+    held = pooled.groupBy(*key).agg(F.count(F.lit(1)).alias("held"))
+    observed = observed.join(held, key).withColumn("quota", F.round(n1 * F.col("held") / (n1 + n2)).cast("long"))
     # The quota joins the few blocks, not their replicates.
     shuffled = replicated(pooled.join(observed.select(*key, "quota"), key), replicates).withColumn("draw", F.md5(F.concat_ws(
         ":", F.lit("perm"), "experiment_id", F.col("block").cast("string"), F.col("replicate").cast("string"))))
-    # At most max_blocks rows per (experiment, replicate), so this window is bounded by construction.
+    # At most ``clusters`` rows per (experiment, replicate), so this window is bounded by construction.
     order = Window.partitionBy(*key, "replicate").orderBy("draw", "block")
     chosen = shuffled.withColumn("position", F.row_number().over(order)).where(F.col("position") <= F.col("quota"))
     control = chosen.groupBy(*key, "replicate").agg(F.sum("minor_units").alias("s"), F.sum("users").alias("n"))

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.canonical import fingerprint_bits, row_hash
+from tidemark.functions.pin import pin
 from tidemark.sources.contracts import Contract, Field
 from tidemark.sources.csv_contract import MALFORMED
 
@@ -146,33 +147,74 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def _loaded(spark: SparkSession, audit_path: str, snapshot_id: str, dataset: str | None = None) -> set[str]:
+    """Datasets of the snapshot with a successful load; the names are bounded by the contracts."""
+    if not _exists(spark, audit_path):
+        return set()
+    done = spark.read.parquet(audit_path).where((F.col("snapshot_id") == snapshot_id) & (F.col("status") == "succeeded"))
+    if dataset:
+        done = done.where(F.col("dataset_name") == dataset)
+    return {r.dataset_name for r in done.select("dataset_name").distinct().collect()}
+
+
 def load_batch(parsed: DataFrame, contract: Contract, table_path: str, audit_path: str, batch_id: int, snapshot_id: str,
                on_reject: str = "fail", quarantine_path: str | None = None) -> str:
-    """Load one snapshot once.
+    """Load one dataset of one snapshot once.  Returns ``loaded`` or ``already_loaded``."""
+    if _loaded(parsed.sparkSession, audit_path, snapshot_id, contract.dataset):
+        return "already_loaded"
+    quarantines = {contract.dataset: quarantine_path} if quarantine_path else {}
+    _load({contract.dataset: (parsed, contract, table_path)}, audit_path, batch_id, snapshot_id, on_reject, quarantines)
+    return "loaded"
+
 
-    The batch partition is overwritten and the audit row written last, so an attempt that died half-way is
-    replaced by the next one.  Returns ``loaded`` or ``already_loaded``.
+def load_snapshot(parsed: dict[str, DataFrame], contracts: dict[str, Contract], root: str, batch_id: int, snapshot_id: str, on_reject: str = "fail") -> str:
+    """Load every dataset of a snapshot as one unit under ``root``: tables, quarantine and one audit.
+
+    Nothing counts until the audit rows of all datasets are there, and they are written together.  A snapshot that is partly
+    in the audit is loaded again whole.  Returns ``loaded`` or ``already_loaded``.
     """
-    spark = parsed.sparkSession
-    if _exists(spark, audit_path):
-        done = spark.read.parquet(audit_path).where((F.col("snapshot_id") == snapshot_id) & (F.col("status") == "succeeded"))
-        if not done.isEmpty():
-            return "already_loaded"
-    rejected = parsed.where(F.col("error_codes") != "")
+    spark = next(iter(parsed.values())).sparkSession
+    audit = f"{root}/audit"
+    if _loaded(spark, audit, snapshot_id) >= set(parsed):
+        return "already_loaded"
+    jobs = {n: (df, contracts[n], f"{root}/tables/{n}") for n, df in parsed.items()}
+    _load(jobs, audit, batch_id, snapshot_id, on_reject, {n: f"{root}/quarantine/{snapshot_id}/{n}" for n in parsed})
+    return "loaded"
+
+
+def _load(jobs: dict[str, tuple[DataFrame, Contract, str]], audit_path: str, batch_id: int, snapshot_id: str, on_reject: str, quarantines: dict[str, str]) -> None:
+    """Batch partitions are overwritten and the audit is appended last, so an attempt that died half-way is replaced by the next.
+
+    Each input is parsed once: the stored verdicts feed the rejection test, the quarantine, the table and the reconciliation.
+    """
+    stored = {n: (pin(df), contract, table) for n, (df, contract, table) in jobs.items()}
     if on_reject == "fail":
-        if not rejected.isEmpty():
-            raise RejectedRows(contract.dataset)
-    elif quarantine_path:
-        quarantine_rows(parsed, contract).write.mode("overwrite").option("header", True).option("escape", '"').csv(quarantine_path)
-    rows = accepted_rows(parsed, contract)
-    stamped = rows.select("*", row_hash(rows, contract.dataset, contract.columns).alias("row_hash"), F.lit(batch_id).cast("long").alias("ingestion_batch_id"))
-    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ingestion_batch_id").parquet(table_path)
-    loaded = spark.read.parquet(table_path).where(F.col("ingestion_batch_id") == batch_id)
-    audit = load_reconciliation(parsed, loaded, contract.dataset).select(
+        broken = [n for n, (df, _, _) in stored.items() if not df.where(F.col("error_codes") != "").isEmpty()]
+        if broken:
+            raise RejectedRows(", ".join(sorted(broken)))
+    else:
+        for n, path in quarantines.items():
+            quarantine_rows(*stored[n][:2]).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    audits = []
+    for n, (df, contract, table) in stored.items():
+        rows = accepted_rows(df, contract)
+        stamped = rows.select("*", row_hash(rows, n, contract.columns).alias("row_hash"), F.lit(batch_id).cast("long").alias("ingestion_batch_id"))
+        stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ingestion_batch_id").parquet(table)
+        loaded = df.sparkSession.read.parquet(table).where(F.col("ingestion_batch_id") == batch_id) if _has_rows(df.sparkSession, table) else rows.limit(0)
+        audits.append(load_reconciliation(df, loaded, n))
+    audit = pin(reduce(DataFrame.unionByName, audits).select(
         F.lit(batch_id).cast("long").alias("ingestion_batch_id"), F.lit(snapshot_id).alias("snapshot_id"), "dataset_name",
-        "accepted_row_count", "rejected_row_count", F.when(F.col("reconciled"), "succeeded").otherwise("failed").alias("status"))
+        "accepted_row_count", "rejected_row_count", F.when(F.col("reconciled"), "succeeded").otherwise("failed").alias("status")))
     audit.coalesce(1).write.mode("append").parquet(audit_path)
-    return "loaded"
+    wrong = [r.dataset_name for r in audit.where("status = 'failed'").select("dataset_name").collect()]
+    if wrong:
+        raise RuntimeError(f"loaded rows do not reconcile: {', '.join(sorted(wrong))}")
+
+
+def _has_rows(spark: SparkSession, path: str) -> bool:
+    """An empty batch writes no partition folder, and its table cannot be read."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/ingestion_batch_id=*")
+    return bool(hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop))
 
 
 def result_manifest(results: dict[str, DataFrame]) -> DataFrame:

@@ -211,15 +211,19 @@ def event_timestamp_match(tables: Mapping[str, DataFrame]) -> DataFrame:
         "dataset_name", F.lit("reconciliation").alias("category"), "check_name", F.coalesce("violation_count", F.lit(0)).alias("violation_count"))
 
 
-def snapshot_bounds(tables: Mapping[str, DataFrame], snapshot_at: Column, times: dict[str, Sequence[str]], max_rows: int) -> DataFrame:
-    """Times not before the snapshot moment, and tables outside the agreed scale."""
+def snapshot_bounds(tables: Mapping[str, DataFrame], snapshot_at: Column, times: dict[str, Sequence[str]], expected: DataFrame) -> DataFrame:
+    """Times not before the snapshot moment, and rows more or fewer than the delivery announced (dataset_name, expected_row_count).
+
+    An empty table or one that was not announced breaks its scale by at least one.
+    """
     out = []
     for n, columns in times.items():
         late = _any([F.coalesce(F.col(c) >= F.col("__snapshot"), F.lit(False)) for c in columns])
         rows = F.count(F.lit(1))
-        one = tables[n].withColumn("__snapshot", snapshot_at).agg(F.array(
-            F.struct(F.lit(f"{n}_before_snapshot").alias("check_name"), F.count_if(late).alias("violation_count")),
-            F.struct(F.lit(f"{n}_scale").alias("check_name"), F.greatest(F.lit(0), rows - max_rows, F.when(rows == 0, 1).otherwise(0)).cast("long").alias("violation_count")),
+        announced = F.coalesce(expected.where(F.col("dataset_name") == n).agg(F.max("expected_row_count")).scalar(), F.lit(0))
+        one = tables[n].withColumn("__snapshot", snapshot_at).agg(F.count_if(late).alias("late"), rows.alias("rows")).withColumn("announced", announced).select(F.array(
+            F.struct(F.lit(f"{n}_before_snapshot").alias("check_name"), F.col("late").alias("violation_count")),
+            F.struct(F.lit(f"{n}_scale").alias("check_name"), F.greatest(F.abs(F.col("rows") - F.col("announced")), F.when(F.col("rows") == 0, 1).otherwise(0)).cast("long").alias("violation_count")),
         ).alias("e"))
         out.append(one.select(F.lit(n).alias("dataset_name"), F.lit("snapshot").alias("category"), F.inline("e")))
     return stacked(out)

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import count_when, days, elapsed_seconds, hours, ordered_prefix, rate
-from tidemark.operators.inference import blocks, poisson_weight, replicated, uniform
+from tidemark.operators.inference import hashed_clusters, poisson_weight, replicated, uniform
 
 LEAD_HOURS = 48
 LABEL_WAIT_HOURS = 72
@@ -143,7 +143,7 @@ def temporal_folds(rows: DataFrame, folds: int = 5) -> DataFrame:
     """Expanding-window fold per row, ordered by (trial start, key): 0 is history only, fold k trains on all before it."""
     start = F.col("trial_started_at")
     minute = F.timestamp_diff("MINUTE", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), start)
-    ranked = ordered_prefix(rows, [start, F.col("subscription_id")], [minute], {"position": F.lit(1)})
+    ranked = ordered_prefix(rows, [start, F.col("subscription_id")], [minute, start, F.floor(F.col("subscription_id") / 65_536)], {"position": F.lit(1)})
     sized = ranked.withColumn("__n", rows.agg(F.count(F.lit(1))).scalar())
     size = F.floor(F.col("__n") / (folds + 1))
     head = F.col("__n") - size * folds
@@ -247,16 +247,20 @@ def calibration_choice(scored: DataFrame, uncalibrated: str = "none") -> DataFra
                       *_COMPARED, "improves_both", (F.col("method") == F.col("winner")).alias("chosen"))
 
 
-def score_rank(scored: DataFrame, key: str = "subscription_id", key_width: int = 65_536) -> DataFrame:
+def score_rank(scored: DataFrame, key: str = "subscription_id", key_width: int = 65_536, key_prefix: int = 8) -> DataFrame:
     """Exact rank of every row by (p, key), lowest score first.
 
-    Distinct scores get running counts; rows sharing a score are ranked by key inside key ranges.  A score
+    Distinct scores get running counts; rows sharing a score are ranked by key inside key ranges (of numbers, or
+    of the first characters of text).  A score
     held by a third of all rows is therefore spread over its key ranges.
     """
     p = F.col("p")
     counts = scored.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
     below = ordered_prefix(counts, [p], [F.floor(p * 4096)], {"upto": F.col("n")}).select("p", (F.col("upto") - F.col("n")).alias("below"))
-    ties = ordered_prefix(scored, [F.col(key)], [F.floor(F.col(key) / key_width)], {"tie": F.lit(1)}, ["p"])
+    text = dict(scored.dtypes)[key] == "string"
+    # Both kinds of range follow the order of the key itself.
+    ranges = F.substring(key, 1, key_prefix) if text else F.floor(F.col(key) / key_width)
+    ties = ordered_prefix(scored, [F.col(key)], [ranges], {"tie": F.lit(1)}, ["p"])
     return ties.join(below, "p").withColumn("rank", F.col("below") + F.col("tie")).drop("below", "tie")
 
 
@@ -300,10 +304,10 @@ def segment_robustness(scored: DataFrame) -> DataFrame:
     return probability_metrics(scored.select("label", "p", F.inline(entries)), ["dimension", "group"])
 
 
-def paired_bootstrap(pairs: DataFrame, replicates: int = 2_000, alpha: float = 0.05, max_blocks: int = 1_000) -> DataFrame:
+def paired_bootstrap(pairs: DataFrame, replicates: int = 2_000, alpha: float = 0.05, clusters: int = 1_000) -> DataFrame:
     """Interval of the candidate-minus-reference Brier and log-loss difference on the same rows.
 
-    Per-row differences are summed per block; replicates draw one Poisson(1) weight per block.
+    Per-row differences are summed per hashed cluster; replicates draw one Poisson(1) weight per cluster.
     """
     y = F.col("label")
 
@@ -314,7 +318,7 @@ def paired_bootstrap(pairs: DataFrame, replicates: int = 2_000, alpha: float = 0
 
     (b1, l1), (b0, l0) = losses("p"), losses("p_reference")
     delta = pairs.select("subscription_id", (b1 - b0).alias("brier"), (l1 - l0).alias("logloss"))
-    grouped = blocks(delta, [], "subscription_id", ["brier", "logloss"], max_blocks, "paired")
+    grouped = hashed_clusters(delta, [], "subscription_id", ["brier", "logloss"], clusters, "paired")
     point = grouped.agg(F.struct((F.sum("brier") / F.sum("users")).alias("brier_delta"), (F.sum("logloss") / F.sum("users")).alias("log_loss_delta"))).scalar()
     w = poisson_weight(uniform(F.lit("paired"), F.col("block").cast("string"), F.col("replicate").cast("string")))
     drawn = replicated(grouped, replicates).withColumn("w", w)

@@ -14,12 +14,15 @@ from tidemark.operators.marts import date_dimension, day_bounds
 from tidemark.operators.quality import stacked
 
 LINEAGE = ["ingestion_batch_id", "validation_run_id", "source_row_number", "row_hash"]
-ROW_BITS = 40
+# A batch id has 27 bits (dates as YYYYMMDD need 25), a record number 36.
+ROW_BITS = 36
 
 
 def surrogate_key() -> Column:
-    """Batch and source row packed into one number: unique, stable under re-runs, and free of any shuffle."""
-    return F.shiftleft(F.col("ingestion_batch_id"), ROW_BITS) + F.col("source_row_number")
+    """Batch and source row packed into one number: unique, stable under re-runs, free of any shuffle, and refused where it would not fit."""
+    batch, row = F.col("ingestion_batch_id"), F.col("source_row_number")
+    fits = batch.between(0, (1 << (63 - ROW_BITS)) - 1) & row.between(0, (1 << ROW_BITS) - 1)
+    return F.when(fits, F.shiftleft(batch, ROW_BITS) + row).when(batch.isNotNull() & row.isNotNull(), F.raise_error(F.lit("batch id or record number too large for a surrogate key")))
 
 
 def dense_keys(df: DataFrame, order: str = "source_row_number", width: int = 1 << 20) -> DataFrame:

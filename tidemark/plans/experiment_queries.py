@@ -103,6 +103,7 @@ QUERIES = {
     "metric_support": support,
     "metric_plan": lambda w: inf.metric_plan(w.experiment_assignments, w.experiments, metric_registry(w.spark)),
     "binary_outcome_counts": lambda w: (lambda s: inf.binary_outcome_counts(s.outcomes, s.plan))(Study(w)),
+    "blocked_metrics": lambda w: (lambda s: inf.blocked_metrics(s.outcomes, s.plan))(Study(w)),
     "experiment_guards": lambda w: inf.experiment_guards(base(w)),
     "srm_check": lambda w: rounded(inf.srm_check(base(w).where("analysis_window_mature"))),
     "two_proportion_test": lambda w: rounded(Study(w).binary),

@@ -20,7 +20,7 @@ def _erfc(x: str) -> str:
             f"lambda n: exp((2 * n + 1) * ln({x}) - lgamma(n + 1.5)))) END)")
 
 
-def _poisson(u: str, top: int = 9) -> str:
+def _poisson(u: str, top: int = 12) -> str:
     cdf = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(top)]
     return "(SELECT CASE " + " ".join(f"WHEN u < {c!r} THEN {k}" for k, c in enumerate(cdf)) + f" ELSE {top} END FROM (SELECT {u} AS u))"
 
@@ -148,9 +148,8 @@ SELECT experiment_id, metric_key, metric_role, count(*) FILTER (WHERE variant =
   stddev_samp(minor_units) FILTER (WHERE variant = 'control') / 100.0 AS control_stddev, stddev_samp(minor_units) FILTER (WHERE variant = 'treatment') / 100.0 AS treatment_stddev
 FROM x_values GROUP BY 1, 2, 3 HAVING count(*) FILTER (WHERE variant = 'control') > 0 AND count(*) FILTER (WHERE variant = 'treatment') > 0""",
     "x_boot_blocks": """
-SELECT experiment_id, metric_key, variant, CAST(floor((rn - 1) / ceil(n / 1000.0)) AS BIGINT) AS block, count(*) AS users, CAST(sum(minor_units) AS BIGINT) AS minor_units
-FROM (SELECT *, row_number() OVER (PARTITION BY experiment_id, metric_key, variant ORDER BY md5(concat('bootstrap:', assignment_id)), assignment_id) AS rn,
-  count(*) OVER (PARTITION BY experiment_id, metric_key, variant) AS n FROM x_values) GROUP BY 1, 2, 3, 4""",
+SELECT experiment_id, metric_key, variant, CAST(('0x' || substr(md5(concat('bootstrap:', assignment_id)), 1, 8))::BIGINT % 1000 AS BIGINT) AS block,
+  count(*) AS users, CAST(sum(minor_units) AS BIGINT) AS minor_units FROM x_values GROUP BY 1, 2, 3, 4""",
     "x_boot": f"""
 SELECT experiment_id, metric_key, count(*) AS replicates, quantile_cont(d, 0.025) AS confidence_interval_low, quantile_cont(d, 0.975) AS confidence_interval_high FROM (
   SELECT experiment_id, metric_key, rep,
@@ -159,18 +158,18 @@ SELECT experiment_id, metric_key, count(*) AS replicates, quantile_cont(d, 0.025
   FROM (SELECT b.*, g.rep, {_poisson("CAST(('0x' || substr(md5(concat_ws(':', experiment_id, variant, CAST(block AS VARCHAR), CAST(g.rep AS VARCHAR))), 1, 8))::BIGINT AS DOUBLE) / 4294967296.0")} AS w
     FROM x_boot_blocks b, (SELECT unnest(range(10000)) AS rep) g) GROUP BY 1, 2, 3) GROUP BY 1, 2""",
     "x_perm_blocks": """
-SELECT experiment_id, metric_key, CAST(floor((rn - 1) / ceil(n / 1000.0)) AS BIGINT) AS block, count(*) AS users, CAST(sum(minor_units) AS BIGINT) AS minor_units
-FROM (SELECT *, row_number() OVER (PARTITION BY experiment_id, metric_key ORDER BY md5(concat('permutation:', assignment_id)), assignment_id) AS rn,
-  count(*) OVER (PARTITION BY experiment_id, metric_key) AS n FROM x_values) GROUP BY 1, 2, 3""",
+SELECT experiment_id, metric_key, CAST(('0x' || substr(md5(concat('permutation:', assignment_id)), 1, 8))::BIGINT % 1000 AS BIGINT) AS block,
+  count(*) AS users, CAST(sum(minor_units) AS BIGINT) AS minor_units FROM x_values GROUP BY 1, 2, 3""",
     "x_perm": """
 SELECT experiment_id, metric_key, count(*) AS replicates,
   count(*) FILTER (WHERE abs((s1 + s2 - s) / (control_count + treatment_count - n) - s / n) >= abs(s2 / treatment_count - s1 / control_count) - 1e-13) AS extreme_count,
   (count(*) FILTER (WHERE abs((s1 + s2 - s) / (control_count + treatment_count - n) - s / n) >= abs(s2 / treatment_count - s1 / control_count) - 1e-13) + 1) / (count(*) + 1.0::DOUBLE) AS permutation_p_value
 FROM (SELECT r.experiment_id, r.metric_key, r.rep, CAST(sum(r.minor_units) AS DOUBLE) AS s, CAST(sum(r.users) AS DOUBLE) AS n, m.s1, m.s2, m.control_count, m.treatment_count
-  FROM (SELECT b.*, g.rep, row_number() OVER (PARTITION BY experiment_id, metric_key, g.rep ORDER BY md5(concat_ws(':', 'perm', experiment_id, CAST(block AS VARCHAR), CAST(g.rep AS VARCHAR))), block) AS pos
+  FROM (SELECT b.*, g.rep, row_number() OVER (PARTITION BY experiment_id, metric_key, g.rep ORDER BY md5(concat_ws(':', 'perm', experiment_id, CAST(block AS VARCHAR), CAST(g.rep AS VARCHAR))), block) AS pos,
+    count(*) OVER (PARTITION BY experiment_id, metric_key, g.rep) AS held
     FROM x_perm_blocks b, (SELECT unnest(range(10000)) AS rep) g) r
   JOIN x_moments m ON m.experiment_id = r.experiment_id AND m.metric_key = r.metric_key
-  WHERE r.pos <= round(m.control_count / ceil((m.control_count + m.treatment_count) / 1000.0)) GROUP BY ALL) GROUP BY 1, 2""",
+  WHERE r.pos <= round(CAST(m.control_count AS DOUBLE) * r.held / (CAST(m.control_count AS DOUBLE) + m.treatment_count)) GROUP BY ALL) GROUP BY 1, 2""",
     "x_means": """
 SELECT m.experiment_id, m.metric_key, m.metric_role, control_count, treatment_count, s1 / 100.0 / control_count AS control_mean, s2 / 100.0 / treatment_count AS treatment_mean,
   s2 / 100.0 / treatment_count - s1 / 100.0 / control_count AS absolute_effect,
@@ -246,6 +245,17 @@ FROM (SELECT *, {_wilson('control')}, {_wilson('treatment')}, treatment_rate - c
 FROM (SELECT experiment_id, variant, count(*) AS n, CAST(sum(CAST(round(successful_revenue_gbp_30d * 100) AS BIGINT)) AS DOUBLE) / 100.0 / count(*) AS m
   FROM x_outcomes WHERE analysis_window_mature AND experiment_id IN (SELECT experiment_id FROM x_plan WHERE inference_status = 'pending_continuous_inference') GROUP BY 1, 2) v
 JOIN x_summary s ON s.experiment_id = v.experiment_id AND s.variant = v.variant""",
+    "blocked_metrics": """
+SELECT p.experiment_id, p.metric_key, p.metric_role, coalesce(s.n, 0) AS mature_count,
+  CASE WHEN coalesce(s.n, 0) = 0 THEN 'no_mature_user' WHEN s.other > 0 THEN 'unexpected_arm' WHEN s.c * s.t = 0 THEN 'missing_arm'
+    WHEN NOT coalesce(s.ca > 0 AND s.ca < 1 AND s.ta > 0 AND s.ta < 1, false) THEN 'invalid_allocation'
+    WHEN p.experiment_id NOT IN (SELECT experiment_id FROM x_srm WHERE NOT mismatch_detected) THEN 'sample_ratio_mismatch'
+    WHEN p.inference_status NOT IN ('ready_binary', 'pending_continuous_inference') THEN p.inference_status END AS blocked_reason
+FROM x_plan p LEFT JOIN (
+  SELECT experiment_id, count(*) FILTER (WHERE analysis_window_mature) AS n, count(*) FILTER (WHERE analysis_window_mature AND (variant IS NULL OR variant NOT IN ('control', 'treatment'))) AS other,
+    count(*) FILTER (WHERE analysis_window_mature AND variant = 'control') AS c, count(*) FILTER (WHERE analysis_window_mature AND variant = 'treatment') AS t,
+    max(allocation_probability) FILTER (WHERE analysis_window_mature AND variant = 'control') AS ca, max(allocation_probability) FILTER (WHERE analysis_window_mature AND variant = 'treatment') AS ta
+  FROM x_outcomes GROUP BY 1) s ON s.experiment_id = p.experiment_id""",
     "holm_adjust": """
 SELECT experiment_id, metric_key, metric_role, test, round(raw_p_value, 9) AS raw_p_value, m AS family_size, round(adj, 9) AS holm_adjusted_p_value, adj < 0.05 AS detectable_after_holm
 FROM (SELECT *, max(least(1.0, raw_p_value * (m - rk + 1))) OVER (PARTITION BY experiment_id ORDER BY rk) AS adj FROM (

@@ -84,6 +84,10 @@ UNION ALL SELECT 'users', 'missing', 0, 0 UNION ALL SELECT 'regions', 'unexpecte
     "row_hash": f"SELECT transaction_id, sha256({_PAYLOAD}) AS row_hash FROM i_accepted",
     "new_batches_only": """SELECT ingestion_batch_id, count(*) AS row_count, max(subscription_started_at) AS last_started_at FROM i_batches
 WHERE ingestion_batch_id >= (SELECT max(ingestion_batch_id) - 1 FROM i_batches) GROUP BY 1""",
+    "load_snapshot": f"""SELECT CAST(20240131 AS BIGINT) AS ingestion_batch_id, 'snapshot_a' AS snapshot_id, 'subscription_transactions' AS dataset_name, count(*) FILTER (WHERE error_codes = '') AS accepted_row_count,
+  count(*) FILTER (WHERE error_codes <> '') AS rejected_row_count, 'succeeded' AS status, (SELECT count(*) FROM i_accepted) AS stored_row_count,
+  (SELECT count(DISTINCT sha256({_PAYLOAD})) FROM i_accepted) AS distinct_row_hashes, 'already_loaded' AS second_attempt FROM i_parsed
+UNION ALL SELECT 20240131, 'snapshot_a', 'users', count(*), 0, 'succeeded', count(*), count(*), 'already_loaded' FROM users""",
     "load_reconciliation": """SELECT 'subscription_transactions' AS dataset_name, count(*) AS read_row_count, count(*) FILTER (WHERE error_codes = '') AS accepted_row_count,
   count(*) FILTER (WHERE error_codes <> '') AS rejected_row_count, (SELECT count(*) FROM i_accepted) AS loaded_row_count, true AS reconciled FROM i_parsed""",
     "promote_batch": """SELECT transaction_id, CAST(year(attempted_at) AS BIGINT) AS ingestion_batch_id, CAST(year(attempted_at) * 10 AS BIGINT) AS validation_run_id, amount_gbp FROM i_accepted""",

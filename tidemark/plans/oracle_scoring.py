@@ -70,8 +70,8 @@ UNION ALL SELECT 'platform', platform, label, p FROM s_scored UNION ALL SELECT '
 UNION ALL SELECT 'acquisition_channel', acquisition_channel, label, p FROM s_scored""",
     "s_delta": """SELECT subscription_id, (p - label) * (p - label) - (p2 - label) * (p2 - label) AS b,
   -(CASE WHEN label = 1 THEN ln(p) ELSE ln(1 - p) END) + (CASE WHEN label = 1 THEN ln(p2) ELSE ln(1 - p2) END) AS l FROM s_scored""",
-    "s_blocks": """SELECT CAST(floor((rn - 1) / ceil(n / 1000.0)) AS BIGINT) AS block, count(*) AS users, sum(b) AS b, sum(l) AS l
-FROM (SELECT *, row_number() OVER (ORDER BY md5(concat('paired:', CAST(subscription_id AS VARCHAR))), subscription_id) AS rn, count(*) OVER () AS n FROM s_delta) GROUP BY 1""",
+    "s_blocks": """SELECT CAST(('0x' || substr(md5(concat('paired:', CAST(subscription_id AS VARCHAR))), 1, 8))::BIGINT % 1000 AS BIGINT) AS block,
+  count(*) AS users, sum(b) AS b, sum(l) AS l FROM s_delta GROUP BY 1""",
 }
 
 _DELTAS = ("brier_score", "log_loss", "roc_auc", "average_precision")

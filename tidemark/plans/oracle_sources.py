@@ -50,12 +50,10 @@ SELECT event_id AS transaction_id, user_id, ts AS attempted_at,
   CAST(CASE WHEN event_id % 4 = 0 THEN 99.99 ELSE 11.99 END AS DECIMAL(18,2)) AS amount_gbp
 FROM events WHERE event_type = 'purchase' AND event_id % 3 = 1""",
     "marketing_spend": """
-SELECT p.period_start, CAST(p.period_start + INTERVAL '6' DAY AS DATE) AS period_end, s.acquisition_channel,
-  CAST(CASE s.acquisition_channel WHEN 'BUILDING' THEN 0 ELSE length(s.acquisition_channel) * 10.25 END AS DECIMAL(18,2)) AS spend,
-  CASE WHEN s.acquisition_channel IN ('AUTOMOBILE','MACHINERY') THEN 1000 + 100 * length(s.acquisition_channel) END AS impressions,
-  CASE WHEN s.acquisition_channel IN ('AUTOMOBILE','MACHINERY') THEN 50 + length(s.acquisition_channel) END AS clicks
-FROM (SELECT DISTINCT CAST(date_trunc('week', installed_at) AS DATE) AS period_start FROM installations) p
-CROSS JOIN (SELECT DISTINCT acquisition_channel FROM installations) s""",
+SELECT CAST(date_trunc('week', e.ts) AS DATE) AS period_start, CAST(date_trunc('week', e.ts) + INTERVAL '6' DAY AS DATE) AS period_end, i.acquisition_channel,
+  CAST(coalesce(sum(CAST(e.value AS DECIMAL(18,2))) FILTER (WHERE e.event_type = 'purchase'), 0) AS DECIMAL(18,2)) AS spend,
+  CAST(count(*) FILTER (WHERE e.event_type = 'view') AS INT) AS impressions, CAST(count(*) FILTER (WHERE e.event_type = 'click') AS INT) AS clicks
+FROM events e JOIN installations i ON i.installation_id = e.user_id WHERE e.ts IS NOT NULL GROUP BY 1, 2, 3""",
     "experiments": """
 SELECT 'exp_a' AS experiment_id, TIMESTAMP '2024-01-02 00:00:00' AS start_at, TIMESTAMP '2024-01-12 00:00:00' AS end_at, 7 AS analysis_window_days, 'paywall_viewers' AS eligibility_rule, 'trial_start_conversion_7d' AS primary_metric, 'paid_conversion_14d' AS secondary_metric, 'revenue_per_assigned_user_30d' AS commercial_metric, 'cancellation_or_expiry_30d' AS guardrail_metric
 UNION ALL SELECT 'exp_b', TIMESTAMP '2023-12-22 00:00:00', TIMESTAMP '2024-01-15 00:00:00', 14, 'new_signups', 'onboarding_completion_48h', 'activation_48h', 'trial_start_conversion_14d', 'd7_return_rate'

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tidemark.operators.quality import REFERENCES
 
-_NATIONS = ", ".join(f"'NATION_{i}'" for i in range(20))
+_NATIONS = ", ".join(f"'NATION_{i}'" for i in range(25))
 _SEG = "'AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'"
 _R = {
     "installations": "r_installations", "users": "r_users", "product_events": "r_events", "subscriptions": "r_subs",
@@ -27,7 +27,7 @@ _TIME_NULLS = {
 _DOMAIN = {
     "installations": f"platform NOT IN ('ios', 'android') OR acquisition_channel NOT IN ({_SEG}) OR country_code NOT IN ({_NATIONS}) OR anonymous_id <> trim(anonymous_id)",
     "users": "anonymous_id <> trim(anonymous_id)",
-    "product_events": "coalesce(feature_name NOT IN ('feature_0', 'feature_1', 'feature_2', 'feature_3'), false) OR event_name NOT IN ('session_started', 'feature_used', 'paywall_viewed', 'payment_failed', 'trial_started', 'subscription_started', 'cancellation_requested')",
+    "product_events": "coalesce(feature_name NOT IN ('feature_0', 'feature_1', 'feature_2', 'feature_3', 'feature_4'), false) OR event_name NOT IN ('session_started', 'feature_used', 'paywall_viewed', 'payment_failed', 'trial_started', 'subscription_started', 'cancellation_requested')",
     "subscriptions": "billing_period NOT IN ('monthly', 'annual') OR price_gbp < 0 OR status NOT IN ('trialing', 'active', 'past_due', 'expired', 'cancel_at_period_end')",
     "subscription_transactions": "transaction_type NOT IN ('initial_charge', 'renewal') OR payment_status NOT IN ('succeeded', 'failed') OR amount_gbp < 0 OR billing_cycle_number < 1",
     "experiment_assignments": "variant NOT IN ('control', 'treatment') OR allocation_probability < 0 OR allocation_probability > 1 OR analysis_window_days < 1",
@@ -39,7 +39,7 @@ _A = {
     "subscription_transactions": "f_txn", "experiment_assignments": "f_assign", "marketing_spend": "f_spend", "app_releases": "d_release",
 }
 _S = {n: "st_" + r[2:] for n, r in _R.items()}
-_SK = "(1099511627776 + {t}.rn)"
+_SK = "(68719476736 + {t}.rn)"
 
 
 def _dk(c: str) -> str:
@@ -77,7 +77,7 @@ FROM experiment_assignments a JOIN experiments x ON x.experiment_id = a.experime
     "r_rel": """
 SELECT p_partkey AS app_release_id, p_brand AS release_key, p_name AS release_name, p_size AS release_sequence, CASE WHEN p_partkey % 2 = 0 THEN 'ios' ELSE 'android' END AS platform,
   concat('1.', CAST(p_size AS VARCHAR)) AS version, TIMESTAMP '2024-01-01' + INTERVAL '1' DAY * CAST(p_partkey % 30 AS INT) AS release_at,
-  CASE p_type WHEN 'ECONOMY' THEN 'major' WHEN 'SMALL' THEN 'minor' ELSE lower(p_type) END AS release_type, CASE WHEN p_partkey % 2 = 0 THEN 'full' ELSE 'phased' END AS rollout_strategy,
+  CASE p_type WHEN 'ECONOMY' THEN 'major' WHEN 'SMALL' THEN 'minor' ELSE 'patch' END AS release_type, CASE WHEN p_partkey % 2 = 0 THEN 'full' ELSE 'phased' END AS rollout_strategy,
   p_size % 10 AS rollout_days, TIMESTAMP '2024-01-01' + INTERVAL '1' DAY * CAST(p_partkey % 30 + p_size % 10 - 1 AS INT) AS rollout_complete_at, p_partkey + 2 AS rn FROM part""",
     **{_S[n]: f"SELECT * FROM {_R[n]} WHERE NOT ({_TIME_NULLS[n]}) AND NOT ({_DOMAIN[n]})" for n in _R},
     "d_installation": f"""SELECT {_SK.format(t='s')} AS installation_key, s.installation_id, s.anonymous_id, s.installed_at, {_dk('s.installed_at')} AS installed_date_key,
@@ -263,7 +263,7 @@ FROM ({_counts(_R, "raw_row_count")}) r LEFT JOIN w_staging s ON s.dataset_name
     "dq_nullability": _NULLS, "dq_domain": _DOMAINS,
     "dq_snapshot_bounds": " UNION ALL ".join(
         _check(n, "snapshot", f"{n}_before_snapshot", _where(_R[n], " OR ".join(f"{c} >= (SELECT max(ts) - INTERVAL 3 DAY FROM events)" for c in cols))) + " UNION ALL "
-        + _check(n, "snapshot", f"{n}_scale", f"SELECT greatest(0, count(*) - 50000, CASE WHEN count(*) = 0 THEN 1 ELSE 0 END) FROM {_R[n]}") for n, cols in _BOUNDED.items()),
+        + _check(n, "snapshot", f"{n}_scale", f"SELECT CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM {_R[n]}") for n, cols in _BOUNDED.items()),
     "dim_date": f"""SELECT {_dk('full_date')} AS date_key, full_date, year(full_date) AS calendar_year, quarter(full_date) AS calendar_quarter, month(full_date) AS month_number,
   monthname(full_date) AS month_name, week(full_date) AS iso_week, day(full_date) AS day_of_month, isodow(full_date) AS day_of_week, dayname(full_date) AS day_name,
   isodow(full_date) >= 6 AS is_weekend FROM w_dates""",

@@ -84,7 +84,7 @@ def bounds(w: Warehouse) -> DataFrame:
     """Everything must lie before the end of the observed day range of the events."""
     t = {n: raw(w)[n] for n in DATED_COLUMNS}
     last = mq.cutoff(w).select(F.col("observation_cutoff_at") - days(3)).scalar()
-    return quality.snapshot_bounds(t, last, DATED_COLUMNS, 50_000)
+    return quality.snapshot_bounds(t, last, DATED_COLUMNS, raw_files(w))
 
 
 def authorisation(w: Warehouse) -> DataFrame:

@@ -35,12 +35,12 @@ def _words(name: str, *allowed: str, nullable: bool = False) -> Field:
 # Row rules of the datasets as they appear in these tables; same shape as the CSV contract.
 RULES: dict[str, Contract] = {c.dataset: c for c in (
     Contract("installations", "installation_id", (*_ids("installation_id"), _words("anonymous_id"), *_times("installed_at"),
-             _words("platform", *PLATFORMS), _words("acquisition_channel", *SEGMENTS), _words("country_code", *(f"NATION_{i}" for i in range(20))))),
+             _words("platform", *PLATFORMS), _words("acquisition_channel", *SEGMENTS), _words("country_code", *(f"NATION_{i}" for i in range(25))))),
     Contract("users", "user_id", (*_ids("user_id", "installation_id"), _words("anonymous_id"), *_times("signed_up_at"),
              *_times("onboarding_started_at", "onboarding_completed_at", nullable=True))),
     Contract("product_events", "event_id", (*_ids("event_id"), _words("event_name", *EVENTS), *_times("occurred_at"), *_ids("installation_id"),
              _words("anonymous_id"), *_ids("user_id", nullable=True), _words("session_id", nullable=True),
-             _words("feature_name", *(f"feature_{i}" for i in range(4)), nullable=True))),
+             _words("feature_name", *(f"feature_{i}" for i in range(5)), nullable=True))),
     Contract("subscriptions", "subscription_id", (*_ids("subscription_id", "user_id", "installation_id"), _words("billing_period", *BILLING),
              Field("price_gbp", "decimal", low=0), _words("status", *STATUSES), *_times("trial_started_at", "trial_ends_at"),
              *_times("subscription_started_at", "expired_at", nullable=True))),
@@ -106,7 +106,7 @@ class Layers:
             return w.table("part").select(
                 c("p_partkey").alias("app_release_id"), c("p_brand").alias("release_key"), c("p_name").alias("release_name"), size.alias("release_sequence"),
                 F.when(even, "ios").otherwise("android").alias("platform"), F.concat(F.lit("1."), size.cast("string")).alias("version"), day.alias("release_at"),
-                F.when(c("p_type") == "ECONOMY", "major").when(c("p_type") == "SMALL", "minor").otherwise(F.lower("p_type")).alias("release_type"),
+                F.when(c("p_type") == "ECONOMY", "major").when(c("p_type") == "SMALL", "minor").otherwise("patch").alias("release_type"),
                 F.when(even, "full").otherwise("phased").alias("rollout_strategy"), (size % 10).alias("rollout_days"),
                 (day + days((size % 10 - 1).cast("int"))).alias("rollout_complete_at"))
 

@@ -147,26 +147,16 @@ class Warehouse:
 
     @cached_property
     def marketing_spend(self) -> DataFrame:
-        """Weeks in which anybody installed x channels anybody installed from."""
-        install = self.installations
-        weeks = install.select(F.trunc("installed_at", "WEEK").alias("period_start")).distinct()
-        channels = install.select("acquisition_channel").distinct()
-        # Weekly x channel grid: both lists are gathered into one bounded array row (calendar weeks, channel names).
-        grid = weeks.withColumn(
-            "acquisition_channel",
-            F.explode(channels.agg(F.collect_set("acquisition_channel")).scalar()),
-        )
-        ch = F.col("acquisition_channel")
-        paid = ch.isin("AUTOMOBILE", "MACHINERY")
-        return grid.select(
-            "period_start",
-            F.date_add("period_start", 6).alias("period_end"),
-            "acquisition_channel",
-            F.when(ch == "BUILDING", F.lit(0).cast("decimal(18,2)"))
-            .otherwise((F.length(ch) * F.lit("10.25").cast("decimal(6,2)")).cast("decimal(18,2)")).alias("spend"),
-            F.when(paid, 1000 + 100 * F.length(ch)).alias("impressions"),
-            F.when(paid, 50 + F.length(ch)).alias("clicks"),
-        )
+        """Weekly spend, impressions and clicks per channel, from the recorded events of the channel's users.
+
+        The recorded value of a purchase event stands for money; views are impressions and clicks are clicks.
+        """
+        kind = F.col("event_type")
+        seen = self.raw_events.join(self.installations.select(F.col("installation_id").alias("user_id"), "acquisition_channel"), "user_id")
+        return seen.groupBy(F.trunc("ts", "WEEK").alias("period_start"), "acquisition_channel").agg(
+            F.coalesce(F.sum(F.when(kind == "purchase", F.col("value").cast("decimal(18,2)"))), F.lit(0)).cast("decimal(18,2)").alias("spend"),
+            F.count_if(kind == "view").cast("int").alias("impressions"), F.count_if(kind == "click").cast("int").alias("clicks"),
+        ).where("period_start is not null").select("period_start", F.date_add("period_start", 6).alias("period_end"), "acquisition_channel", "spend", "impressions", "clicks")
 
     @cached_property
     def experiments(self) -> DataFrame:
