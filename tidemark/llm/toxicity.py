@@ -25,7 +25,7 @@ LEVEL = 19
 COPIES = 3
 GAINS = (3, 4, 5, 6)  # bytes by which the toxic dictionary is shorter: calibrated thresholds
 MARKS = 2_000  # beginnings of words that the driver gets at most
-SHARE, LIFT, LEAST = 0.02, 10.0, 3  # of toxic documents that hold a beginning; times as often as in ordinary ones
+SHARE, LIFT, LEAST = 0.03, 10.0, 3  # of toxic documents that hold a beginning; times as often as in ordinary ones
 MEMO = 300_000
 SEPARATORS = b"\"'()[]{}.,!?;:%#$&*|"
 BLANKS = bytes.maketrans(SEPARATORS, b" " * len(SEPARATORS))
@@ -60,7 +60,8 @@ def special_text(sample: DataFrame) -> bytes:
                    .groupBy("mark").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).where(f"c1 >= {LEAST - 1}"), "marks")
     lift = ((F.col("c1") + 0.5) / (toxic + 1)) / ((F.col("c0") + 0.5) / (ordinary + 1))
     weight = F.col("c1") * F.log(lift)
-    rows = counts.where((F.col("c1") >= max(LEAST, SHARE * toxic)) & (lift > LIFT)).orderBy(weight.desc(), "mark").limit(MARKS).select("mark").collect()
+    rows = counts.where((F.col("c1") >= max(LEAST, SHARE * toxic)) & (lift > LIFT)).orderBy(
+        weight.desc(), F.octet_length("mark").desc(), "mark").limit(MARKS).select("mark").collect()  # of equal ones the longest
     marks: list[bytes] = []
     for mark in (bytes(r["mark"]) for r in rows):
         if not any(mark.startswith(m) or m.startswith(mark) for m in marks):
