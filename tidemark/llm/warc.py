@@ -6,6 +6,7 @@ import base64
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -69,7 +70,7 @@ def render(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """pages (page_id, url, html) -> WARC files of at most ``RECORDS_PER_FILE`` records.
+    """pages (page_id, url, html) -> gzipped WARC files of at most ``RECORDS_PER_FILE`` records.
 
     Of records with equal payloads of 1000 bytes or more, that of the largest page_id is a response and the others revisit it.
     The roles come from (page_id, digest) rows alone; pages meet them by page, so that a payload shared by a third of all pages
@@ -85,7 +86,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     roles = roles.select(F.struct("page_id", "digest").alias("key"), "target")
     placed = named.withColumn("key", F.struct("page_id", "digest")).join(roles.hint("shuffle_hash"), "key", "left")
     lines = placed.select("page_id", "url", "html", "digest", "target").mapInArrow(render, "value string")
-    lines.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    lines.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 FIELDS = "record_id string, kind string, origin string, segment int, total long, page_id long, refers_to string, digest string, block binary"
@@ -114,13 +115,23 @@ def parse_stream(data: bytes) -> Iterator[dict]:
         at = end + 4
 
 
+def unzipped(data: bytes) -> bytes:
+    """All members of a gzip file (one per record or one for all), or the bytes as they are; a cut member gives what it has."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(data))
+        data = member.unused_data
+    return b"".join(out) + data
+
+
 def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()),
                         ("page_id", pa.int64()), ("refers_to", pa.string()), ("digest", pa.string()), ("block", pa.binary())])
     for batch in batches:
         for content in batch.column(0):
             out, held = [], 0
-            for record in parse_stream(content.as_py()):
+            for record in parse_stream(unzipped(content.as_py())):
                 out.append({name: record.get(name) for name in schema.names})
                 held += len(record["block"])
                 if held > 4_000_000:
