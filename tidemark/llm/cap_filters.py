@@ -1,14 +1,13 @@
 """Embedding near-duplicates by spherical-cap filters with a random product code.
 
 A filter is a unit direction put together from one code vector per block of the rotated space.  Each vector is listed under all
-filters whose direction it exceeds the cap's height with; the list comes from the blocks' partial sums without visiting the
-``codes ** BLOCKS`` directions.  Vectors meet where they share a filter, and every pair is verified there in double precision.
+filters whose cap it lies in; its cap height is where ``LISTED`` filters are exceeded, so that vectors in dense and in empty
+directions are listed alike.  The list comes from the blocks' partial sums without visiting the ``codes ** BLOCKS`` directions.  Vectors meet where they share a filter, and every pair is verified there in double precision.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +18,8 @@ from tidemark.llm.store import stage
 
 NEAR = 0.98
 BLOCKS = 4
-LISTED = 10  # filters that a random vector exceeds, on average
+LISTED = 20  # filters that a vector exceeds: a pair at 0.98 shares one with probability 0.999 and more
 BUCKET = 8  # random vectors under one filter, on average
-MARGIN = 1.25  # standard deviations below a vector's best filter that it is listed in any case
 SQUARE = 2_000  # vectors that one task compares with as many others
 SEED = 7
 
@@ -41,7 +39,11 @@ def product_code(dim: int, codes: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def list_decode(unit: np.ndarray, codes: int) -> list[np.ndarray]:
-    """For each unit vector the sorted ids of the filters it exceeds."""
+    """For each unit vector the sorted ids of the ``LISTED`` filters of largest inner product (all, where there are fewer).
+
+    A first line a little under the expected height is decoded; where it gives too few filters, it is lowered.  Decoding a line
+    joins each left half of a direction with the right halves that reach the line beside it, best first.
+    """
     dim = unit.shape[1]
     rotation, vectors = product_code(dim, codes)
     turned = (unit @ rotation).reshape(len(unit), BLOCKS, -1)
@@ -49,23 +51,30 @@ def list_decode(unit: np.ndarray, codes: int) -> list[np.ndarray]:
     left = (parts[0][:, :, None] + parts[1][:, None, :]).reshape(len(unit), -1)
     right = (parts[2][:, :, None] + parts[3][:, None, :]).reshape(len(unit), -1)
     total = codes**BLOCKS
-    height = NormalDist().inv_cdf(max(0.5, 1 - LISTED / total)) / np.sqrt(dim) if total > LISTED else -2.0
     order = np.argsort(-right, axis=1)
     sorted_right = np.take_along_axis(right, order, axis=1)
-    lines = np.minimum(height, left.max(1) + sorted_right[:, 0] - MARGIN / np.sqrt(dim))
+    best = left.max(1) + sorted_right[:, 0]
     out = []
-    for row, line in enumerate(lines):
-        some = np.flatnonzero(left[row] >= line - sorted_right[row, 0])
-        counts = np.searchsorted(-sorted_right[row], left[row, some] - line, side="right")
+    for row in range(len(unit)):
+        gap = 0.8 / np.sqrt(dim)
+        while True:
+            line = best[row] - gap
+            some = np.flatnonzero(left[row] >= line - sorted_right[row, 0])
+            counts = np.searchsorted(-sorted_right[row], left[row, some] - line, side="right")
+            if counts.sum() >= min(LISTED, total):
+                break
+            gap *= 1.5
         owners = np.repeat(some, counts)
         ranks = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        out.append(np.sort(owners * right.shape[1] + order[row, ranks]))
+        scores = left[row, owners] + sorted_right[row, ranks]
+        ids = owners * right.shape[1] + order[row, ranks]
+        out.append(np.sort(ids[np.lexsort((ids, -scores))[:LISTED]]))
     return out
 
 
-def list_filters(codes: int):
+def list_filters(codes: int, wide: bool):
     """(rid, label, m, embedding) -> a row per filter: rid, label, m, embedding, filter, and all filters of the vector."""
-    schema = pa.schema([("rid", pa.int64()), ("label", pa.string()), ("m", pa.int64()), ("embedding", pa.list_(pa.float64())), ("filter", pa.int64()), ("filters", pa.list_(pa.int64()))])
+    schema = pa.schema([("rid", pa.int64()), ("label", pa.string()), ("m", pa.int64()), ("embedding", pa.list_(pa.float64() if wide else pa.float32())), ("filter", pa.int64()), ("filters", pa.list_(pa.int64()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,10 +88,10 @@ def list_filters(codes: int):
                     index = np.repeat(np.arange(len(same)), counts)
                     own = pa.RecordBatch.from_arrays([
                         pa.array([r["rid"] for r in same], pa.int64()), pa.array([f"{r['label']}/{dim}" for r in same]), pa.array([r["m"] for r in same], pa.int64()),
-                        pa.array(list(unit), pa.list_(pa.float64())), pa.array(found, pa.list_(pa.int64()))], names=["rid", "label", "m", "embedding", "filters"])
-                    wide = own.take(pa.array(index))
+                        pa.array([r["embedding"] for r in same], schema.field("embedding").type), pa.array(found, pa.list_(pa.int64()))], names=["rid", "label", "m", "embedding", "filters"])
+                    each = own.take(pa.array(index))
                     filters = pa.array(np.concatenate(found))
-                    yield pa.RecordBatch.from_arrays([wide["rid"], wide["label"], wide["m"], wide["embedding"], filters, wide["filters"]], schema=schema)
+                    yield pa.RecordBatch.from_arrays([each["rid"], each["label"], each["m"], each["embedding"], filters, each["filters"]], schema=schema)
 
     return run
 
@@ -97,63 +106,67 @@ def verify(near: float):
     """Rows (label, filter, i, j, side, rid, m, embedding, filters) sorted by square -> links counted and a spanning forest.
 
     Square (i, j) compares block i of a filter's list with block j.  A pair counts under its smallest common filter only.
-    Result: (a, b, w): b null: w links more for a; else an edge of the forest.
+    Result: (a, b, w): b null: w links more for a; else both are connected.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("w", pa.int64())])
 
-    def close(key: tuple, rows: list[dict]) -> pa.RecordBatch | None:
-        _, now, i, j = key
-        first = [r for r in rows if r["side"] == 0]
-        second = first if i == j else [r for r in rows if r["side"] == 1]
-        if not first or not second or (i == j and len(first) < 2):
+    def close(key: tuple, parts: list[tuple]) -> pa.RecordBatch | None:
+        side, rid, m = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        if len(rid) < 2:
             return None
-        x, y = (np.array([r["embedding"] for r in side]) for side in (first, second))
-        p, q = np.nonzero(x @ y.T >= near)
-        if i == j:
-            p, q = p[p < q], q[p < q]
-        if not len(p):
+        x, owner, filters = _unit(np.concatenate([p[3] for p in parts])), np.repeat(np.arange(len(rid)), np.concatenate([p[4] for p in parts])), np.concatenate([p[5] for p in parts])
+        one, two = (np.flatnonzero(side == 0), np.flatnonzero(side == int(key[2] != key[3])))
+        linked = x[one] @ x[two].T >= near
+        if key[2] == key[3]:
+            np.fill_diagonal(linked, False)
+        if not linked.any():
             return None
-        # Earlier common filters, by the few lists that have a link here.
-        earlier = {}
-        for side, rows_ in ((0, first), (1, second)):
-            for n in np.unique((p, q)[side]):
-                own = np.array(rows_[n]["filters"])
-                earlier[side, int(n)] = frozenset(own[own < now].tolist())
-        fresh = np.fromiter((earlier[0, a].isdisjoint(earlier[1, b]) for a, b in zip(p.tolist(), q.tolist())), bool, len(p))
-        p, q = p[fresh], q[fresh]
-        ids, others = (np.array([r["rid"] for r in side]) for side in (first, second))
-        many, most = (np.array([r["m"] for r in side]) for side in (first, second))
-        links: dict[int, int] = {}
-        parent: dict[int, int] = {}
-
-        def root(v: int) -> int:
-            while parent.setdefault(v, v) != v:
-                parent[v] = v = parent[parent[v]]
-            return v
-
-        edges = []
-        for a, b, ma, mb in zip(ids[p].tolist(), others[q].tolist(), many[p].tolist(), most[q].tolist()):
-            links[a] = links.get(a, 0) + mb
-            links[b] = links.get(b, 0) + ma
-            ra, rb = root(a), root(b)
-            if ra != rb:
-                parent[ra] = rb
-                edges.append((a, b))
-        a = [*links, *(e[0] for e in edges)]
-        b = [None] * len(links) + [e[1] for e in edges]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([*links.values(), *[0] * len(edges)], pa.int64())], schema=schema)
+        before = filters < key[1]
+        owner, known = owner[before], np.unique(filters[before], return_inverse=True)
+        if len(known[0]):
+            holds = np.zeros((len(rid), len(known[0])), np.float32)
+            holds[owner, known[1]] = 1
+            linked &= holds[one] @ holds[two].T == 0
+        counts = np.zeros(len(rid), np.int64)
+        counts[one] += linked @ m[two]
+        if key[2] != key[3]:
+            counts[two] += m[one] @ linked
+        edges, fresh = [], linked.any(1)
+        while fresh.any():
+            # Everything that the first row not yet reached is connected with.
+            lead = int(np.flatnonzero(fresh)[0])
+            rows, columns = np.zeros(len(one), bool), linked[lead].copy()
+            while True:
+                rows = linked[:, columns].any(1)
+                grown = linked[rows].any(0)
+                if (grown == columns).all():
+                    break
+                columns = grown
+            rows[lead] = True
+            fresh &= ~rows
+            reached = np.unique(np.concatenate([one[rows], two[columns]]))
+            edges += [(int(rid[one[lead]]), int(r)) for r in rid[reached] if r != rid[one[lead]]]
+        some = np.flatnonzero(counts)
+        a = [*rid[some].tolist(), *(e[0] for e in edges)]
+        b = [None] * len(some) + [e[1] for e in edges]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([*counts[some].tolist(), *[0] * len(edges)], pa.int64())], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+        now, parts = None, []
         for batch in batches:
-            for r in batch.to_pylist():
-                key = (r["label"], r["filter"], r["i"], r["j"])
-                if key != now:
-                    if rows and (out := close(now, rows)) is not None:
+            keys = list(zip(*(batch.column(n).to_pylist() for n in ("label", "filter", "i", "j"))))
+            side, rid, m = (batch.column(n).to_numpy() for n in ("side", "rid", "m"))
+            vectors, lists = batch.column("embedding"), batch.column("filters")
+            ends, values = vectors.offsets.to_numpy(), vectors.values.to_numpy().astype(float)
+            tails, filters = lists.offsets.to_numpy(), lists.values.to_numpy()
+            starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+            for lo, hi in zip(starts, [*starts[1:], len(keys)]):
+                if keys[lo] != now:
+                    if parts and (out := close(now, parts)) is not None:
                         yield out
-                    now, rows = key, []
-                rows.append(r)
-        if rows and (out := close(now, rows)) is not None:
+                    now, parts = keys[lo], []
+                parts.append((side[lo:hi], rid[lo:hi], m[lo:hi], values[ends[lo] : ends[hi]].reshape(hi - lo, -1), np.diff(tails[lo : hi + 1]), filters[tails[lo] : tails[hi]]))
+        if parts and (out := close(now, parts)) is not None:
             yield out
 
     return run
@@ -167,16 +180,18 @@ def near_vectors(vectors: DataFrame, near: float = NEAR) -> DataFrame:
     a null vec_id never names a component, and a component of nulls has none (kept is null).  Lists above ``SQUARE`` vectors
     are cut into squares of blocks, each its own unit of work; nothing is left out.
     """
+    # Single precision stays as it is until a task computes with it in double precision.
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
     usable = F.col("label").isNotNull() & F.coalesce(F.size("embedding") > 0, F.lit(False)) & F.coalesce(
         F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     rows = rows.withColumn("usable", usable)
     reps = rows.where("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"))
     reps = stage(reps.withColumn("rid", F.monotonically_increasing_id()), "vectors")
     largest = reps.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     codes = code_size(largest)
     listed = reps.select("rid", "label", "m", "embedding").mapInArrow(
-        list_filters(codes), "rid long, label string, m long, embedding array<double>, filter long, filters array<long>")
+        list_filters(codes, kind == "double"), f"rid long, label string, m long, embedding array<{kind}>, filter long, filters array<long>")
     listed = stage(listed, "filters")
     sizes = listed.groupBy("label", "filter").agg(F.count("*").alias("c")).where("c > 1").withColumn("blocks", F.ceil(F.col("c") / SQUARE))
     met = listed.join(sizes, ["label", "filter"]).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")))
