@@ -23,10 +23,10 @@ def plain():
 def test_chunks_equal_the_whole_text():
     rng = np.random.default_rng(5)
     encode, ids = plain(), encoder(PATH)
-    parts = ["a", "b!", " ", "  ", "\n", "\t", "\x1c", "'s", "é", "世", "᠎", "​", " ", "\xa0", "<|endoftext|>", "9", "\r\n", "..."]
-    for _ in range(3_000):
-        text = "".join(rng.choice(parts, rng.integers(0, 14)))
-        assert ids(text) == np.array(encode(text), "<u4").tobytes(), repr(text)
+    parts = ["a", "Bc", "b!", " ", "  ", "\n", "\t", "\x1c", "'s", "'", "é", "ß×", "β", "e\u0301", "世", "\u180e", "\u200b", "\u2028", "\xa0", "<|endoftext|>", "9", "_", "\r\n", "...", "“q”", "x" * 70]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(6_000)] + [None]
+    for text, got in zip(texts, ids.ids(texts)):
+        assert got == np.array(encode(text or ""), "<u4").tobytes(), repr(text)
 
 
 def test_round_trip(spark):

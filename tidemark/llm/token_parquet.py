@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import re
+import sys
+import types
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,48 +20,60 @@ END_ID = 2
 #: Row groups are what a reader skips by statistics, pages what it skips by the page index (min and max of doc_id).
 ROW_GROUP, PAGE = 16 * 1024 * 1024, 64 * 1024
 BATCH_CHARS = 4_000_000
-MEMO, MEMO_WORD = 300_000, 64
+MEMO, MEMO_WORD = 700_000, 64  # chunks a worker process remembers, and their characters at most
 
-#: Unicode White_Space, where the byte-level pre-tokenizer may cut.  Before a run of it that follows anything else it always cuts.
+#: Unicode White_Space, Latin letters, and ASCII that is neither: between them the byte-level pre-tokenizer cuts in every
+#: context, before a run of white space that follows anything else and after a run of letters that such ASCII follows.
 SPACE = "\t-\r \x85\xa0  -     　"
-CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+OTHER = r"!-@\[-`{-~"
+CUT = f"(?=[{OTHER}{SPACE}]|$)"
+CHUNK = re.compile(f"[{SPACE}]*+[{LETTER}]++{CUT}|[{SPACE}]*+[{OTHER}]++[{LETTER}]*+{CUT}|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Characters on which definitions of white space disagree: such a text is encoded in one piece.
 DISPUTED = re.compile("[\x1c-\x1f᠎​]")
 
 
-def encoder(tokenizer_path: str):
-    """A function text -> bytes of little-endian unsigned 32-bit ids.
+class Encoder:
+    """Texts -> bytes of little-endian unsigned 32-bit ids.
 
-    Byte-level pre-tokens never cross from a printed character to white space, so a text is the concatenation of its
-    chunks of white space and what follows; frequent chunks are encoded once per task and remembered.
+    A text is the concatenation of its chunks' ids.  Chunks not seen before are encoded in one batch and remembered.
     """
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    tokenizer.encode_special_tokens = True  # a marker's string in a text is text
-
-    def encode(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    class Chunks(dict):
-        def __missing__(self, chunk: str) -> bytes:
-            ids = encode(chunk)
-            if len(chunk) <= MEMO_WORD:
-                if len(self) >= MEMO:
-                    self.clear()
-                self[chunk] = ids
-            return ids
-
-    memo = Chunks()
-
-    def ids(text: str | None) -> bytes:
-        if not text:
-            return b""
-        if DISPUTED.search(text):
-            return encode(text)
-        return b"".join(map(memo.__getitem__, CHUNK.findall(text)))
-
-    return ids
+    def __init__(self, tokenizer_path: str):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.tokenizer.encode_special_tokens = True  # a marker's string in a text is text
+        self.memo: dict[str, bytes] = {}
+
+    def _encoded(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        whole = {i for i, t in enumerate(texts) if t and DISPUTED.search(t)}
+        chunks = [CHUNK.findall(t) if t and i not in whole else [] for i, t in enumerate(texts)]
+        if len(self.memo) >= MEMO:
+            self.memo = {}
+        memo = self.memo
+        new = [c for c in set(chain.from_iterable(chunks)) if c not in memo]
+        encoded = self._encoded(new)
+        memo.update(zip(new, encoded))
+        out = [b"".join(map(memo.__getitem__, c)) for c in chunks]
+        for i in whole:
+            out[i] = self._encoded([texts[i]])[0]
+        for c in new:
+            if len(c) > MEMO_WORD:
+                del memo[c]
+        return out
+
+
+def encoder(tokenizer_path: str) -> Encoder:
+    """The worker process's encoder: tasks that follow in the same process find its memory filled."""
+    kept = sys.modules.setdefault("_token_encoders", types.ModuleType("_token_encoders")).__dict__
+    if tokenizer_path not in kept:
+        kept[tokenizer_path] = Encoder(tokenizer_path)
+    return kept[tokenizer_path]
 
 
 def tokenise(tokenizer_path: str, end_id: int):
@@ -72,17 +88,17 @@ def tokenise(tokenizer_path: str, end_id: int):
         return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = encoder(tokenizer_path)
-        docs, encoded, held = [], [], 0
+        codes = encoder(tokenizer_path)
+        docs, texts, held = [], [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                docs.append(doc), encoded.append(ids(text) + end)
-                held += len(encoded[-1])
+                docs.append(doc), texts.append(text)
+                held += len(text or "")
                 if held >= BATCH_CHARS:
-                    yield pack(docs, encoded)
-                    docs, encoded, held = [], [], 0
+                    yield pack(docs, [e + end for e in codes.ids(texts)])
+                    docs, texts, held = [], [], 0
         if docs:
-            yield pack(docs, encoded)
+            yield pack(docs, [e + end for e in codes.ids(texts)])
 
     return run
 
