@@ -130,12 +130,12 @@ def scatter(buckets: int):
     return run
 
 
-def _runs(batches: Iterable[pa.RecordBatch], key: int) -> Iterator[tuple[int, list[dict]]]:
-    """Consecutive rows of equal key column, across batches."""
+def _runs(batches: Iterable[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, list[dict]]]:
+    """Consecutive rows of equal keys, across batches."""
     now, rows = None, []
     for batch in batches:
         for row in batch.to_pylist():
-            value = row[batch.schema.names[key]]
+            value = tuple(row[k] for k in keys)
             if rows and value != now:
                 yield now, rows
                 rows = []
@@ -148,7 +148,7 @@ def _runs(batches: Iterable[pa.RecordBatch], key: int) -> Iterator[tuple[int, li
 def count_shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packets sorted by bucket -> the same chunks with only the shingles that two sets or more hold, and how many hold them."""
     schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
-    for bucket, rows in _runs(batches, 2):
+    for (bucket,), rows in _runs(batches, "bucket"):
         if bucket < 0:
             yield pa.RecordBatch.from_pylist([{k: r[k] for k in schema.names} for r in rows], schema)
             continue
@@ -179,7 +179,7 @@ def windows(buckets: int):
     schema = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("rid", pa.int64()), ("k", pa.int32()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rows in _runs(batches, 0):
+        for (batch,), rows in _runs(batches, "batch"):
             meta = np.frombuffer(next(r["payload"] for r in rows if r["bucket"] < 0), [("doc", "<i8"), ("none", "?"), ("row", "<i8"), ("n", "<i8"), ("a", "<i8"), ("b", "<i8")])
             owner, df, values = [np.empty(0, np.int64)], [np.empty(0, np.uint32)], [np.empty(0, np.uint64)]
             for r in rows:
@@ -241,56 +241,81 @@ def join_region(rids: np.ndarray, sizes: np.ndarray, token_lists: list[np.ndarra
 def join_regions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (region, rid, n, tokens) sorted by region -> links (a, b)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    for _, rows in _runs(batches, 0):
+    for _, rows in _runs(batches, "region"):
         links = join_region(np.array([r["rid"] for r in rows]), np.array([r["n"] for r in rows]), [np.array(r["tokens"], np.int64) for r in rows]) if len(rows) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], schema=schema)
 
 
 def to_pivots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (region, rid, n, tokens, pivots) -> (region, rid, distances to the region's pivots, ids of the linked ones)."""
-    schema = pa.schema([("region", pa.int64()), ("rid", pa.int64()), ("far", pa.list_(pa.float64())), ("near", pa.list_(pa.int64()))])
-    for batch in batches:
+    """Rows (region, part, kind, rid, n, tokens, axis) sorted by (region, part, kind): the region's pivots (kind 0), then the part's
+    documents -> (region, rid, far: distances to the pivots that are axes, edges that connect what is linked)."""
+    edge = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    schema = pa.schema([("region", pa.int64()), ("rid", pa.int64()), ("far", pa.list_(pa.float64())), ("edges", edge)])
+    for (region, _), rows in _runs(batches, "region", "part"):
+        pivots = [r for r in rows if r["kind"] == 0]
+        names, sizes = np.array([p["rid"] for p in pivots]), np.array([p["n"] for p in pivots])
+        axes = np.array([p["axis"] for p in pivots])
+        held = np.concatenate([np.array(p["tokens"], np.int64) for p in pivots])
+        owner = np.repeat(np.arange(len(pivots)), [len(p["tokens"]) for p in pivots])
+        order = np.argsort(held, kind="stable")
+        held, owner = held[order], owner[order]
+        group = np.arange(len(pivots))
         out = []
-        for r in batch.to_pylist():
-            own, far, near = np.array(r["tokens"]), [], []
-            for p in r["pivots"]:
-                inter = len(np.intersect1d(own, np.array(p["tokens"]), assume_unique=True))
-                far.append(1 - inter / (r["n"] + p["n"] - inter))
-                if p["rid"] != r["rid"] and _linked(inter, r["n"], p["n"]):
-                    near.append(p["rid"])
-            out.append({"region": r["region"], "rid": r["rid"], "far": far, "near": near})
+        for r in rows[len(pivots) :]:
+            tokens = np.array(r["tokens"], np.int64)
+            lo, hi = np.searchsorted(held, tokens, "left"), np.searchsorted(held, tokens, "right")
+            counts = hi - lo
+            at = np.repeat(lo - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            inter = np.bincount(owner[at], minlength=len(pivots))
+            linked = np.flatnonzero(_linked(inter, r["n"], sizes) & (names != r["rid"]))
+            edges = [{"a": r["rid"], "b": int(names[linked[0]])}] if len(linked) else []
+            for other in linked[1:]:
+                if group[other] != group[linked[0]]:
+                    edges.append({"a": int(names[linked[0]]), "b": int(names[other])})
+                    group[group == group[other]] = group[linked[0]]
+            out.append({"region": region, "rid": r["rid"], "far": (1 - inter / (r["n"] + sizes - inter))[axes].tolist(), "edges": edges})
         yield pa.RecordBatch.from_pylist(out, schema)
 
 
 def split_large(members: DataFrame, cap: int) -> tuple[DataFrame, list[DataFrame]]:
-    """members (region, rid, n, tokens) -> the regions within ``cap`` shingles, and the links found while splitting the rest."""
+    """members (region, rid, n, tokens) -> the regions within ``cap`` shingles, and the links found while splitting the rest.
+
+    A region above the cap is dealt to parts of about ``cap`` shingles by hash, and every part gets the round's pivots: ``PIVOTS`` in the
+    first round, later as many unsettled documents as hold ``cap`` shingles.  So a task sees two times the cap at most.
+    """
     links: list[DataFrame] = []
     small = None
     members = members.withColumn("open", F.lit(True))
     while True:
-        sizes = members.groupBy("region").agg(F.sum(F.size("tokens")).alias("held"), F.sum(F.col("open").cast("long")).alias("unsettled"))
+        sizes = members.groupBy("region").agg(F.sum(F.size("tokens")).alias("held"), F.count("*").alias("docs"), F.sum(F.col("open").cast("long")).alias("unsettled"))
         told = stage(members.join(sizes, "region").where("unsettled > 0"), "regions")
         fits = told.where(F.col("held") <= cap).select("region", "rid", "n", "tokens")
         small = fits if small is None else small.union(fits)
         big = told.where(F.col("held") > cap)
         if big.isEmpty():
             return small, links
-        # About PIVOTS of a region's unsettled documents by hash, and its first one for certain.
-        dice = F.pmod(F.xxhash64("rid", F.lit(len(links))), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        chosen = big.where("open").withColumn("dice", dice)
+        want = F.greatest(F.lit(PIVOTS), F.floor(F.lit(cap) * F.col("docs") / F.col("held"))) if links else F.lit(PIVOTS)
+        # A draw by hash, and one document for certain.
+        draw = F.pmod(F.xxhash64("rid", F.lit(len(links))), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("unsettled")
+        chosen = big.where("open").withColumn("draw", draw)
         least = chosen.groupBy("region").agg(F.min("rid").alias("least"))
-        chosen = chosen.join(least, "region").where((F.col("dice") * F.col("unsettled") < PIVOTS) | (F.col("rid") == F.col("least")))
-        pivots = stage(chosen.groupBy("region").agg(F.collect_list(F.struct("rid", "n", "tokens")).alias("pivots")), "pivots")
-        seen = stage(big.join(pivots, "region").select("region", "rid", "n", "tokens", "pivots").mapInArrow(
-            to_pivots, "region long, rid long, far array<double>, near array<long>"), "distances")
-        found = stage(seen.select(F.col("rid").alias("a"), F.explode("near").alias("b")), "links")
-        links.append(found)
+        sure = F.col("rid") == F.col("least")
+        chosen = chosen.join(least, "region").where((F.col("draw") < want) | sure).withColumn("axis", (F.col("draw") < PIVOTS) | sure)
+        parts = F.ceil(F.col("held") / cap).cast("int")
+        pivots = stage(chosen.select("region", parts.alias("parts"), "rid", "n", "tokens", "axis"), "pivots")
+        columns = ["region", "part", "kind", "rid", "n", "tokens", "axis"]
+        rows = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("kind", F.lit(0)).select(*columns)
+        rows = rows.union(big.withColumn("part", F.pmod(F.xxhash64("rid"), parts).cast("int")).withColumn("kind", F.lit(1)).withColumn("axis", F.lit(False)).select(*columns))
+        seen = rows.repartition("region", "part").sortWithinPartitions("region", "part", "kind", "rid").mapInArrow(
+            to_pivots, "region long, rid long, far array<double>, edges array<struct<a: long, b: long>>")
+        seen = stage(seen, "distances")
+        links.append(seen.select(F.inline("edges")))
         every = links[0]
         for part in links[1:]:
             every = every.union(part)
         label = stage(components(every), "labels")
         placed = big.select("region", "rid", "n", "tokens").join(label.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-        used = pivots.select("region", F.explode("pivots.rid").alias("rid")).withColumn("used", F.lit(True))
+        used = pivots.select("region", "rid").withColumn("used", F.lit(True))
         placed = placed.join(used, ["region", "rid"], "left").where("used is null").join(seen.select("region", "rid", "far"), ["region", "rid"])
         largest = placed.groupBy("region", "root").agg(F.count("*").alias("c")).groupBy("region").agg(F.max_by("root", F.struct("c", "root")).alias("top"))
         placed = stage(placed.join(largest, "region").withColumn("open", F.col("root") != F.col("top")), "placed")
