@@ -33,7 +33,7 @@ CHUNK = 1_000_000  # shingles of a chunk that a task sorts at a time
 CHUNK_DOCS = 60_000
 MEMO = 300_000  # words whose hashes a task remembers
 PIVOTS = 16
-REGION_TOKENS = 1_000_000
+REGION_TOKENS = 200_000
 
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
