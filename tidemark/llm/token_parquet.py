@@ -19,8 +19,9 @@ from tidemark.llm.store import folder
 END_ID = 2
 #: Row groups are what a reader skips by statistics, pages what it skips by the page index (min and max of doc_id).
 ROW_GROUP, PAGE = 16 * 1024 * 1024, 64 * 1024
-BATCH_CHARS = 4_000_000
-MEMO, MEMO_WORD = 700_000, 64  # chunks a worker process remembers, and their characters at most
+BATCH_CHARS = 2_000_000
+TOGETHER = 1_000  # unseen chunks encoded as one text
+MEMO, MEMO_WORD = 500_000, 64  # chunks a worker process remembers, and their characters at most
 
 #: Unicode White_Space, Latin letters, and ASCII that is neither: between them the byte-level pre-tokenizer cuts in every
 #: context, before a run of white space that follows anything else and after a run of letters that such ASCII follows.
@@ -46,10 +47,28 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True  # a marker's string in a text is text
         self.memo: dict[str, bytes] = {}
+        # Bytes that each id stands for: a byte-level token's string has one character per byte.
+        spelled = {i: len(t) for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
+        self.widths = np.array([spelled.get(i, 0) for i in range(max(spelled) + 1)])
 
     def _encoded(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _remember(self, chunks: list[str]) -> None:
+        """Chunks of one space and a printed character start where a text is always cut: many are encoded as one text, and its ids
+        are dealt back by the bytes they stand for."""
+        plain = [c for c in chunks if c[0] == " " and len(c) > 1 and not c[1].isspace()]
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at : at + TOGETHER]
+            ids = np.frombuffer(self._encoded(["".join(some)])[0], "<u4")
+            ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(c.encode()) for c in some])) + 1
+            raw, lo = ids.tobytes(), 0
+            for chunk, hi in zip(some, (4 * ends).tolist()):
+                self.memo[chunk] = raw[lo:hi]
+                lo = hi
+        rest = [c for c in chunks if c not in self.memo]
+        self.memo.update(zip(rest, self._encoded(rest)))
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         whole = {i for i, t in enumerate(texts) if t and DISPUTED.search(t)}
         chunks = [CHUNK.findall(t) if t and i not in whole else [] for i, t in enumerate(texts)]
@@ -57,8 +76,7 @@ class Encoder:
             self.memo = {}
         memo = self.memo
         new = [c for c in set(chain.from_iterable(chunks)) if c not in memo]
-        encoded = self._encoded(new)
-        memo.update(zip(new, encoded))
+        self._remember(new)
         out = [b"".join(map(memo.__getitem__, c)) for c in chunks]
         for i in whole:
             out[i] = self._encoded([texts[i]])[0]
