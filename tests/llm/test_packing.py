@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
+
 from support import corpus, documents, empty, word_list
-from tidemark.llm.packing import best_fit, pack_documents
+from tidemark.llm.packing import best_fit, cheapest, pack_documents, places, plan
 
 
 def check(rows, capacities, words):
@@ -42,3 +44,42 @@ def test_best_fit_against_first_principles():
 
 def test_empty_table(spark):
     assert pack_documents(empty(spark)).count() == 0
+
+
+def one_by_one(sizes, capacities):
+    """Best fit of single pieces -> sorted (capacity, filled) of the bins."""
+    bins = []
+    for size in sorted(sizes, reverse=True):
+        fits = [b for b in bins if b[0] - b[1] >= size]
+        if fits:
+            into = min(fits, key=lambda b: b[0] - b[1])
+        else:
+            bins.append(into := [cheapest(size, capacities), 0])
+        into[1] += size
+    return sorted((min(c for c in capacities if c >= filled), filled) for _, filled in bins)
+
+
+def test_counts_pack_as_single_pieces_do():
+    rng = random.Random(2)
+    for trial in range(60):
+        sizes = [rng.choice((rng.randint(1, 100), 30, 51)) for _ in range(rng.randint(1, 400))]
+        assert sorted((c, f) for c, f, _ in best_fit([(s, str(i)) for i, s in enumerate(sizes)], (50, 100, 128))) == one_by_one(sizes, (50, 100, 128)), trial
+
+
+def test_work_does_not_grow_with_the_pieces_of_a_size():
+    counts = {300: 10**12, 2_100: 10**12 + 1, 1_400: 7, 5: 10**13}
+    runs, bins = plan(counts, (512, 1024, 2048, 4096))
+    assert len(runs) < 20 and len(bins) < 20
+    last = sum(counts.values()) - 1
+    index, at, capacity, filled = (int(v[0]) for v in places(np.array([last]), runs, bins))
+    assert at + 5 <= filled <= capacity
+
+
+def test_equal_sizes_are_packed_whole_in_every_shard(spark):
+    rows = [(i, " ".join(["w"] * (300 if i % 3 else 40 + i % 7))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sizes = [len(t.split()) for _, t in rows]
+    for shard in (20_000, 20):
+        got = pack_documents(docs, shard=shard).collect()
+        check(got, (512, 1024, 2048, 4096), sum(sizes))
+        assert sorted({r["bin_id"]: (r["capacity"], r["filled"]) for r in got}.values()) == one_by_one(sizes, (512, 1024, 2048, 4096))
