@@ -63,3 +63,24 @@ def test_logistic_fit_finds_a_line():
     y = (x[:, 0] + np.sin(40 * x[:, 0]) > 0.5).astype(float)
     p = probability(fit_logistic(x, y), x)
     assert (np.diff(p) > 0).all() and abs(p.mean() - y.mean()) < 1e-3
+
+
+def test_toxic_words_of_a_small_language(spark):
+    """Each of 60 languages has its own insult: no beginning is held by 3 % of the toxic documents."""
+    rng = random.Random(5)
+    syllables = ["ta", "ren", "mo", "sil", "vu", "kor", "bel", "nid", "pas", "ler"]
+    insults = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") + rng.choice("aeiou") for _ in range(5)) for _ in range(60)]
+    docs, labels = [], []
+    for i in range(2_700):
+        words = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(30)]
+        toxic = int(i % 2)
+        if toxic:
+            for _ in range(3):
+                words[rng.randrange(30)] = insults[i // 2 % 60]
+        docs.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    held = [r for r in toxicity_scores(docs, labels).collect() if crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    caught = [r["__score"] >= 0.7 for r in held if r["doc_id"] % 2]
+    assert len(caught) > 300 and sum(caught) / len(caught) > 0.8, sum(caught) / len(caught)
+    assert sum(r["__score"] >= 0.7 for r in held if not r["doc_id"] % 2) < 0.05 * len(held)
