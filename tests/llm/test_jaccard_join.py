@@ -74,3 +74,10 @@ def test_region_join_uses_true_sizes():
     # Tokens nobody shares are left out of the lists but count in the sizes.
     lists = [np.arange(8), np.arange(8), np.arange(8)]
     assert join_region(np.array([1, 2, 3]), np.array([8, 10, 11]), lists) == [(1, 2)]
+
+
+@pytest.mark.parametrize("repeat", [1, 2])
+def test_rows_without_words_stay_whether_or_not_others_repeat(spark, repeat):
+    rows = [(1, "one text of some words here")] * repeat + [(2, ""), (2, ""), (None, None), (None, None), (3, " \n"), (3, " \n")]
+    kept = one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[0], *rows[repeat:]], key=str)

@@ -370,10 +370,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     group = F.when(F.col("n_shingles") > 0, F.struct("component_id", F.when(F.col("component_id").isNull(), F.struct("a", "b")).alias("null_set"))).otherwise(None)
     whole = found.where("n_shingles > 0").groupBy(group.alias("g")).agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("first")).select("first.doc_id", "first.row")
     empty = found.where("n_shingles = 0").select("doc_id", "row").distinct()
-    counts = found.groupBy("doc_id", "row").agg(F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
-    kept = whole.union(empty).select(F.struct("doc_id", "row").alias("__key"))
-    repeated = not counts.where("copies > 1 and n > 0").isEmpty()
+    repeated = not found.where("n_shingles > 0").groupBy("doc_id", "row").agg(F.count("*").alias("copies")).where("copies > 1").isEmpty()
+    kept = whole.withColumn("words", F.lit(True)).union(empty.withColumn("words", F.lit(False))).select(F.struct("doc_id", "row").alias("__key"), F.col("words").alias("__words"))
     keyed = docs.withColumn("__key", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row")))
-    stay = keyed.join(stage(kept, "kept").hint("shuffle_hash"), "__key", "left_semi")
-    # A row repeated whole is one document of its group.
-    return (stay.dropDuplicates(["__key"]) if repeated else stay).select(*names)
+    stay = keyed.join(stage(kept, "kept").hint("shuffle_hash"), "__key", "inner" if repeated else "left_semi")
+    if repeated:
+        # A row repeated whole is one document of its group; rows without words belong to none and all stay.
+        stay = stay.withColumn("__own", F.when(~F.col("__words"), F.monotonically_increasing_id())).dropDuplicates(["__key", "__own"])
+    return stay.select(*names)
