@@ -1,4 +1,5 @@
-"""Toxicity by compression distance: a toxic and an ordinary zstandard dictionary, compared window by window.
+"""Toxicity by compression distance, window by window: a zstandard dictionary trained on ordinary text, once with the word
+beginnings that set toxic text apart and once with filling.  None is trained on toxic text.
 
 A window is one word with its separators.  It is compressed three times over, since zstandard stores so few bytes as they
 are; after the first copy the others cost both dictionaries the same.
