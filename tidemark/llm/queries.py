@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.cap_filters import near_vectors
+from tidemark.llm.gru_language import held_out as language_held_out, predict_languages
 from tidemark.llm.jaccard_join import near_duplicates
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix_sources, n_words
@@ -76,9 +77,14 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = predict_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", language_held_out("doc_id").alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_line_dedup, op3_jaccard_join, op4_toxicity, op5_token_parquet, op6_warc, op7_cap_filters, op8_quality_rules,
-    op9_best_fit_packing, op10_quality_classifier)}
+    op9_best_fit_packing, op10_quality_classifier, op13_gru_language)}
 
 ORACLE = {
     "op2_line_dedup": r"""
