@@ -10,12 +10,14 @@ from tidemark.llm.jaccard_join import near_duplicates
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix_sources, n_words
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.prefix_trie import conversation_trie
 from tidemark.llm.quality_classifier import quality_scores
 from tidemark.llm.quality_rules import STOP_WORDS, judge
 from tidemark.llm.store import folder, table
 from tidemark.llm.token_parquet import token_output
 from tidemark.llm.toxicity import toxicity_scores
 from tidemark.llm.warc import read_pages, read_records, write_archives
+from tidemark.llm.whitening import whiten
 from tidemark.llm.zdict import held_out
 
 
@@ -77,6 +79,18 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    each = rows.select("vec_id", "__n", "__deviation", "__identity_error", "__explained", F.posexplode("__whitened").alias("at", "whitened"))
+    return each.select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), F.col("__n").alias("n"), F.expr("try_cast(__deviation AS bigint)").alias("deviation"), "whitened",
+        F.get("__explained", "at").alias("explained"), F.col("__identity_error").alias("identity_error"), F.col("__deviation").alias("deviation_exact"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = predict_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return found.select("doc_id", language_held_out("doc_id").alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
@@ -84,7 +98,7 @@ def op13_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_line_dedup, op3_jaccard_join, op4_toxicity, op5_token_parquet, op6_warc, op7_cap_filters, op8_quality_rules,
-    op9_best_fit_packing, op10_quality_classifier, op13_gru_language)}
+    op9_best_fit_packing, op10_quality_classifier, op11_whitening, op12_prefix_trie, op13_gru_language)}
 
 ORACLE = {
     "op2_line_dedup": r"""
@@ -136,4 +150,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 14 * n_words AND n_symbols <= 0.1 * n_words AND n_stop_words >= 0.04 * n_words
     AND n_dup_lines <= 0.5 * n_lines AND n_chars >= 50 AS kept
 FROM j""".replace("@STOP@", ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))),
+    "op12_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(text, '') AS x, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS tok,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+-- crc32 of the decimal id, bit by bit
+convs AS (
+  SELECT c, c - c % 5 AS a, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda v, i: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END))), 4294967295::BIGINT) % 9 AS h
+  FROM (SELECT DISTINCT c FROM t)),
+parts AS (
+  SELECT k.c, 0 AS own, t.pos, t.tok, t.x FROM convs k JOIN t ON t.c = k.a AND t.pos <= k.h
+  UNION ALL SELECT k.c, 1, t.pos, t.tok, t.x FROM convs k JOIN t ON t.c = k.c AND t.pos > k.h),
+turns AS (
+  SELECT c, row_number() OVER w AS d, md5(string_agg(tok, '') OVER w) AS key, strlen(x) AS b FROM parts
+  WINDOW w AS (PARTITION BY c ORDER BY own, pos ROWS UNBOUNDED PRECEDING)),
+pre AS (SELECT c, d, key, b FROM turns UNION ALL SELECT c, 0, md5(''), 0 FROM convs),
+nodes AS (SELECT d, key, min(c) AS conv_id, count(*) AS n, any_value(b) AS b FROM pre GROUP BY d, key),
+linked AS (SELECT n.*, p.key AS up, q.conv_id AS parent_conv_id FROM nodes n LEFT JOIN pre p ON p.c = n.conv_id AND p.d = n.d - 1 LEFT JOIN nodes q ON q.key = p.key AND q.d = p.d),
+kids AS (SELECT up AS key, count(*) AS n FROM linked WHERE up IS NOT NULL GROUP BY up),
+below AS (
+  SELECT p.key, count(*) FILTER (k.n IS NULL) AS leaves, sum((y.n - 1) * y.b) AS saved
+  FROM nodes y JOIN pre p ON p.c = y.conv_id AND p.d <= y.d LEFT JOIN kids k ON k.key = y.key GROUP BY p.key),
+ends AS (SELECT key, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, arg_max(key, d) AS key FROM pre GROUP BY c) GROUP BY key)
+SELECT l.conv_id, l.d AS depth, l.parent_conv_id, l.n AS n_convs, coalesce(k.n, 0) AS n_children, b.leaves AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens,
+  sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM linked l JOIN below b ON b.key = l.key LEFT JOIN kids k ON k.key = l.key LEFT JOIN ends e ON e.key = l.key""",
 }
