@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions import count_when, rate
 from tidemark.functions.normal import erfc, two_sided_p, z_quantile
 from tidemark.operators.registry import BINARY_METRICS, CONTINUOUS_METRICS
+from tidemark.operators.resampling import resampled_sums
 
 ROLES = ("primary", "secondary", "commercial", "guardrail")
 SRM_ALPHA = 0.001
@@ -165,7 +165,7 @@ def newcombe_interval(counts: DataFrame, alpha: float = 0.05) -> DataFrame:
     })
 
 
-# --- mean outcomes: resampling over clusters ----------------------------------------------------------------
+# --- mean outcomes: resampling over distinct values -----------------------------------------------------------
 
 def mature_values(outcomes: DataFrame, plan: DataFrame) -> DataFrame:
     """Per-user values of the planned mean metrics, in integer minor units so that every sum is exact."""
@@ -177,51 +177,19 @@ def mature_values(outcomes: DataFrame, plan: DataFrame) -> DataFrame:
         F.round(F.col(column) * 100).cast("long").alias("minor_units"))
 
 
-def hashed_clusters(df: DataFrame, within: Sequence[str], key: str, sums: Sequence[str], clusters: int, seed: str) -> DataFrame:
-    """Rows gathered into clusters by a hash of their key, with row count and sums: what replicates resample.
-
-    The same at every size: with few rows most clusters are single rows, with many they are random samples of equal
-    expected size, and the work per replicate is bounded by ``clusters``.  One partial aggregate, no ordering.
-    """
-    cluster = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long") % clusters
-    return df.groupBy(*within, cluster.alias("block")).agg(F.count(F.lit(1)).alias("users"), *[F.sum(c).alias(c) for c in sums])
-
-
-def replicated(df: DataFrame, replicates: int) -> DataFrame:
-    """Every (bounded) cluster once per replicate, spread over all tasks before it is unfolded."""
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(tasks, *df.columns).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+def value_counts(values: DataFrame, within: Sequence[str]) -> DataFrame:
+    """Rows per distinct outcome: all that resampling needs to know, one partial aggregate."""
+    return values.where(F.col("minor_units").isNotNull()).groupBy(*within, "minor_units").agg(F.count(F.lit(1)).alias("n"))
 
 
-def uniform(*parts: Column | str) -> Column:
-    """Uniform draw in [0, 1) from an md5 of the parts; the same in any partitioning."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("double") / float(2**32)
-
-
-def poisson_weight(u: Column, top: int = 12) -> Column:
-    """Poisson(1) quantile of ``u``; the distribution function is a literal ladder.
-
-    Beyond 12 less probability is left than the 2^-32 steps of a draw can show, so the ladder is no cap.
-    """
-    out: Column = F.lit(top)
-    for k in range(top - 1, -1, -1):
-        out = F.when(u < sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)), k).otherwise(out)
-    return out.cast("long")
-
-
-def bootstrap_mean_diff(values: DataFrame, replicates: int = 10_000, alpha: float = 0.05, clusters: int = 1_000) -> DataFrame:
-    """Percentile interval of the treatment minus control mean from Poisson(1) weights of hashed clusters.
-
-    Poisson weights approximate multinomial resampling; they let each cluster be drawn independently.
-    """
+def bootstrap_mean_diff(values: DataFrame, replicates: int = 10_000, alpha: float = 0.05) -> DataFrame:
+    """Percentile interval of the treatment minus control mean: each replicate draws as many rows per arm as the arm has, with replacement."""
     within = ["experiment_id", "metric_key", "variant"]
-    drawn = replicated(hashed_clusters(values, within, "assignment_id", ["minor_units"], clusters, "bootstrap"), replicates)
-    weight = poisson_weight(uniform("experiment_id", "variant", F.col("block").cast("string"), F.col("replicate").cast("string")))
-    w = drawn.withColumn("w", weight)
-    mean = lambda arm: F.try_divide(
-        F.sum(F.when(_arm(arm), F.col("w") * F.col("minor_units"))).cast("double"),
-        F.sum(F.when(_arm(arm), F.col("w") * F.col("users"))).cast("double")) / 100.0
-    per_replicate = w.groupBy("experiment_id", "metric_key", "replicate").agg((mean("treatment") - mean("control")).alias("difference"))
+    counts = value_counts(values.where(F.col("variant").isin("control", "treatment")), within)
+    sizes = counts.groupBy(*within).agg(F.sum("n").alias("drawn"))
+    sums = resampled_sums(counts, within, ["minor_units"], ["minor_units"], sizes, replicates, "bootstrap", with_replacement=True)
+    mean = lambda arm: F.sum(F.when(_arm(arm), F.col("minor_units"))) / F.sum(F.when(_arm(arm), F.col("drawn"))) / 100.0
+    per_replicate = sums.groupBy("experiment_id", "metric_key", "replicate").agg((mean("treatment") - mean("control")).alias("difference"))
     bounds = F.percentile("difference", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
     return per_replicate.groupBy("experiment_id", "metric_key").agg(
         F.count(F.lit(1)).alias("replicates"), bounds.alias("b")).select(
@@ -240,34 +208,22 @@ def arm_moments(values: DataFrame) -> DataFrame:
         f"{arm}_mean": F.col(f"{arm}_minor_units").cast("double") / 100.0 / F.col(f"{arm}_count") for arm in ("control", "treatment")})
 
 
-def permutation_test(values: DataFrame, replicates: int = 10_000, clusters: int = 1_000) -> DataFrame:
-    """Two-sided randomisation p-value ``(extreme + 1) / (replicates + 1)`` over hashed clusters of users.
+def permutation_test(values: DataFrame, replicates: int = 10_000) -> DataFrame:
+    """Two-sided randomisation p-value ``(extreme + 1) / (replicates + 1)``.
 
-    Each replicate orders the pooled clusters by a fresh hash and calls the first ones control: the same share of the
-    clusters as of the users.  Means are taken over the users that a replicate puts into each arm.
+    Each replicate deals the pooled rows anew, always as many to control as control has; both arms need a row.
     """
-    pooled = hashed_clusters(values, ["experiment_id", "metric_key"], "assignment_id", ["minor_units"], clusters, "permutation")
-    m = arm_moments(values).select("experiment_id", "metric_key", "control_count", "treatment_count", "control_minor_units", "treatment_minor_units")
+    key = ["experiment_id", "metric_key"]
+    m = arm_moments(values).select(*key, "control_count", "treatment_count", "control_minor_units", "treatment_minor_units")
     n1, n2 = F.col("control_count").cast("double"), F.col("treatment_count").cast("double")
     observed = m.withColumns({
         "observed": F.abs(F.col("treatment_minor_units") / n2 - F.col("control_minor_units") / n1),
-        "pool": F.col("control_minor_units") + F.col("treatment_minor_units"),
-    })
-    key = ["experiment_id", "metric_key"]
-    held = pooled.groupBy(*key).agg(F.count(F.lit(1)).alias("held"))
-    observed = observed.join(held, key).withColumn("quota", F.round(n1 * F.col("held") / (n1 + n2)).cast("long"))
-    # The quota joins the few blocks, not their replicates.
-    shuffled = replicated(pooled.join(observed.select(*key, "quota"), key), replicates).withColumn("draw", F.md5(F.concat_ws(
-        ":", F.lit("perm"), "experiment_id", F.col("block").cast("string"), F.col("replicate").cast("string"))))
-    # At most ``clusters`` rows per (experiment, replicate), so this window is bounded by construction.
-    order = Window.partitionBy(*key, "replicate").orderBy("draw", "block")
-    chosen = shuffled.withColumn("position", F.row_number().over(order)).where(F.col("position") <= F.col("quota"))
-    control = chosen.groupBy(*key, "replicate").agg(F.sum("minor_units").alias("s"), F.sum("users").alias("n"))
-    users = F.col("control_count") + F.col("treatment_count")
-    diff = F.abs(F.try_divide((F.col("pool") - F.col("s")).cast("double"), (users - F.col("n")).cast("double"))
-                 - F.try_divide(F.col("s").cast("double"), F.col("n").cast("double")))
+        "pool": F.col("control_minor_units") + F.col("treatment_minor_units")})
+    pooled = value_counts(values.where(F.col("variant").isin("control", "treatment")), key)
+    control = resampled_sums(pooled, key, ["minor_units"], ["minor_units"], observed.select(*key, F.col("control_count").alias("drawn")), replicates, "permutation", with_replacement=False)
+    diff = F.abs((F.col("pool") - F.col("minor_units")) / n2 - F.col("minor_units") / n1)
     scored = control.join(observed, key).groupBy(*key).agg(
-        F.count(F.lit(1)).alias("replicates"), count_when(diff >= F.col("observed") - 1e-13).alias("extreme_count"))
+        F.count(F.lit(1)).alias("replicates"), count_when(diff >= F.col("observed") - 1e-9).alias("extreme_count"))
     return scored.withColumn("permutation_p_value", (F.col("extreme_count") + 1) / (F.col("replicates") + 1.0))
 
 

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import count_when, days, elapsed_seconds, hours, ordered_prefix, rate
-from tidemark.operators.inference import hashed_clusters, poisson_weight, replicated, uniform
+from tidemark.operators.resampling import resampled_sums
 
 LEAD_HOURS = 48
 LABEL_WAIT_HOURS = 72
@@ -304,10 +304,11 @@ def segment_robustness(scored: DataFrame) -> DataFrame:
     return probability_metrics(scored.select("label", "p", F.inline(entries)), ["dimension", "group"])
 
 
-def paired_bootstrap(pairs: DataFrame, replicates: int = 2_000, alpha: float = 0.05, clusters: int = 1_000) -> DataFrame:
+def paired_bootstrap(pairs: DataFrame, replicates: int = 2_000, alpha: float = 0.05) -> DataFrame:
     """Interval of the candidate-minus-reference Brier and log-loss difference on the same rows.
 
-    Per-row differences are summed per hashed cluster; replicates draw one Poisson(1) weight per cluster.
+    Each replicate draws as many rows as there are, with replacement, both losses of a row together.  Rows with the same label and scores
+    are drawn by their number.  Rows without a label or score are left out.
     """
     y = F.col("label")
 
@@ -317,14 +318,18 @@ def paired_bootstrap(pairs: DataFrame, replicates: int = 2_000, alpha: float = 0
         return F.pow(p - y, F.lit(2)), -F.when(y == 1, F.ln(q)).otherwise(F.ln(1.0 - q))
 
     (b1, l1), (b0, l0) = losses("p"), losses("p_reference")
-    delta = pairs.select("subscription_id", (b1 - b0).alias("brier"), (l1 - l0).alias("logloss"))
-    grouped = hashed_clusters(delta, [], "subscription_id", ["brier", "logloss"], clusters, "paired")
-    point = grouped.agg(F.struct((F.sum("brier") / F.sum("users")).alias("brier_delta"), (F.sum("logloss") / F.sum("users")).alias("log_loss_delta"))).scalar()
-    w = poisson_weight(uniform(F.lit("paired"), F.col("block").cast("string"), F.col("replicate").cast("string")))
-    drawn = replicated(grouped, replicates).withColumn("w", w)
-    mean = lambda c: F.try_divide(F.sum(F.col("w") * F.col(c)), F.sum(F.col("w") * F.col("users")))
-    per = drawn.groupBy("replicate").agg(mean("brier").alias("b"), mean("logloss").alias("l"))
+    known = pairs.where(y.isNotNull() & F.col("p").isNotNull() & F.col("p_reference").isNotNull())
+    counts = known.groupBy("label", "p", "p_reference").agg(F.count(F.lit(1)).alias("n")).withColumns({"brier": b1 - b0, "logloss": l1 - l0})
+    # The value's name: its numbers in fixed notation, the same in any engine.
+    text = lambda c: F.floor(F.col(c) * 1e15)
+    counts = counts.withColumns({"__p": text("p"), "__r": text("p_reference")})
+    whole = counts.agg(F.struct(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("brier")) / F.sum("n")).alias("brier_delta"),
+                                (F.sum(F.col("n") * F.col("logloss")) / F.sum("n")).alias("log_loss_delta"))).scalar()
+    one = F.lit("all")
+    drawn = counts.groupBy(one.alias("part")).agg(F.sum("n").alias("drawn"))
+    sums = resampled_sums(counts.withColumn("part", one), ["part"], ["label", "__p", "__r"], ["brier", "logloss"], drawn, replicates, "paired", with_replacement=True)
+    per = sums.select((F.col("brier") / F.col("drawn")).alias("b"), (F.col("logloss") / F.col("drawn")).alias("l"))
     q = F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))
-    out = per.agg(F.count(F.lit(1)).alias("replicates"), F.percentile("b", q).alias("b"), F.percentile("l", q).alias("l")).withColumn("pt", point)
+    out = per.agg(F.count(F.lit(1)).alias("replicates"), F.percentile("b", q).alias("b"), F.percentile("l", q).alias("l")).withColumn("pt", whole)
     return out.select("replicates", "pt.brier_delta", F.col("b")[0].alias("brier_ci_low"), F.col("b")[1].alias("brier_ci_high"),
                       "pt.log_loss_delta", F.col("l")[0].alias("log_loss_ci_low"), F.col("l")[1].alias("log_loss_ci_high"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import math
 from statistics import NormalDist
 
 from tidemark.operators.registry import BINARY_METRICS, METRICS
+from tidemark.plans.oracle_resampling import key, resampled
 
 _IN = "p.occurred_at < b.assignment_at + INTERVAL '1' DAY * CAST({n} AS INT)"
 
@@ -20,11 +20,6 @@ def _erfc(x: str) -> str:
             f"lambda n: exp((2 * n + 1) * ln({x}) - lgamma(n + 1.5)))) END)")
 
 
-def _poisson(u: str, top: int = 12) -> str:
-    cdf = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(top)]
-    return "(SELECT CASE " + " ".join(f"WHEN u < {c!r} THEN {k}" for k, c in enumerate(cdf)) + f" ELSE {top} END FROM (SELECT {u} AS u))"
-
-
 _ZA, _ZB = NormalDist().inv_cdf(0.975), NormalDist().inv_cdf(0.8)
 
 
@@ -147,29 +142,22 @@ SELECT experiment_id, metric_key, metric_role, count(*) FILTER (WHERE variant =
   CAST(sum(minor_units) FILTER (WHERE variant = 'control') AS DOUBLE) AS s1, CAST(sum(minor_units) FILTER (WHERE variant = 'treatment') AS DOUBLE) AS s2,
   stddev_samp(minor_units) FILTER (WHERE variant = 'control') / 100.0 AS control_stddev, stddev_samp(minor_units) FILTER (WHERE variant = 'treatment') / 100.0 AS treatment_stddev
 FROM x_values GROUP BY 1, 2, 3 HAVING count(*) FILTER (WHERE variant = 'control') > 0 AND count(*) FILTER (WHERE variant = 'treatment') > 0""",
-    "x_boot_blocks": """
-SELECT experiment_id, metric_key, variant, CAST(('0x' || substr(md5(concat('bootstrap:', assignment_id)), 1, 8))::BIGINT % 1000 AS BIGINT) AS block,
-  count(*) AS users, CAST(sum(minor_units) AS BIGINT) AS minor_units FROM x_values GROUP BY 1, 2, 3, 4""",
-    "x_boot": f"""
+    **resampled("x_draw", f"""
+SELECT g, {key("'bootstrap'", "g")} AS salt, sum(n) OVER (PARTITION BY g)::BIGINT AS drawn, {key("'value'", "m1::VARCHAR")} AS key, n, m1, 0 AS m2
+FROM (SELECT concat('{{"experiment_id":"', experiment_id, '","metric_key":"', metric_key, '","variant":"', variant, '"}}') AS g, minor_units AS m1, count(*) AS n FROM x_values GROUP BY ALL)""", 10_000, True),
+    "x_boot": """
 SELECT experiment_id, metric_key, count(*) AS replicates, quantile_cont(d, 0.025) AS confidence_interval_low, quantile_cont(d, 0.975) AS confidence_interval_high FROM (
-  SELECT experiment_id, metric_key, rep,
-    CAST(sum(w * minor_units) FILTER (WHERE variant = 'treatment') AS DOUBLE) / nullif(CAST(sum(w * users) FILTER (WHERE variant = 'treatment') AS DOUBLE), 0) / 100.0
-    - CAST(sum(w * minor_units) FILTER (WHERE variant = 'control') AS DOUBLE) / nullif(CAST(sum(w * users) FILTER (WHERE variant = 'control') AS DOUBLE), 0) / 100.0 AS d
-  FROM (SELECT b.*, g.rep, {_poisson("CAST(('0x' || substr(md5(concat_ws(':', experiment_id, variant, CAST(block AS VARCHAR), CAST(g.rep AS VARCHAR))), 1, 8))::BIGINT AS DOUBLE) / 4294967296.0")} AS w
-    FROM x_boot_blocks b, (SELECT unnest(range(10000)) AS rep) g) GROUP BY 1, 2, 3) GROUP BY 1, 2""",
-    "x_perm_blocks": """
-SELECT experiment_id, metric_key, CAST(('0x' || substr(md5(concat('permutation:', assignment_id)), 1, 8))::BIGINT % 1000 AS BIGINT) AS block,
-  count(*) AS users, CAST(sum(minor_units) AS BIGINT) AS minor_units FROM x_values GROUP BY 1, 2, 3""",
+  SELECT g::JSON ->> 'experiment_id' AS experiment_id, g::JSON ->> 'metric_key' AS metric_key, r,
+    sum(m1::DOUBLE / drawn) FILTER (WHERE g::JSON ->> 'variant' = 'treatment') / 100.0 - sum(m1::DOUBLE / drawn) FILTER (WHERE g::JSON ->> 'variant' = 'control') / 100.0 AS d
+  FROM x_draw_sums GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+    **resampled("x_deal", f"""
+SELECT g, {key("'permutation'", "g")} AS salt, sum(c) OVER (PARTITION BY g)::BIGINT AS drawn, {key("'value'", "m1::VARCHAR")} AS key, n, m1, 0 AS m2
+FROM (SELECT concat('{{"experiment_id":"', experiment_id, '","metric_key":"', metric_key, '"}}') AS g, minor_units AS m1, count(*) AS n, count(*) FILTER (WHERE variant = 'control') AS c
+  FROM x_values GROUP BY ALL)""", 10_000, False),
     "x_perm": """
-SELECT experiment_id, metric_key, count(*) AS replicates,
-  count(*) FILTER (WHERE abs((s1 + s2 - s) / (control_count + treatment_count - n) - s / n) >= abs(s2 / treatment_count - s1 / control_count) - 1e-13) AS extreme_count,
-  (count(*) FILTER (WHERE abs((s1 + s2 - s) / (control_count + treatment_count - n) - s / n) >= abs(s2 / treatment_count - s1 / control_count) - 1e-13) + 1) / (count(*) + 1.0::DOUBLE) AS permutation_p_value
-FROM (SELECT r.experiment_id, r.metric_key, r.rep, CAST(sum(r.minor_units) AS DOUBLE) AS s, CAST(sum(r.users) AS DOUBLE) AS n, m.s1, m.s2, m.control_count, m.treatment_count
-  FROM (SELECT b.*, g.rep, row_number() OVER (PARTITION BY experiment_id, metric_key, g.rep ORDER BY md5(concat_ws(':', 'perm', experiment_id, CAST(block AS VARCHAR), CAST(g.rep AS VARCHAR))), block) AS pos,
-    count(*) OVER (PARTITION BY experiment_id, metric_key, g.rep) AS held
-    FROM x_perm_blocks b, (SELECT unnest(range(10000)) AS rep) g) r
-  JOIN x_moments m ON m.experiment_id = r.experiment_id AND m.metric_key = r.metric_key
-  WHERE r.pos <= round(CAST(m.control_count AS DOUBLE) * r.held / (CAST(m.control_count AS DOUBLE) + m.treatment_count)) GROUP BY ALL) GROUP BY 1, 2""",
+SELECT experiment_id, metric_key, count(*) AS replicates, count(*) FILTER (WHERE far) AS extreme_count, (count(*) FILTER (WHERE far) + 1) / (count(*) + 1.0::DOUBLE) AS permutation_p_value
+FROM (SELECT m.experiment_id, m.metric_key, abs((s1 + s2 - p.m1) / treatment_count - p.m1 / control_count::DOUBLE) >= abs(s2 / treatment_count - s1 / control_count) - 1e-9 AS far
+  FROM x_deal_sums p JOIN x_moments m ON m.experiment_id = p.g::JSON ->> 'experiment_id' AND m.metric_key = p.g::JSON ->> 'metric_key') GROUP BY 1, 2""",
     "x_means": """
 SELECT m.experiment_id, m.metric_key, m.metric_role, control_count, treatment_count, s1 / 100.0 / control_count AS control_mean, s2 / 100.0 / treatment_count AS treatment_mean,
   s2 / 100.0 / treatment_count - s1 / 100.0 / control_count AS absolute_effect,

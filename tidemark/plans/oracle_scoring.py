@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from tidemark.operators.scoring import ACTIVITY_COUNTS, CATEGORICAL, NUMERIC
-from tidemark.plans.oracle_experiments import _poisson, _r
+from tidemark.plans.oracle_experiments import _r
+from tidemark.plans.oracle_resampling import key, resampled
 
 
 def _score(factor: int) -> str:
@@ -70,8 +71,10 @@ UNION ALL SELECT 'platform', platform, label, p FROM s_scored UNION ALL SELECT '
 UNION ALL SELECT 'acquisition_channel', acquisition_channel, label, p FROM s_scored""",
     "s_delta": """SELECT subscription_id, (p - label) * (p - label) - (p2 - label) * (p2 - label) AS b,
   -(CASE WHEN label = 1 THEN ln(p) ELSE ln(1 - p) END) + (CASE WHEN label = 1 THEN ln(p2) ELSE ln(1 - p2) END) AS l FROM s_scored""",
-    "s_blocks": """SELECT CAST(('0x' || substr(md5(concat('paired:', CAST(subscription_id AS VARCHAR))), 1, 8))::BIGINT % 1000 AS BIGINT) AS block,
-  count(*) AS users, sum(b) AS b, sum(l) AS l FROM s_delta GROUP BY 1""",
+    **resampled("s_pair", f"""
+SELECT '{{"part":"all"}}' AS g, {key("'paired'", "'{\"part\":\"all\"}'")} AS salt, sum(n) OVER ()::BIGINT AS drawn,
+  {key("'value'", "label::VARCHAR", "floor(p * 1e15)::BIGINT::VARCHAR", "floor(p2 * 1e15)::BIGINT::VARCHAR")} AS key, n, b AS m1, l AS m2
+FROM (SELECT label, p, p2, count(*) AS n, any_value(b) AS b, any_value(l) AS l FROM s_scored JOIN s_delta USING (subscription_id) GROUP BY 1, 2, 3)""", 2_000, True),
 }
 
 _DELTAS = ("brier_score", "log_loss", "roc_auc", "average_precision")
@@ -138,10 +141,8 @@ FROM (SELECT *, ntile(10) OVER (ORDER BY p, subscription_id) AS b FROM s_scored)
   round((CAST(count(*) FILTER (WHERE t AND label = 0) AS DOUBLE) / count(*) FILTER (WHERE t)) / (CAST(count(*) FILTER (WHERE label = 0) AS DOUBLE) / count(*)), 9) AS lift_vs_population
 FROM (SELECT label, {_RANK} <= ceil((count(*) OVER ()) * {c}::DOUBLE) AS t FROM s_scored)""" for c in (0.1, 0.2, 0.3)),
     "segment_robustness": f"SELECT * REPLACE ({_ROUNDED}) FROM ({_metrics('s_segments', 'dimension, \"group\"')})",
-    "paired_bootstrap": f"""SELECT count(*) AS replicates, round(any_value(pb), 9) AS brier_delta, round(quantile_cont(mb, 0.025), 9) AS brier_ci_low, round(quantile_cont(mb, 0.975), 9) AS brier_ci_high,
+    "paired_bootstrap": """SELECT count(*) AS replicates, round(any_value(pb), 9) AS brier_delta, round(quantile_cont(mb, 0.025), 9) AS brier_ci_low, round(quantile_cont(mb, 0.975), 9) AS brier_ci_high,
   round(any_value(pl), 9) AS log_loss_delta, round(quantile_cont(ml, 0.025), 9) AS log_loss_ci_low, round(quantile_cont(ml, 0.975), 9) AS log_loss_ci_high
-FROM (SELECT rep, sum(w * b) / sum(w * users) AS mb, sum(w * l) / sum(w * users) AS ml FROM (
-    SELECT k.*, g.rep, {_poisson("CAST(('0x' || substr(md5(concat_ws(':', 'paired', CAST(block AS VARCHAR), CAST(g.rep AS VARCHAR))), 1, 8))::BIGINT AS DOUBLE) / 4294967296.0")} AS w
-    FROM s_blocks k, (SELECT unnest(range(2000)) AS rep) g) GROUP BY 1),
+FROM (SELECT m1 / drawn AS mb, m2 / drawn AS ml FROM s_pair_sums),
   (SELECT avg(b) AS pb, avg(l) AS pl FROM s_delta)""",
 }

@@ -90,5 +90,6 @@ def compose(body: str, shared: dict[str, str]) -> str:
     needed = _needed(body, everything)
     texts = [body, *[everything[n] for n in needed]]
     uses = {n: sum(len(re.findall(rf"\b{n}\b", t)) for t in texts) for n in needed}
-    ctes = [f"{name} AS {'MATERIALIZED ' if uses[name] > 1 else ''}({text.strip()}\n)" for name, text in everything.items() if name in needed]
-    return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body.strip()
+    recursive = {n for n in needed if re.search(rf"\b{n}\b", everything[n])}
+    ctes = [f"{name} AS {'MATERIALIZED ' if uses[name] > 1 and name not in recursive else ''}({text.strip()}\n)" for name, text in everything.items() if name in needed]
+    return (f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(ctes) + "\n" if ctes else "") + body.strip()
