@@ -1,6 +1,8 @@
 import random
 
-from tidemark.llm.graph import components
+import pytest
+
+from tidemark.llm.graph import components, contractions
 
 
 def test_components_equal_union_find(spark):
@@ -31,3 +33,21 @@ def test_components_equal_union_find(spark):
 
 def test_no_edges(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("order", ["rising", "shuffled"])
+def test_a_long_chain_takes_few_rounds(spark, order):
+    names = list(range(1_001))
+    if order == "shuffled":
+        random.Random(1).shuffle(names)
+    chain = spark.createDataFrame(list(zip(names, names[1:])), "a long, b long")
+    rounds = contractions(chain)
+    assert len(rounds) <= 10
+    assert [r.count() for r in rounds][0] == 1_001 and rounds[1].count() < 450
+    assert components(chain).select("root").distinct().count() == 1
+
+
+def test_a_large_star_takes_one_round(spark):
+    star = spark.range(1, 100_001).selectExpr("0L AS a", "id AS b")
+    assert len(contractions(star)) <= 2
+    assert components(star).select("root").distinct().count() == 1 and components(star).count() == 100_001
