@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from support import corpus, documents, empty
 from tidemark.llm.store import folder
-from tidemark.llm.token_parquet import encoder, read_metadata, read_tokens, token_output, write_tokens
+from tidemark.llm.token_parquet import encoder, read_metadata, read_tokens, token_output, token_positions, write_tokens
 
 tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
@@ -16,7 +16,6 @@ PATH = public.path("byte_bpe_50k.json")
 
 def plain():
     t = tokenizers.Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda s: t.encode(s, add_special_tokens=False).ids
 
 
@@ -42,6 +41,29 @@ def test_round_trip(spark):
     assert got[0][0] == 0 and [g[1] for g in got if g[1] is not None] == sorted(g[1] for g in got if g[1] is not None)
 
 
+def test_an_added_token_in_a_text_is_one_id():
+    ids = encoder(PATH).ids(["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y <|endoftex b", "a < |endoftext|>"])
+    for text, got in zip(["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y <|endoftex b", "a < |endoftext|>"], ids):
+        assert got == np.array(tokenizers.Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(ids[1]) == 4
+
+
+def test_files_are_ordered_by_their_number(spark):
+    path = folder(spark, "tokens-many")
+    docs = spark.createDataFrame([(1, "one"), (2, "two words")], "doc_id long, text string")
+    for number, doc in (("99999", 1), ("100000", 2)):
+        write_tokens(docs.where(F.col("doc_id") == doc), path + number, PATH)
+    java = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = java.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(java.Path(path))
+    for number in ("99999", "100000"):
+        for status in fs.globStatus(java.Path(path + number + "/part-*")):
+            if spark.read.parquet(status.getPath().toString()).count():
+                fs.rename(status.getPath(), java.Path(f"{path}/part-{number}-x.parquet"))
+    first, second = token_positions(spark, path).orderBy("doc_id").collect()
+    assert (first["start"], second["start"]) == (0, first["n_tokens"])
+
+
 def test_format_and_selective_reads(spark):
     path = folder(spark, "tokens-test")
     write_tokens(documents(spark, corpus(60), repeat=False).select("doc_id", "text"), path, PATH)

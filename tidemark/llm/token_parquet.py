@@ -45,7 +45,9 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True  # a marker's string in a text is text
+        # Texts that spell an added token are encoded in one piece: it may stand anywhere in them.
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
         self.memo: dict[str, bytes] = {}
         # Bytes that each id stands for: a byte-level token's string has one character per byte.
         spelled = {i: len(t) for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
@@ -70,7 +72,7 @@ class Encoder:
         self.memo.update(zip(rest, self._encoded(rest)))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        whole = {i for i, t in enumerate(texts) if t and DISPUTED.search(t)}
+        whole = {i for i, t in enumerate(texts) if t and (DISPUTED.search(t) or self.added and self.added.search(t))}
         chunks = [CHUNK.findall(t) if t and i not in whole else [] for i, t in enumerate(texts)]
         if len(self.memo) >= MEMO:
             self.memo = {}
@@ -162,14 +164,16 @@ def checksums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_positions(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files: each row's place in the stream of all ids.
 
-    Files are ranges of doc_id, and a file's name holds its number: running sums inside files, plus one small row per file.
+    Files are ranges of doc_id, and a file's name holds its number, which may outgrow its zeros: running sums inside files, plus one
+    small row per file.
     """
     stored = spark.read.parquet(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"), "doc_id", "tokens")
     rows = stored.mapInArrow(checksums, "file string, at long, doc_id long, n_tokens long, ids_crc32 long")
     inside = rows.withColumn("upto", F.sum("n_tokens").over(Window.partitionBy("file").orderBy("at")))
     files = read_metadata(spark, path).groupBy(F.input_file_name().alias("path")).agg(F.sum("n_tokens").alias("n"))
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "n")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
+    before = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
     skip = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
     return inside.join(skip, "file").select("doc_id", (F.col("skip") + F.col("upto") - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")
 
