@@ -47,6 +47,26 @@ def test_missing_segments_and_changed_bytes_are_not_valid(spark, written):
     assert {r["record_type"] for r in orphans} == {"damaged"}
 
 
+def test_a_foreign_archive_of_many_members(spark):
+    import gzip
+    import time
+
+    records = [("WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:%d>\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % (i, 40 + i % 900)).encode()
+               + b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n".ljust(40 + i % 900, b"b") + warc.END.encode() for i in range(40_000)]
+    data = b"".join(gzip.compress(r, 1) for r in records)
+    begun = time.time()
+    assert warc.unzipped(data) == b"".join(records)
+    assert time.time() - begun < 5
+    assert warc.unzipped(data[:-7]).startswith(b"".join(records[:-1])) and warc.unzipped(b"plain") == b"plain" and warc.unzipped(b"") == b""
+    path = folder(spark, "warc-foreign")
+    java = spark.sparkContext._jvm.org.apache.hadoop.fs
+    out = java.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(java.Path(path + "/part-0.warc.gz"))
+    out.write(b"".join(gzip.compress(r) for r in records[:500]))
+    out.close()
+    pages = warc.read_pages(warc.read_records(spark, path))
+    assert pages.where("record_type = 'response'").count() == 500
+
+
 def test_stream_framing():
     good = ("WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc" + warc.END).encode()
     kinds = [r["kind"] for r in warc.parse_stream(good + b"WARC/1.1\r\nContent-Length: 99\r\n\r\nxy\r\n\r\n" + good)]

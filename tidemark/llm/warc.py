@@ -89,6 +89,9 @@ def write_archives(pages: DataFrame, path: str) -> None:
     lines.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
+#: Bytes of an archive unzipped at a time.
+FEED = 16 * 1024
+
 FIELDS = "record_id string, kind string, origin string, segment int, total long, page_id long, refers_to string, digest string, block binary"
 
 
@@ -116,13 +119,19 @@ def parse_stream(data: bytes) -> Iterator[dict]:
 
 
 def unzipped(data: bytes) -> bytes:
-    """All members of a gzip file (one per record or one for all), or the bytes as they are; a cut member gives what it has."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
+    """All members of a gzip file (one per record or one for all), or the bytes as they are; a cut member gives what it has.
+
+    Members are fed in blocks, so what a member leaves over is at most a block and many small members take linear time.
+    """
+    out, view, at = [], memoryview(data), 0
+    while data[at:at + 2] == b"\x1f\x8b":
         member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
-        data = member.unused_data
-    return b"".join(out) + data
+        while not member.eof and at < len(data):
+            block = view[at:at + FEED]
+            out.append(member.decompress(block))
+            at += len(block) - len(member.unused_data)
+    out.append(view[at:])
+    return b"".join(out)
 
 
 def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
