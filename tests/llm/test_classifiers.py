@@ -6,7 +6,7 @@ import pytest
 from support import empty
 from tidemark.llm.quality_classifier import quality_scores
 from tidemark.llm.toxicity import toxicity_scores
-from tidemark.llm.zdict import fit_logistic, probability
+from tidemark.llm.zdict import fit_logistic, labelled_sample, probability
 
 INSULTS = ("blockhead", "nitwit", "dunderhead")
 
@@ -56,6 +56,16 @@ def test_without_labels_or_documents(spark, scores):
     assert len({r["__score"] for r in scores(docs, one_class).collect()}) == 1
 
 
+def test_the_sample_is_bounded_in_rows(spark):
+    docs, labels = labelled(spark, 60)
+    one = next(i for i in range(60) if crc32(str(i).encode()) % 3 != 1)
+    many = docs.unionByName(spark.range(100_000).selectExpr(f"{one}L AS doc_id", "concat('text ', id % 1000) AS text", "'xx' AS lang", "0.0 AS score"))
+    sample = labelled_sample(many, labels.unionByName(labels), "quality", {0: 9, 1: 9}).collect()
+    assert len({r["doc_id"] for r in sample}) == len(sample) and max(sum(r["y"] == y for r in sample) for y in (0, 1)) <= 9
+    everything = labelled_sample(many, labels, "quality", {0: 1_000, 1: 1_000}).collect()
+    assert [r["text"] for r in everything if r["doc_id"] == one] == [min(r["text"] for r in docs.where(f"doc_id = {one}").collect() + [{"text": "text 0"}])]
+
+
 def test_logistic_fit_finds_a_line():
     import numpy as np
 

@@ -15,21 +15,32 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def least_drawn(ids: DataFrame, kind: str, most: dict) -> DataFrame:
+    """At most ``most[k]`` rows of each kind k, those of least ``draw`` (a 64-bit hash), then least doc_id.
+
+    Only rows below a bound that several times as many should meet are ranked, so no task sees a whole kind.
+    """
+    totals = {r[kind]: r["count"] for r in ids.where(F.col(kind).isin(list(most))).groupBy(kind).count().collect()} if most else {}
+    taken = ids.where("false")
+    for k, n in most.items():
+        share = (4 * n + 100) / max(totals.get(k, 0), 1)
+        low = F.lit(True) if share >= 1 else F.col("draw") <= int(-2**63 + share * 2**64)
+        taken = taken.union(ids.where((F.col(kind) == k) & low).orderBy("draw", "doc_id").limit(n))
+    return taken
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> DataFrame:
     """At most ``most[y]`` labelled documents of each class y, those of least hash -> (doc_id, text, y, half).
 
-    The ids are bounded by ``most`` and so may be broadcast; texts come whole.  Held-out rows and rows with a null id or label are
-    never taken; an id labelled twice counts by its larger label.  ``half`` 0 (two thirds) trains the dictionaries, 1 the calibration.
+    The ids are bounded by ``most`` and so may be broadcast; texts come whole, one per id: an id that repeats gives its least text, so the rows
+    are bounded too.  Held-out rows and rows with a null id or label are never taken; an id labelled twice counts by its larger label.
+    ``half`` 0 (two thirds) trains the dictionaries, 1 the calibration.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna().where(~held_out("doc_id"))
     usable = usable.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("draw", F.xxhash64("doc_id", F.lit(label)))
-    taken = None
-    for y, n in most.items():
-        part = usable.where(F.col("y") == y).orderBy("draw", "doc_id").limit(n)
-        taken = part if taken is None else taken.union(part)
-    picked = taken.select("doc_id", "y", F.pmod(F.shiftright("draw", 7), F.lit(3)).alias("part"))
+    picked = least_drawn(usable, "y", most).select("doc_id", "y", (F.pmod(F.shiftright("draw", 7), F.lit(3)) == 2).cast("int").alias("half"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    return texts.join(F.broadcast(picked), "doc_id").withColumn("half", (F.col("part") == 2).cast("int")).drop("part")
+    return texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y", "half").agg(F.min("text").alias("text")).select("doc_id", "text", "y", "half")
 
 
 def training_pieces(sample: DataFrame, y: int, n: int) -> list[bytes]:
