@@ -37,13 +37,16 @@ def held_out(doc_id) -> F.Column:
 def fit_sample(docs: DataFrame, most: int = FIT_DOCS, size: int = FIT_BYTES) -> DataFrame:
     """(lang, doc_id, piece): ``size`` bytes at a hashed place of at most ``most`` documents of each language, those of least hash.
 
-    Held-out rows and rows with a null or empty text, lang or id are left out.  The ids are ranked on narrow rows, which Spark limits
-    per task before it shuffles them, so a language of a third of all rows is no hot task; an id that repeats gives one piece, its least.
+    Held-out rows and rows with a null or empty text, lang or id are left out.  Only ids below a bound of their hash are ranked, several
+    times as many as are wanted, so a language of a third of all rows is no hot task; an id that repeats gives one piece, its least.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & ~held_out("doc_id"))
-    draw = F.xxhash64("doc_id", F.lit("language"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id"))
-    picked = usable.select("lang", "doc_id", rank.alias("__rank")).where(F.col("__rank") <= most).select("lang", "doc_id").distinct()
+    rows = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    bound = F.create_map(*[F.lit(x) for k, n in rows.items() for x in (k, min(2**63 - 1, int(-2**63 + (4 * most + 100) / n * 2**64)))]) if rows else F.create_map()
+    ids = usable.select("lang", "doc_id", F.xxhash64("doc_id", F.lit("language")).alias("draw"))
+    low = ids.where(F.col("draw") <= F.coalesce(F.element_at(bound.cast("map<string,bigint>"), F.col("lang")), F.lit(0))).distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
+    picked = low.select("lang", "doc_id", rank.alias("__rank")).where(F.col("__rank") <= most).select("lang", "doc_id")
     raw = F.encode(F.col("text"), "utf-8")
     place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length(raw) - size, F.lit(0)) + 1) + 1
     pieces = usable.select("lang", "doc_id", F.substring(raw, place.cast("int"), F.lit(size)).alias("piece"))
