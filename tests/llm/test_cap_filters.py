@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from tidemark.llm import cap_filters
 
@@ -51,16 +52,37 @@ def test_equals_all_pairs(spark, monkeypatch):
     assert sorted(map(tuple, cap_filters.near_vectors(vectors).collect()), key=str) == want
 
 
-def test_list_decoding_finds_the_best_filters():
+@pytest.mark.parametrize("dim, n", [(3, 50), (10, 400), (16, 2_000)])
+def test_list_decoding_finds_all_filters_above_the_cap(dim, n):
     rng = np.random.default_rng(0)
-    unit = cap_filters._unit(rng.standard_normal((30, 16)))
-    codes = 6
-    rotation, vectors = cap_filters.product_code(16, codes)
-    turned = (unit @ rotation).reshape(30, 4, 4)
-    for row, found in enumerate(cap_filters.list_decode(unit, codes)):
-        part = [vectors[b] @ turned[row, b] / 2 for b in range(4)]
-        score = (part[0][:, None, None, None] + part[1][:, None, None] + part[2][:, None] + part[3]).ravel()
-        assert sorted(np.argsort(-score)[: cap_filters.LISTED]) == found.tolist()
+    unit = cap_filters._unit(rng.standard_normal((40, dim)))
+    height, rotation, vectors = cap_filters.product_code(dim, n, 0.98)
+    blocks, codes = vectors.shape[:2]
+    turned = (unit @ rotation).reshape(40, blocks, -1)
+    sizes = []
+    for row, found in enumerate(cap_filters.list_decode(unit, n)):
+        score = np.zeros(1)
+        for block in range(blocks):
+            score = (score[:, None] + vectors[block] @ turned[row, block] / np.sqrt(blocks)).ravel()
+        above = np.flatnonzero(score >= height)
+        best = np.sort(np.argsort(-score)[: min(cap_filters.LISTED, len(score))])
+        assert found.tolist() == (above if len(above) >= len(best) else best).tolist()
+        sizes.append(len(found))
+    assert 15 <= np.mean(sizes) <= 60
+
+
+@pytest.mark.parametrize("dim", [1, 2, 3, 4, 8, 16, 64])
+def test_pairs_share_a_filter_in_any_dimension(dim):
+    """Pairs at 0.98 to 0.985, the hardest ones, with as many vectors in the label as in a large table."""
+    rng = np.random.default_rng(dim)
+    x = cap_filters._unit(rng.standard_normal((400, dim)))
+    other = rng.standard_normal((400, dim))
+    other -= (other * x).sum(1, keepdims=True) * x
+    cosine = rng.uniform(0.98, 0.985, (400, 1))
+    y = x if dim == 1 else cosine * x + np.sqrt(1 - cosine**2) * cap_filters._unit(other)
+    for n in (300, 50_000):
+        shared = [bool(np.intersect1d(a, b).size) for a, b in zip(cap_filters.list_decode(x, n), cap_filters.list_decode(y, n))]
+        assert np.mean(shared) >= 0.99, (n, np.mean(shared))
 
 
 def test_empty_table(spark):

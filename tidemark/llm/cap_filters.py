@@ -1,13 +1,16 @@
 """Embedding near-duplicates by spherical-cap filters with a random product code.
 
 A filter is a unit direction put together from one code vector per block of the rotated space.  Each vector is listed under all
-filters whose cap it lies in; its cap height is where ``LISTED`` filters are exceeded, so that vectors in dense and in empty
-directions are listed alike.  The list comes from the blocks' partial sums without visiting the ``codes ** BLOCKS`` directions.  Vectors meet where they share a filter, and every pair is verified there in double precision.
+filters whose cap it lies in: the cap's height is the one that ``LISTED`` filters exceed on average, and is never so high that the cap is
+narrower than twice the angle looked for, so that a pair shares filters in few dimensions as well as in many; a vector in an empty direction
+takes its best ``LISTED``.  The list comes from the blocks' partial sums without visiting all directions.  Vectors meet where they share
+a filter, and every pair is verified there in double precision.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,62 +20,84 @@ from tidemark.llm.graph import components
 from tidemark.llm.store import stage
 
 NEAR = 0.98
-BLOCKS = 4
-LISTED = 20  # filters that a vector exceeds: a pair at 0.98 shares one with probability 0.999 and more
+LISTED = 20  # filters that a vector exceeds, on average
 BUCKET = 8  # random vectors under one filter, on average
 SQUARE = 2_000  # vectors that one task compares with as many others
 SEED = 7
 
 
-def code_size(n: int) -> int:
-    """Code vectors per block for n vectors of the largest label."""
-    return max(2, int(np.ceil((max(1, n) * LISTED / BUCKET) ** (1 / BLOCKS))))
+def cap_share(dim: int, angle: float) -> float:
+    """Share of all directions that lie within ``angle`` of one."""
+    if dim == 1:
+        return 0.5
+    at = np.linspace(0, np.pi, 40_001)
+    below = np.cumsum(np.sin(at) ** (dim - 2))
+    return float(np.interp(angle, at, below / below[-1]))
 
 
-def product_code(dim: int, codes: int) -> tuple[np.ndarray, np.ndarray]:
-    """A random rotation of dim (padded to whole blocks) and the unit code vectors of each block."""
+def cap_height(dim: int, share: float) -> float:
+    """Inner product that a share of all directions reaches."""
+    if share >= 1:
+        return -2.0
+    if dim == 1:
+        return 0.0
+    at = np.linspace(0, np.pi, 40_001)
+    below = np.cumsum(np.sin(at) ** (dim - 2))
+    return float(np.cos(np.interp(share, below / below[-1], at)))
+
+
+@lru_cache(maxsize=16)
+def product_code(dim: int, n: int, near: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """For n vectors of the largest label: (cap height, random rotation of dim padded to whole blocks, unit code vectors per block).
+
+    Blocks have at least four dimensions: in fewer, code vectors are too much alike.  There are as many filters as leave ``BUCKET`` random
+    vectors to one, but not more than keep a cap of twice the angle of ``near`` at ``LISTED`` of them.
+    """
+    blocks = 4 if dim >= 16 else 2 if dim >= 8 else 1
+    wanted = min(max(1, n) * LISTED / BUCKET, LISTED / cap_share(dim, 2 * np.arccos(near)))
+    codes = max(2, int(np.ceil(wanted ** (1 / blocks))))
     rng = np.random.default_rng([SEED, dim, codes])
-    wide = -(-dim // BLOCKS) * BLOCKS
+    wide = -(-dim // blocks) * blocks
     rotation, _ = np.linalg.qr(rng.standard_normal((wide, wide)))
-    vectors = rng.standard_normal((BLOCKS, codes, wide // BLOCKS))
-    return rotation[:dim], vectors / np.linalg.norm(vectors, axis=2, keepdims=True)
+    vectors = rng.standard_normal((blocks, codes, wide // blocks))
+    return cap_height(dim, LISTED / codes**blocks), rotation[:dim], vectors / np.linalg.norm(vectors, axis=2, keepdims=True)
 
 
-def list_decode(unit: np.ndarray, codes: int) -> list[np.ndarray]:
-    """For each unit vector the sorted ids of the ``LISTED`` filters of largest inner product (all, where there are fewer).
+def list_decode(unit: np.ndarray, n: int, near: float = NEAR) -> list[np.ndarray]:
+    """For each unit vector the sorted ids of all filters whose inner product reaches the cap height, at least the best ``LISTED``.
 
-    A first line a little under the expected height is decoded; where it gives too few filters, it is lowered.  Decoding a line
-    joins each left half of a direction with the right halves that reach the line beside it, best first.
+    Decoding a height joins each left half of a direction with the right halves that reach the rest, best first; where that gives
+    too few filters, the height is lowered.
     """
-    dim = unit.shape[1]
-    rotation, vectors = product_code(dim, codes)
-    turned = (unit @ rotation).reshape(len(unit), BLOCKS, -1)
-    parts = np.einsum("nbk,bck->bnc", turned, vectors) / np.sqrt(BLOCKS)
-    left = (parts[0][:, :, None] + parts[1][:, None, :]).reshape(len(unit), -1)
-    right = (parts[2][:, :, None] + parts[3][:, None, :]).reshape(len(unit), -1)
-    total = codes**BLOCKS
+    height, rotation, vectors = product_code(unit.shape[1], n, near)
+    blocks, codes = vectors.shape[:2]
+    turned = (unit @ rotation).reshape(len(unit), blocks, -1)
+    parts = np.einsum("nbk,bck->bnc", turned, vectors) / np.sqrt(blocks)
+    pair = lambda x, y: (x[:, :, None] + y[:, None, :]).reshape(len(unit), -1)
+    left, right = (pair(*parts[:2]), pair(*parts[2:])) if blocks == 4 else (parts[0], parts[1]) if blocks == 2 else (np.zeros((len(unit), 1)), parts[0])
     order = np.argsort(-right, axis=1)
     sorted_right = np.take_along_axis(right, order, axis=1)
-    best = left.max(1) + sorted_right[:, 0]
+    least = min(LISTED, codes**blocks)
     out = []
     for row in range(len(unit)):
-        gap = 0.8 / np.sqrt(dim)
+        line, step = height, 0.2 / np.sqrt(unit.shape[1])
         while True:
-            line = best[row] - gap
             some = np.flatnonzero(left[row] >= line - sorted_right[row, 0])
             counts = np.searchsorted(-sorted_right[row], left[row, some] - line, side="right")
-            if counts.sum() >= min(LISTED, total):
+            if counts.sum() >= least:
                 break
-            gap *= 1.5
+            line, step = line - step, step * 1.5
         owners = np.repeat(some, counts)
         ranks = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        scores = left[row, owners] + sorted_right[row, ranks]
         ids = owners * right.shape[1] + order[row, ranks]
-        out.append(np.sort(ids[np.lexsort((ids, -scores))[:LISTED]]))
+        if line < height:
+            scores = left[row, owners] + sorted_right[row, ranks]
+            ids = ids[np.lexsort((ids, -scores))[:least]]
+        out.append(np.sort(ids))
     return out
 
 
-def list_filters(codes: int, wide: bool):
+def list_filters(n: int, near: float, wide: bool):
     """(rid, label, m, embedding) -> a row per filter: rid, label, m, embedding, filter, and all filters of the vector."""
     schema = pa.schema([("rid", pa.int64()), ("label", pa.string()), ("m", pa.int64()), ("embedding", pa.list_(pa.float64() if wide else pa.float32())), ("filter", pa.int64()), ("filters", pa.list_(pa.int64()))])
 
@@ -83,7 +108,7 @@ def list_filters(codes: int, wide: bool):
                 for dim in sorted({len(r["embedding"]) for r in rows}):
                     same = [r for r in rows if len(r["embedding"]) == dim]
                     unit = _unit(np.array([r["embedding"] for r in same], float))
-                    found = list_decode(unit, codes)
+                    found = list_decode(unit, n, near)
                     counts = [len(f) for f in found]
                     index = np.repeat(np.arange(len(same)), counts)
                     own = pa.RecordBatch.from_arrays([
@@ -189,9 +214,8 @@ def near_vectors(vectors: DataFrame, near: float = NEAR) -> DataFrame:
     reps = rows.where("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"))
     reps = stage(reps.withColumn("rid", F.monotonically_increasing_id()), "vectors")
     largest = reps.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    codes = code_size(largest)
     listed = reps.select("rid", "label", "m", "embedding").mapInArrow(
-        list_filters(codes, kind == "double"), f"rid long, label string, m long, embedding array<{kind}>, filter long, filters array<long>")
+        list_filters(largest, near, kind == "double"), f"rid long, label string, m long, embedding array<{kind}>, filter long, filters array<long>")
     listed = stage(listed, "filters")
     sizes = listed.groupBy("label", "filter").agg(F.count("*").alias("c")).where("c > 1").withColumn("blocks", F.ceil(F.col("c") / SQUARE))
     met = listed.join(sizes, ["label", "filter"]).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")))
