@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions import date_key, ordered_prefix
 from tidemark.functions.fixed import fixed_rows
 from tidemark.functions.lazy import LazyFrames
+from tidemark.functions.pin import pin
 from tidemark.operators.marts import date_dimension, day_bounds
 from tidemark.operators.quality import stacked
+from tidemark.sources.stored import LEAVES, StoredTables, differing_leaves
 
 LINEAGE = ["ingestion_batch_id", "validation_run_id", "source_row_number", "row_hash"]
 # A batch id has 27 bits (dates as YYYYMMDD need 25), a record number 36.
@@ -124,10 +126,13 @@ def fact_marketing_spend(s: DataFrame, build: int) -> DataFrame:
                        "acquisition_channel", "spend", "impressions", "clicks")
 
 
-def build_star(staging: Mapping[str, DataFrame], build: int) -> LazyFrames:
-    """All dimensions and facts of one build, each described when it is first read."""
+def build_star(staging: Mapping[str, DataFrame], build: int, table: Callable[[str], DataFrame] | None = None) -> LazyFrames:
+    """All dimensions and facts of one build, each described when it is first read.
+
+    ``table`` gives the tables that others resolve against, where they are stored; without it they are derived where they are needed.
+    """
     star: LazyFrames
-    t = lambda name: star[name]
+    t = table or (lambda name: star[name])
     star = LazyFrames({
         "dim_installation": lambda: dim_installation(staging["installations"], build),
         "dim_user": lambda: dim_user(staging["users"], t("dim_installation"), build),
@@ -190,6 +195,33 @@ def lineage_reconciliation(staging: Mapping[str, DataFrame], analytics: Mapping[
     return stacked(out)
 
 
+def lineage_by_digest(staging: StoredTables, analytics: StoredTables, keys: dict[str, str]) -> DataFrame:
+    """``lineage_reconciliation`` of stored layers: rows are read only of leaves where the layers' digests differ or a key repeats.
+
+    ``analytics`` names its tables as ``DATASET_OF`` does.  Which leaves differ is known on the driver, at most ``LEAVES`` numbers a dataset, so
+    that the files' statistics skip the others.
+    """
+    table_of = {n: t for t, n in DATASET_OF.items()}
+    s, a = staging.all_digests(), analytics.all_digests(DATASET_OF)
+    where = ["dataset_name", "ingestion_batch_id", "leaf"]
+    repeated = s.unionByName(a).where("repeats > 0").select(*where)
+    apart = pin(differing_leaves(s, a).unionByName(repeated).distinct())
+    nothing = F.lit(0).cast("long")
+    out = [s.join(apart, where, "left_anti").select(
+        "ingestion_batch_id", F.col("n").alias("staging_row_count"), F.col("n").alias("matched_analytics_rows"), nothing.alias("missing_analytics_rows"),
+        nothing.alias("lineage_mismatches"), "dataset_name")]
+    table_of = {n: t for t, n in DATASET_OF.items()}
+    leaves = {r.dataset_name: r.leaves for r in apart.groupBy("dataset_name").agg(F.array_sort(F.collect_set("leaf")).alias("leaves")).collect()}
+    for n, some in sorted(leaves.items()):
+        inside = F.col("leaf").isin(some) if len(some) < LEAVES else F.lit(True)
+        # A leaf that differs in one batch may be alike in another, which is counted already.
+        mine = apart.where(F.col("dataset_name") == n).select("ingestion_batch_id", "leaf")
+        rows = staging[n].where(inside).join(mine, ["ingestion_batch_id", "leaf"], "left_semi")
+        out.append(lineage_reconciliation({n: rows}, {n: analytics[table_of[n]].where(inside)}, keys))
+    counts = ("staging_row_count", "matched_analytics_rows", "missing_analytics_rows", "lineage_mismatches")
+    return stacked(out).groupBy("ingestion_batch_id", "dataset_name").agg(*[F.sum(c).alias(c) for c in counts])
+
+
 def build_authorisation(batches: DataFrame, validations: DataFrame, promotions: DataFrame, reconciliation: DataFrame, datasets: int) -> DataFrame:
     """Batches whose whole chain succeeded: ingest, validation, complete promotion, and every dataset reconciled."""
     ok = lambda df, alias: df.select("ingestion_batch_id", (F.col("status") == "succeeded").alias(alias))

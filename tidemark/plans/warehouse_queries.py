@@ -15,7 +15,7 @@ from tidemark.operators.registry import metric_registry
 from tidemark.plans import experiment_queries as eq
 from tidemark.plans import mart_queries as mq
 from tidemark.sources import Warehouse
-from tidemark.functions.lazy import LazyFrames
+from tidemark.sources.stored import StoredTables
 from tidemark.sources.layers import BATCH, RULES, layers
 
 KEYS = {n: c.key for n, c in RULES.items()}
@@ -25,22 +25,18 @@ DATED_COLUMNS = {
 }
 
 
-def raw(w: Warehouse) -> LazyFrames:
+def raw(w: Warehouse) -> StoredTables:
     return layers(w).raw
 
 
-def staging(w: Warehouse) -> LazyFrames:
+def staging(w: Warehouse) -> StoredTables:
     return layers(w).staging
 
 
-def built(w: Warehouse) -> LazyFrames:
+def built(w: Warehouse) -> StoredTables:
     return layers(w).star
 
 
-def by_dataset(tables: LazyFrames) -> LazyFrames:
-    return LazyFrames({dataset: (lambda t=t: tables[t]) for t, dataset in star.DATASET_OF.items()})
-
-
 def raw_files(w: Warehouse) -> DataFrame:
     """What the delivery announced: rows per dataset, accepted and rejected by the row rules."""
     bad = lambda n: quality.row_violation(RULES[n])
@@ -50,29 +46,27 @@ def raw_files(w: Warehouse) -> DataFrame:
 
 
 def staging_recon(w: Warehouse) -> DataFrame:
-    return star.layer_reconciliation(star.dataset_counts(raw(w), "raw_row_count"), star.dataset_counts(staging(w), "staging_row_count"),
-                                     "raw_row_count", "staging_row_count")
+    return star.layer_reconciliation(raw(w).counts("raw_row_count"), staging(w).counts("staging_row_count"), "raw_row_count", "staging_row_count")
 
 
 def analytics_recon(w: Warehouse) -> DataFrame:
-    return star.layer_reconciliation(star.dataset_counts(staging(w), "staging_row_count"),
-                                     star.dataset_counts(by_dataset(built(w)), "analytics_row_count"), "staging_row_count", "analytics_row_count")
+    return star.layer_reconciliation(staging(w).counts("staging_row_count"), built(w).counts("analytics_row_count", star.DATASET_OF), "staging_row_count", "analytics_row_count")
 
 
 def lineage(w: Warehouse) -> DataFrame:
-    return star.lineage_reconciliation(staging(w), by_dataset(built(w)), KEYS)
+    return star.lineage_by_digest(staging(w), built(w), KEYS)
 
 
 def table(name: str, w: Warehouse) -> DataFrame:
     """One star table; decimals leave as double and the hash stays inside."""
     df = built(w)[name]
-    return df.select(*[F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in df.dtypes if c != "row_hash"])
+    return df.select(*[F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in df.dtypes if c not in ("row_hash", "leaf")])
 
 
 def all_checks(w: Warehouse) -> DataFrame:
     """The whole raw catalogue: row reconciliation, events against entities, keys, references, time order, nulls, domains."""
     t = raw(w)
-    recon = star.raw_reconciliation(raw_files(w), star.dataset_counts(staging(w), "actual_row_count")).select(
+    recon = star.raw_reconciliation(raw_files(w), staging(w).counts("actual_row_count")).select(
         "dataset_name", F.lit("reconciliation").alias("category"), F.concat("dataset_name", F.lit("_raw_reconciliation")).alias("check_name"),
         F.when(F.col("reconciled"), 0).otherwise(1).cast("long").alias("violation_count"))
     return quality.check_results([
@@ -199,8 +193,8 @@ def verdicts(w: Warehouse) -> DataFrame:
 
 
 QUERIES = {
-    "raw_counts": lambda w: star.dataset_counts(raw(w), "actual_row_count"),
-    "raw_reconciliation": lambda w: star.raw_reconciliation(raw_files(w), star.dataset_counts(staging(w), "actual_row_count")),
+    "raw_counts": lambda w: raw(w).counts("actual_row_count"),
+    "raw_reconciliation": lambda w: star.raw_reconciliation(raw_files(w), staging(w).counts("actual_row_count")),
     "staging_reconciliation": staging_recon,
     "analytics_reconciliation": analytics_recon,
     "lineage_reconciliation": lineage,

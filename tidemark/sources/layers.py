@@ -1,4 +1,4 @@
-"""The eight datasets as raw tables with lineage columns, and the rows of them that pass their row rules."""
+"""The eight datasets as raw tables with lineage columns, the rows of them that pass their row rules, and the star: stored once each."""
 
 from __future__ import annotations
 
@@ -10,8 +10,9 @@ from tidemark.functions import days
 from tidemark.functions.canonical import row_hash
 from tidemark.functions.lazy import LazyFrames
 from tidemark.operators.quality import row_violation
-from tidemark.operators.star import build_star
+from tidemark.operators.star import DATASET_OF, LINEAGE, build_star
 from tidemark.sources.contracts import BILLING, EVENTS, PAYMENT_STATUSES, PLATFORMS, RELEASE_TYPES, ROLLOUTS, STATUSES, TRANSACTION_TYPES, VARIANTS, Contract, Field
+from tidemark.sources.stored import StoredTables, store_root
 from tidemark.sources.tables import Warehouse
 
 BATCH = 1
@@ -59,8 +60,12 @@ RULES: dict[str, Contract] = {c.dataset: c for c in (
 )}
 
 
+#: A dataset's key within its batch.
+BUSINESS_KEYS = {n: ["ingestion_batch_id", c.key] for n, c in RULES.items()}
+
+
 class Layers:
-    """Raw and staged frames per dataset; everything stays lazy and column-pruned."""
+    """Raw, staged and star tables, each written when first read; a layer is built from the stored one below it."""
 
     def __init__(self, w: Warehouse):
         self.w = w
@@ -71,7 +76,14 @@ class Layers:
         return rows.select("*", row_hash(rows, dataset, columns).alias("row_hash"), F.lit(BATCH).cast("long").alias("ingestion_batch_id"))
 
     @cached_property
-    def raw(self) -> LazyFrames:
+    def root(self) -> str:
+        return store_root(self.w.spark, self.w.path)
+
+    def _store(self, layer: str, frames: LazyFrames, keys: dict[str, list[str]], stamp: list[str]) -> StoredTables:
+        return StoredTables(self.w.spark, f"{self.root}/{layer}", frames, keys, stamp)
+
+    @cached_property
+    def raw(self) -> StoredTables:
         w, c = self.w, F.col
 
         def events() -> DataFrame:
@@ -119,16 +131,28 @@ class Layers:
             "marketing_spend": (spend, "datediff(period_start, DATE'2023-01-01') * 128 + ascii(acquisition_channel)"),
             "app_releases": (releases, "app_release_id + 2"),
         }
-        return LazyFrames({n: (lambda n=n, f=f, e=e: self._raw(n, f(), F.expr(e))) for n, (f, e) in source.items()})
+        frames = LazyFrames({n: (lambda n=n, f=f, e=e: self._raw(n, f(), F.expr(e))) for n, (f, e) in source.items()})
+        return self._store("raw", frames, BUSINESS_KEYS, [c for c in LINEAGE if c != "validation_run_id"])
 
     @cached_property
-    def staging(self) -> LazyFrames:
+    def staging(self) -> StoredTables:
         """Raw rows that break no row rule, stamped with the validation run."""
-        return self.raw.map(lambda n, df: df.where(~row_violation(RULES[n])).withColumn("validation_run_id", F.lit(VALIDATION_RUN).cast("long")))
+        frames = LazyFrames({n: (lambda n=n: self.raw[n].drop("leaf").where(~row_violation(RULES[n])).withColumn("validation_run_id", F.lit(VALIDATION_RUN).cast("long")))
+                             for n in RULES})
+        return self._store("staging", frames, BUSINESS_KEYS, LINEAGE)
 
     @cached_property
-    def star(self) -> LazyFrames:
-        return build_star(self.staging, BUILD)
+    def star(self) -> StoredTables:
+        """The star's tables; facts and dimensions with rows of one dataset carry that dataset's leaves."""
+        return self._store("star", self._star, {t: BUSINESS_KEYS[n] for t, n in DATASET_OF.items()}, LINEAGE)
+
+    @property
+    def _star(self) -> LazyFrames:
+        # Dimensions that facts resolve against are read back from their files.
+        return build_star(self.staging, BUILD, self.star_table)
+
+    def star_table(self, name: str) -> DataFrame:
+        return self.star[name]
 
 
 def layers(w: Warehouse) -> Layers:
