@@ -6,6 +6,8 @@ import pytest
 from tidemark.operators import marts, quality, reports, star
 from tidemark.operators.registry import metric_registry
 from tidemark.sources.contracts import Contract, Field
+from tidemark.sources.layers import RULES, layers
+from tidemark.sources.tables import Warehouse
 
 T = dt.datetime
 
@@ -98,3 +100,34 @@ def test_lineage_mismatch_does_not_multiply_repeated_keys(spark):
     a = spark.createDataFrame([(1, "a", 2, "h1", 1), (1, "b", 3, "zz", 1), (1, "b", 3, "h2", 1)], s.schema)
     row = star.lineage_reconciliation({"t": s}, {"t": a}, {"t": "id"}).first()
     assert (row.staging_row_count, row.matched_analytics_rows, row.missing_analytics_rows, row.lineage_mismatches) == (3, 2, 1, 1)
+
+
+def test_compiled_relations_equal_one_check_at_a_time(spark):
+    """Missing, null and repeated parents, differing other columns, times before one of several parents."""
+    parents = spark.createDataFrame([(1, "a", 10), (1, "a", 10), (1, "b", 30), (2, "c", 5), (3, None, None), (4, "d", 1)], "installation_id long, anonymous_id string, installed_at int")
+    child = spark.createDataFrame([(1, "a", 20), (1, "b", 5), (1, "z", 40), (2, "c", 1), (2, None, 9), (3, None, 1), (4, "d", None), (9, "a", 1), (None, "a", 1)] * 3,
+                                  "installation_id long, anonymous_id string, signed_up_at int")
+    tables = {"users": child, "installations": parents}
+    references = [r for r in quality.REFERENCES if r[:2] == ("users", "installations")]
+    floors = [f for f in quality.FLOORS if f[:2] == ("users", "installations")]
+    got = {r.check_name: r.violation_count for r in quality.related(tables, references, floors).collect()}
+    for _, _, keys, check in references:
+        assert got[check] == quality.unmatched(child, parents, keys).first()[0], check
+    pairs = child.join(parents, "installation_id").where("signed_up_at < installed_at").count()
+    assert got[floors[0][-1]] == pairs > 0
+
+
+def test_uniqueness_of_all_keys_in_one_pass(spark):
+    users = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (None, 3), (None, 3)], "user_id long, installation_id long")
+    got = {r.check_name: r.violation_count for r in quality.uniqueness({"users": users}, {"users": RULES["users"]}).collect()}
+    assert got == {"users_user_id_unique": 3, "users_installation_id_unique": 2}
+    assert got["users_user_id_unique"] == quality.duplicates(users, ["user_id"]).first()[0]
+
+
+def test_compiled_catalogue_reads_each_dataset_for_rows_and_keys_once(spark, sf_dir):
+    t = layers(Warehouse(spark, sf_dir)).raw
+    parts = quality.compiled(t, RULES)
+    names = [r.check_name for p in parts for r in p.select("check_name").collect()]
+    assert len(names) == len(set(names)) == 8 + 8 + 13 + 13 + 11
+    plan = parts[2]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 6

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.fixed import fixed_rows
 from tidemark.sources.contracts import Contract
@@ -86,16 +86,40 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return per_key.agg((F.coalesce(F.sum("n"), F.lit(0)) - distinct).alias("violation_count"))
 
 
+# (dataset, keys, check): fixed catalogue of keys beside the primary ones.
+KEYS = [
+    ("installations", ["anonymous_id"], "installations_anonymous_id_unique"),
+    ("users", ["installation_id"], "users_installation_id_unique"),
+    ("subscriptions", ["user_id"], "subscriptions_user_id_unique"),
+    ("marketing_spend", ["period_start", "acquisition_channel"], "marketing_spend_period_channel_unique"),
+    ("app_releases", ["release_key", "platform"], "app_releases_release_key_platform_unique"),
+]
+
+
 def uniqueness(tables: Mapping[str, DataFrame], rules: dict[str, Contract]) -> DataFrame:
-    primary = [(n, f"{n}_{rules[n].key}_unique", [rules[n].key]) for n in tables]
-    extra = [
-        ("installations", "installations_anonymous_id_unique", ["anonymous_id"]),
-        ("users", "users_installation_id_unique", ["installation_id"]),
-        ("subscriptions", "subscriptions_user_id_unique", ["user_id"]),
-        ("marketing_spend", "marketing_spend_period_channel_unique", ["period_start", "acquisition_channel"]),
-        ("app_releases", "app_releases_release_key_platform_unique", ["release_key", "platform"]),
-    ]
-    return stacked([_named(duplicates(tables[n], keys), n, "uniqueness", check) for n, check, keys in primary + extra])
+    """Rows beyond the first of their key, for all keys of a dataset in one pass: each row is unfolded to its keys, which are counted together.
+
+    A single-column key that is null counts as a violation, as ``count(*) - count(distinct key)`` has it.
+    """
+    keys: dict[str, list[tuple[str, list[str]]]] = {n: [(f"{n}_{rules[n].key}_unique", [rules[n].key])] for n in tables}
+    for n, columns, check in KEYS:
+        if n in keys:
+            keys[n].append((check, columns))
+    out = []
+    for n, checks in keys.items():
+        entries = F.array(*[F.struct(F.lit(check).alias("check_name"), F.to_json(F.struct(*columns)).alias("key"),
+                                     (F.col(columns[0]).isNull() if len(columns) == 1 else F.lit(False)).alias("void")) for check, columns in checks])
+        per_key = tables[n].select(F.inline(entries)).groupBy("check_name", "key").agg(F.count(F.lit(1)).alias("n"), F.bool_or("void").alias("void"))
+        found = per_key.groupBy("check_name").agg(F.sum(F.col("n") - F.when(F.col("void"), 0).otherwise(1)).alias("found"))
+        out.append(_complete(found, [(n, check) for check, _ in checks], "uniqueness"))
+    return stacked(out)
+
+
+def _complete(found: DataFrame, names: Sequence[tuple[str, str]], category: str) -> DataFrame:
+    """A row for every named check, found (check_name, found) or not."""
+    all_names = fixed_rows(found.sparkSession, list(names), ["dataset_name", "check_name"])
+    return all_names.join(found, "check_name", "left").select(
+        "dataset_name", F.lit(category).alias("category"), "check_name", F.coalesce("found", F.lit(0)).cast("long").alias("violation_count"))
 
 
 def unmatched(child: DataFrame, parent: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -122,48 +146,97 @@ REFERENCES = [
 ]
 
 
-def referential(tables: Mapping[str, DataFrame]) -> DataFrame:
+# (child, parent, key, child's time, parent's time, check): fixed catalogue of moments that must not come before their parent's.
+FLOORS = [
+    ("users", "installations", "installation_id", "signed_up_at", "installed_at", "users_signup_not_before_installation"),
+    ("product_events", "installations", "installation_id", "occurred_at", "installed_at", "product_events_not_before_installation"),
+    ("product_events", "users", "user_id", "occurred_at", "signed_up_at", "registered_product_events_not_before_signup"),
+    ("subscriptions", "users", "user_id", "trial_started_at", "signed_up_at", "subscription_trial_not_before_signup"),
+    ("experiment_assignments", "users", "user_id", "assignment_at", "signed_up_at", "experiment_assignment_not_before_signup"),
+]
+
+
+def related(tables: Mapping[str, DataFrame], references: Sequence[tuple], floors: Sequence[tuple]) -> DataFrame:
+    """All conditions between two tables as filtered counts over one join per (child, parent).
+
+    The parent collapses to distinct (key, other columns, time) with its multiplicity before the join; a child row that a parent's
+    (key, other) matches several times counts once, a time before several parents' counts once per parent.  The child is the only side that
+    can be skewed, and a left join lets adaptive execution split it.  A null key or other column matches nothing; events without a user are
+    not held against users.
+    """
+    pairs: dict[tuple[str, str], tuple[list, list]] = {}
+    for child, parent, keys, check in references:
+        pairs.setdefault((child, parent), ([], []))[0].append((keys, check))
+    for child, parent, key, at, floor, check in floors:
+        pairs.setdefault((child, parent), ([], []))[1].append((key, at, floor, check))
     out = []
-    for child, parent, keys, check in REFERENCES:
-        rows = tables[child]
-        if child == "product_events" and parent == "users":
-            rows = rows.where(F.col("user_id").isNotNull())
-        out.append(_named(unmatched(rows, tables[parent], keys), child, "referential_integrity", check))
+    for (child, parent), (refs, times) in pairs.items():
+        key = (refs[0][0] if refs else [times[0][0]])[0]
+        others = list(dict.fromkeys(k for keys, _ in refs for k in keys[1:]))
+        spans = list(dict.fromkeys(floor for _, _, floor, _ in times))
+        kept = tables[parent].groupBy(key, *others, *spans).agg(F.count(F.lit(1)).alias("__m"))
+        # One row of the parent stands for its (key, other) in the count of matches.
+        order = [F.struct(*others, *spans)] if others or spans else [F.col(key)]
+        lead = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy(*order)) == 1
+        kept = kept.select(F.col(key), F.col("__m"), *[F.col(c).alias(f"__{c}") for c in [*others, *spans]], lead([key]).alias("__first"), *[lead([key, o]).alias(f"__first_{o}") for o in others])
+        rows = tables[child].select(*dict.fromkeys([key, *others, *[at for _, at, _, _ in times]]))
+        if (child, parent) == ("product_events", "users"):
+            rows = rows.where(F.col(key).isNotNull())
+        joined = rows.join(kept, key, "left")
+        found = F.col("__m").isNotNull()
+        counts = {}
+        for keys, check in refs:
+            # Rows that match nothing: all rows (each stands once, under its key's first parent or none) less those matched.
+            total = F.count_if(~found | F.col("__first"))
+            hit = F.count_if(found & F.col("__first")) if len(keys) == 1 else F.count_if(F.col(f"__first_{keys[1]}") & (F.col(keys[1]) == F.col(f"__{keys[1]}")))
+            counts[check] = ("referential_integrity", total - hit)
+        for _, at, floor, check in times:
+            counts[check] = ("chronology", F.coalesce(F.sum(F.when(F.col(at) < F.col(f"__{floor}"), F.col("__m"))), F.lit(0)))
+        entries = F.array(*[F.struct(F.lit(cat).alias("category"), F.lit(check).alias("check_name"), n.cast("long").alias("violation_count")) for check, (cat, n) in counts.items()])
+        out.append(joined.agg(entries.alias("e")).select(F.lit(child).alias("dataset_name"), F.inline("e")))
     return stacked(out)
 
 
+def referential(tables: Mapping[str, DataFrame]) -> DataFrame:
+    return related(tables, REFERENCES, [])
+
+
 # --- time order -------------------------------------------------------------------------------------------
 
-def _before(child: DataFrame, parent: DataFrame, key: str, at: str, floor: str) -> DataFrame:
-    """Rows whose time lies before the parent's; an inner equi-join that adaptive execution can split on a hot key."""
-    return child.select(key, at).join(parent.select(key, floor), key).agg(F.count_if(F.col(at) < F.col(floor)).alias("violation_count"))
+# Rows whose own times contradict each other: (dataset, check) -> condition, a fixed catalogue.
+ORDERS = {
+    ("users", "users_onboarding_start_not_before_signup"): "onboarding_started_at < signed_up_at",
+    ("users", "users_onboarding_completion_valid"): "onboarding_completed_at IS NOT NULL AND (onboarding_started_at IS NULL OR onboarding_completed_at < onboarding_started_at)",
+    ("experiment_assignments", "experiment_assignment_inside_window"): "NOT (experiment_start_at <= assignment_at AND assignment_at < experiment_end_at)",
+    ("experiment_assignments", "experiment_exposure_inside_window"): "exposed_at IS NOT NULL AND NOT (assignment_at <= exposed_at AND exposed_at < experiment_end_at)",
+    ("marketing_spend", "marketing_spend_period_order"): "period_end < period_start",
+    ("app_releases", "app_release_rollout_not_before_release"): "rollout_complete_at < release_at",
+}
+
+
+def own_times(tables: Mapping[str, DataFrame]) -> DataFrame:
+    per: dict[str, dict[str, tuple[str, Column]]] = {}
+    for (n, check), condition in ORDERS.items():
+        per.setdefault(n, {})[check] = ("chronology", F.expr(condition))
+    return stacked([row_checks(tables[n], n, checks) for n, checks in per.items()])
 
 
 def chronology(tables: Mapping[str, DataFrame]) -> DataFrame:
-    c, cat = F.col, "chronology"
-    t = tables
-    users, inst = t["users"], t["installations"]
-    started, done = c("onboarding_started_at"), c("onboarding_completed_at")
-    at, lo, hi, seen = c("assignment_at"), c("experiment_start_at"), c("experiment_end_at"), c("exposed_at")
-    joined = [
-        ("users", "users_signup_not_before_installation", _before(users, inst, "installation_id", "signed_up_at", "installed_at")),
-        ("product_events", "product_events_not_before_installation", _before(t["product_events"], inst, "installation_id", "occurred_at", "installed_at")),
-        ("product_events", "registered_product_events_not_before_signup",
-         _before(t["product_events"].where(c("user_id").isNotNull()), users, "user_id", "occurred_at", "signed_up_at")),
-        ("subscriptions", "subscription_trial_not_before_signup", _before(t["subscriptions"], users, "user_id", "trial_started_at", "signed_up_at")),
-        ("experiment_assignments", "experiment_assignment_not_before_signup", _before(t["experiment_assignments"], users, "user_id", "assignment_at", "signed_up_at")),
-    ]
-    return stacked([
-        *[_named(df, n, cat, check) for n, check, df in joined],
-        row_checks(users, "users", {
-            "users_onboarding_start_not_before_signup": (cat, started < c("signed_up_at")),
-            "users_onboarding_completion_valid": (cat, done.isNotNull() & (started.isNull() | (done < started)))}),
-        row_checks(t["experiment_assignments"], "experiment_assignments", {
-            "experiment_assignment_inside_window": (cat, ~((lo <= at) & (at < hi))),
-            "experiment_exposure_inside_window": (cat, seen.isNotNull() & ~((at <= seen) & (seen < hi)))}),
-        row_checks(t["marketing_spend"], "marketing_spend", {"marketing_spend_period_order": (cat, c("period_end") < c("period_start"))}),
-        row_checks(t["app_releases"], "app_releases", {"app_release_rollout_not_before_release": (cat, c("rollout_complete_at") < c("release_at"))}),
-    ])
+    return related(tables, [], FLOORS).unionByName(own_times(tables))
+
+
+def row_rules(tables: Mapping[str, DataFrame], rules: dict[str, Contract]) -> DataFrame:
+    """Nullability, domain and time order within rows: every predicate of a dataset in one scan."""
+    out = []
+    for n, df in tables.items():
+        checks = {f"{n}_nullability": ("nullability", null_violation(rules[n])), f"{n}_domain": ("domain", domain_violation(rules[n]))}
+        out.append(row_checks(df, n, checks | {check: ("chronology", F.expr(c)) for (of, check), c in ORDERS.items() if of == n}))
+    return stacked(out)
+
+
+def compiled(tables: Mapping[str, DataFrame], rules: dict[str, Contract]) -> list[DataFrame]:
+    """The catalogue of row, key, reference and time checks: one scan per dataset for its rows, one for its keys, one join per (child, parent)."""
+    return [row_rules(tables, rules), uniqueness(tables, rules), related(tables, REFERENCES, FLOORS)]
 
 
 # --- events against entities ------------------------------------------------------------------------------

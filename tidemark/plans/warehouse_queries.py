@@ -70,8 +70,7 @@ def all_checks(w: Warehouse) -> DataFrame:
         "dataset_name", F.lit("reconciliation").alias("category"), F.concat("dataset_name", F.lit("_raw_reconciliation")).alias("check_name"),
         F.when(F.col("reconciled"), 0).otherwise(1).cast("long").alias("violation_count"))
     return quality.check_results([
-        recon, quality.event_entity_counts(t), quality.event_timestamp_match(t), quality.uniqueness(t, RULES), quality.referential(t),
-        quality.chronology(t), quality.nullability(t, RULES), quality.domains(t, RULES)])
+        recon, quality.event_entity_counts(t), quality.event_timestamp_match(t), *quality.compiled(t, RULES)])
 
 
 def bounds(w: Warehouse) -> DataFrame:
