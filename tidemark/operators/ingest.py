@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.canonical import fingerprint_bits, row_hash
 from tidemark.functions.pin import pin
+from tidemark.sources import commits
 from tidemark.sources.contracts import Contract, Field
 from tidemark.sources.csv_contract import MALFORMED
 
@@ -131,6 +132,30 @@ def new_batches_only(incoming: DataFrame, audit: DataFrame) -> DataFrame:
     return incoming.join(done, "ingestion_batch_id", "left_anti")
 
 
+def promotion_gate(parsed: DataFrame, validations: DataFrame, batch: str = "ingestion_batch_id") -> DataFrame:
+    """One verdict per batch: promoted whole, or refused whole with the reason.
+
+    ``validations`` (batch, validation_run_id, status) are the runs of the quality catalogue; the latest succeeded one counts.  A batch with a
+    rejected row is refused whatever its validation says.
+    """
+    counts = parsed.groupBy(batch).agg(
+        F.count(F.lit(1)).alias("read_row_count"), F.count_if(F.col("error_codes") == "").alias("accepted_row_count"),
+        F.count_if(F.col("error_codes") != "").alias("rejected_row_count"))
+    runs = validations.groupBy(batch).agg(F.max(F.when(F.col("status") == "succeeded", F.col("validation_run_id"))).alias("validation_run_id"), F.count(F.lit(1)).alias("__runs"))
+    reason = (F.when(F.col("rejected_row_count") > 0, "rejected_rows").when(F.col("__runs").isNull(), "not_validated")
+              .when(F.col("validation_run_id").isNull(), "validation_failed"))
+    joined = counts.join(runs, batch, "left")
+    return joined.select(batch, "read_row_count", "accepted_row_count", "rejected_row_count", "validation_run_id", reason.isNull().alias("promoted"),
+                         reason.alias("refused_because"), F.when(reason.isNull(), F.col("accepted_row_count")).otherwise(0).alias("promoted_row_count"))
+
+
+def promote_whole(parsed: DataFrame, contract: Contract, gate: DataFrame, batch: str = "ingestion_batch_id") -> DataFrame:
+    """Business columns and lineage of the batches that the gate lets through, stamped with their validation run; nothing of the others."""
+    open_ = gate.where("promoted").select(batch, "validation_run_id")
+    kept = [c for c in (batch, "source_file", "source_row_number") if c in parsed.columns]
+    return parsed.join(open_, batch).select(*_typed_columns(contract), *kept, "validation_run_id")
+
+
 def promote_batch(validated: DataFrame, validation_run_id: Column) -> DataFrame:
     """Business and lineage columns of a validated batch, stamped with the validation run."""
     return validated.select("*", validation_run_id.cast("long").alias("validation_run_id"))
@@ -168,53 +193,88 @@ def load_batch(parsed: DataFrame, contract: Contract, table_path: str, audit_pat
 
 
 def load_snapshot(parsed: dict[str, DataFrame], contracts: dict[str, Contract], root: str, batch_id: int, snapshot_id: str, on_reject: str = "fail") -> str:
-    """Load every dataset of a snapshot as one unit under ``root``: tables, quarantine and one audit.
+    """Load every dataset of a snapshot as one unit under ``root``; returns ``loaded`` or ``already_loaded``.
 
-    Nothing counts until the audit rows of all datasets are there, and they are written together.  A snapshot that is partly
-    in the audit is loaded again whole.  Returns ``loaded`` or ``already_loaded``.
+    Rows and rejects of all datasets are written beside the tables, read back and reconciled with the delivery; only then one manifest
+    makes them visible together.  With ``on_reject='fail'`` a single rejected row refuses the snapshot; with ``'quarantine'`` rejects are kept
+    beside the accepted rows.  A refused, failed or interrupted load leaves no visible row; another load of the same batch replaces it.
+    ``sources.commits`` reads the tables and the audit.
     """
     spark = next(iter(parsed.values())).sparkSession
-    audit = f"{root}/audit"
-    if _loaded(spark, audit, snapshot_id) >= set(parsed):
+    base = commits.current(spark, root)
+    if {a["dataset_name"] for a in base["audit"] if a["snapshot_id"] == snapshot_id and a["status"] == "succeeded"} >= set(parsed):
         return "already_loaded"
-    jobs = {n: (df, contracts[n], f"{root}/tables/{n}") for n, df in parsed.items()}
-    _load(jobs, audit, batch_id, snapshot_id, on_reject, {n: f"{root}/quarantine/{snapshot_id}/{n}" for n in parsed})
+    stored = {n: pin(df) for n, df in parsed.items()}
+    if on_reject == "fail":
+        _refuse_rejects(stored)
+    load = uuid.uuid4().hex
+    tables, recon = {}, []
+    for n, df in stored.items():
+        rows = accepted_rows(df, contracts[n])
+        stamped = rows.select("*", row_hash(rows, n, contracts[n].columns).alias("row_hash"), F.lit(batch_id).cast("long").alias("ingestion_batch_id"))
+        stamped.write.parquet(f"{root}/tables/{n}/{load}")
+        tables[n] = [{"batch": batch_id, "path": f"tables/{n}/{load}"}]
+        recon.append(load_reconciliation(df, spark.read.schema(stamped.schema).parquet(f"{root}/tables/{n}/{load}"), n))
+        if on_reject != "fail":
+            rejects = quarantine_rows(df, contracts[n]).withColumn("ingestion_batch_id", F.lit(batch_id).cast("long"))
+            rejects.write.parquet(f"{root}/tables/quarantine_{n}/{load}")
+            tables[f"quarantine_{n}"] = [{"batch": batch_id, "path": f"tables/quarantine_{n}/{load}"}]
+    # One row per dataset, bounded by the contracts.
+    verdicts = {r.dataset_name: r for r in reduce(DataFrame.unionByName, recon).collect()}
+    wrong = sorted(n for n, r in verdicts.items() if not r.reconciled)
+    if wrong:
+        raise RuntimeError(f"loaded rows do not reconcile: {', '.join(wrong)}")
+    audit = [{"ingestion_batch_id": batch_id, "snapshot_id": snapshot_id, "dataset_name": n, "accepted_row_count": r.accepted_row_count,
+              "rejected_row_count": r.rejected_row_count, "status": "succeeded"} for n, r in sorted(verdicts.items())]
+    commits.publish(spark, root, base, tables, audit)
     return "loaded"
 
 
+def _refuse_rejects(stored: dict[str, DataFrame]) -> None:
+    broken = [n for n, df in stored.items() if not df.where(F.col("error_codes") != "").isEmpty()]
+    if broken:
+        raise RejectedRows(", ".join(sorted(broken)))
+
+
 def _load(jobs: dict[str, tuple[DataFrame, Contract, str]], audit_path: str, batch_id: int, snapshot_id: str, on_reject: str, quarantines: dict[str, str]) -> None:
-    """Batch partitions are overwritten and the audit is appended last, so an attempt that died half-way is replaced by the next.
+    """A batch's rows are written to a draft folder, reconciled there, moved into place, and the audit is appended last, so a load that
+    fails its reconciliation leaves no row, and an attempt that died half-way is replaced by the next.
 
     Each input is parsed once: the stored verdicts feed the rejection test, the quarantine, the table and the reconciliation.
     """
     stored = {n: (pin(df), contract, table) for n, (df, contract, table) in jobs.items()}
     if on_reject == "fail":
-        broken = [n for n, (df, _, _) in stored.items() if not df.where(F.col("error_codes") != "").isEmpty()]
-        if broken:
-            raise RejectedRows(", ".join(sorted(broken)))
-    else:
-        for n, path in quarantines.items():
-            quarantine_rows(*stored[n][:2]).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
-    audits = []
+        _refuse_rejects({n: df for n, (df, _, _) in stored.items()})
+    audits, drafts = [], []
     for n, (df, contract, table) in stored.items():
         rows = accepted_rows(df, contract)
-        stamped = rows.select("*", row_hash(rows, n, contract.columns).alias("row_hash"), F.lit(batch_id).cast("long").alias("ingestion_batch_id"))
-        stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ingestion_batch_id").parquet(table)
-        loaded = df.sparkSession.read.parquet(table).where(F.col("ingestion_batch_id") == batch_id) if _has_rows(df.sparkSession, table) else rows.limit(0)
-        audits.append(load_reconciliation(df, loaded, n))
+        stamped = rows.select("*", row_hash(rows, n, contract.columns).alias("row_hash"))
+        draft = f"{table}/_draft_{uuid.uuid4().hex}"
+        stamped.write.parquet(draft)
+        drafts.append((df.sparkSession, draft, f"{table}/ingestion_batch_id={batch_id}"))
+        audits.append(load_reconciliation(df, df.sparkSession.read.schema(stamped.schema).parquet(draft), n))
     audit = pin(reduce(DataFrame.unionByName, audits).select(
         F.lit(batch_id).cast("long").alias("ingestion_batch_id"), F.lit(snapshot_id).alias("snapshot_id"), "dataset_name",
         "accepted_row_count", "rejected_row_count", F.when(F.col("reconciled"), "succeeded").otherwise("failed").alias("status")))
-    audit.coalesce(1).write.mode("append").parquet(audit_path)
     wrong = [r.dataset_name for r in audit.where("status = 'failed'").select("dataset_name").collect()]
     if wrong:
         raise RuntimeError(f"loaded rows do not reconcile: {', '.join(sorted(wrong))}")
+    for n, path in quarantines.items() if on_reject != "fail" else ():
+        quarantine_rows(*stored[n][:2]).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    for spark, draft, final in drafts:
+        _replace(spark, draft, final)
+    audit.coalesce(1).write.mode("append").parquet(audit_path)
 
 
-def _has_rows(spark: SparkSession, path: str) -> bool:
-    """An empty batch writes no partition folder, and its table cannot be read."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/ingestion_batch_id=*")
-    return bool(hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop))
+def _replace(spark: SparkSession, draft: str, final: str) -> None:
+    """The draft folder in place of what an attempt without an audit row may have left there."""
+    java = spark.sparkContext._jvm.org.apache.hadoop.fs
+    old, new = java.Path(final), java.Path(draft)
+    files = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(old):
+        files.delete(old, True)
+    if not files.rename(new, old):
+        raise RuntimeError(f"{draft} could not be moved to {final}")
 
 
 def result_manifest(results: dict[str, DataFrame]) -> DataFrame:

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.canonical import row_hash
-from tidemark.functions.pin import checkpoint_dir
+from tidemark.functions.pin import checkpoint_dir, pin
 from tidemark.operators import ingest, reports
 from tidemark.plans import mart_queries as mq
-from tidemark.sources import Warehouse
+from tidemark.sources import Warehouse, commits
 from tidemark.sources.contracts import CONTRACTS
 from tidemark.sources.csv_contract import canonical_text, scan_contract, snapshot_audit, write_csv
 
@@ -68,9 +68,9 @@ def snapshot_load(w: Warehouse) -> DataFrame:
     contracts = {n: CONTRACTS[n] for n in names}
     ingest.load_snapshot(frames, contracts, root, 20240131, "snapshot_a", on_reject="quarantine")
     again = ingest.load_snapshot(frames, contracts, root, 20240131, "snapshot_a", on_reject="quarantine")
-    stored = [w.spark.read.parquet(f"{root}/tables/{n}").groupBy("ingestion_batch_id").agg(F.count(F.lit(1)).alias("stored_row_count"), F.count_distinct("row_hash").alias("distinct_row_hashes"))
+    stored = [commits.published(w.spark, root, n).groupBy("ingestion_batch_id").agg(F.count(F.lit(1)).alias("stored_row_count"), F.count_distinct("row_hash").alias("distinct_row_hashes"))
               .withColumn("dataset_name", F.lit(n)) for n in names]
-    audit = w.spark.read.parquet(f"{root}/audit")
+    audit = commits.audit_rows(w.spark, root)
     return audit.join(stored[0].unionByName(stored[1]), ["ingestion_batch_id", "dataset_name"]).withColumn("second_attempt", F.lit(again))
 
 
@@ -117,6 +117,30 @@ def promoted(w: Warehouse) -> DataFrame:
         "transaction_id", "ingestion_batch_id", "validation_run_id", F.col("amount_gbp").cast("double").alias("amount_gbp"))
 
 
+def deliveries(w: Warehouse) -> DataFrame:
+    """The parsed transactions, each order a delivery of its own."""
+    return parsed(w).withColumn("ingestion_batch_id", F.substring("subscription_id", 5, 20).cast("long"))
+
+
+def validations(w: Warehouse) -> DataFrame:
+    """Two runs of each delivery's checks: every tenth was never validated, the one after it failed twice, the others passed the second run."""
+    order, k = F.col("o_orderkey"), F.col("k")
+    runs = w.table("orders").where(order % 10 != 0).select(order, F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
+    return runs.select(order.cast("long").alias("ingestion_batch_id"), (order * 10 + k).cast("long").alias("validation_run_id"),
+                       F.when((k == 2) & (order % 10 != 1), "succeeded").otherwise("failed").alias("status"))
+
+
+def gate(w: Warehouse) -> DataFrame:
+    return ingest.promotion_gate(deliveries(w), validations(w))
+
+
+def promoted_whole(w: Warehouse) -> DataFrame:
+    """Rows of the deliveries that were let through, none of the others."""
+    rows = pin(deliveries(w))
+    return ingest.promote_whole(rows, TRANSACTIONS, ingest.promotion_gate(rows, validations(w))).select(
+        "transaction_id", "ingestion_batch_id", "validation_run_id", F.col("amount_gbp").cast("double").alias("amount_gbp"))
+
+
 def typed_text(w: Warehouse) -> DataFrame:
     return ingest.typed_cast(parsed(w), TRANSACTIONS).withColumn("amount_gbp", F.col("amount_gbp").cast("double"))
 
@@ -134,6 +158,8 @@ QUERIES = {
     "load_snapshot": snapshot_load,
     "load_reconciliation": stored_reconciliation,
     "promote_batch": promoted,
+    "promotion_gate": gate,
+    "staging_promotion": promoted_whole,
     "orphan_partitions": lambda w: ingest.orphan_partitions(order_batches(w), batch_audit(w)),
     "canonical_csv": lambda w: canonical_text(w.users.withColumn("onboarded", F.col("onboarding_completed_at").isNotNull())),
     "result_manifest": lambda w: ingest.result_manifest(results(w)),

@@ -55,6 +55,13 @@ FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
     "i_parsed": "SELECT *, concat_ws('|', " + ", ".join(f"c_{c}" for c in _CODES) + ") AS error_codes, concat_ws('|', "
     + ", ".join(f"'{c}:' || c_{c}" for c in _CODES) + ") AS error_details FROM (SELECT *, " + ", ".join(f"{e} AS c_{c}" for c, e in _CODES.items()) + " FROM i_raw)",
     "i_accepted": f"SELECT {_TYPED} FROM i_parsed WHERE error_codes = ''",
+    "i_gate": """
+SELECT ingestion_batch_id, read_row_count, accepted_row_count, rejected_row_count, run, reason IS NULL AS promoted, reason AS refused_because,
+  CASE WHEN reason IS NULL THEN accepted_row_count ELSE 0 END AS promoted_row_count
+FROM (SELECT *, CASE WHEN ingestion_batch_id % 10 > 1 THEN ingestion_batch_id * 10 + 2 END AS run,
+    CASE WHEN rejected_row_count > 0 THEN 'rejected_rows' WHEN ingestion_batch_id % 10 = 0 THEN 'not_validated' WHEN ingestion_batch_id % 10 = 1 THEN 'validation_failed' END AS reason
+  FROM (SELECT CAST(substr(subscription_id, 5) AS BIGINT) AS ingestion_batch_id, count(*) AS read_row_count, count(*) FILTER (WHERE error_codes = '') AS accepted_row_count,
+    count(*) FILTER (WHERE error_codes <> '') AS rejected_row_count FROM i_parsed GROUP BY 1))""",
     "i_batches": "SELECT *, CAST(year(subscription_started_at) AS BIGINT) AS ingestion_batch_id FROM paid_subscriptions",
     "i_digest": "SELECT dataset, count(*) AS n, CAST(sum(b) AS VARCHAR) AS s, CAST(bit_xor(b) AS VARCHAR) AS x FROM (SELECT dataset, ('0x' || substr(h, 1, 15))::BIGINT AS b FROM ("
     f"SELECT 'subscription_transactions' AS dataset, sha256({_PAYLOAD}) AS h FROM i_accepted UNION ALL SELECT 'users', sha256({_USER_PAYLOAD}) FROM users)) GROUP BY 1",
@@ -91,6 +98,9 @@ UNION ALL SELECT 20240131, 'snapshot_a', 'users', count(*), 0, 'succeeded', coun
     "load_reconciliation": """SELECT 'subscription_transactions' AS dataset_name, count(*) AS read_row_count, count(*) FILTER (WHERE error_codes = '') AS accepted_row_count,
   count(*) FILTER (WHERE error_codes <> '') AS rejected_row_count, (SELECT count(*) FROM i_accepted) AS loaded_row_count, true AS reconciled FROM i_parsed""",
     "promote_batch": """SELECT transaction_id, CAST(year(attempted_at) AS BIGINT) AS ingestion_batch_id, CAST(year(attempted_at) * 10 AS BIGINT) AS validation_run_id, amount_gbp FROM i_accepted""",
+    "promotion_gate": "SELECT * EXCLUDE (run), run AS validation_run_id FROM i_gate",
+    "staging_promotion": """SELECT a.transaction_id, g.ingestion_batch_id, g.run AS validation_run_id, a.amount_gbp
+FROM i_accepted a JOIN i_gate g ON g.ingestion_batch_id = CAST(substr(a.subscription_id, 5) AS BIGINT) AND g.promoted""",
     "orphan_partitions": """SELECT ingestion_batch_id, count(*) AS row_count FROM i_batches
 WHERE ingestion_batch_id >= (SELECT max(ingestion_batch_id) - 1 FROM i_batches) GROUP BY 1""",
     "canonical_csv": "SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(installation_id AS VARCHAR) AS installation_id, anonymous_id, "
