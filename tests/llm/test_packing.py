@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from support import corpus, documents, empty, word_list
 from tidemark.llm.packing import best_fit, cheapest, pack_documents, places, plan
@@ -47,14 +48,18 @@ def test_empty_table(spark):
 
 
 def one_by_one(sizes, capacities):
-    """Best fit of single pieces -> sorted (capacity, filled) of the bins."""
-    bins = []
-    for size in sorted(sizes, reverse=True):
+    """Best fit of single pieces -> sorted (capacity, filled) of the bins; a size chooses its bins once, when it first needs one."""
+    bins, chosen, ordered = [], {}, sorted(sizes, reverse=True)
+    for i, size in enumerate(ordered):
         fits = [b for b in bins if b[0] - b[1] >= size]
         if fits:
             into = min(fits, key=lambda b: b[0] - b[1])
         else:
-            bins.append(into := [cheapest(size, capacities), 0])
+            if size not in chosen:
+                left = sum(s == size for s in ordered[i:])
+                smaller = np.cumsum([s * ordered.count(s) if s < size else 0 for s in range(size + 1)])
+                chosen[size] = cheapest(size, left, smaller, sum(c - f for c, f in bins), capacities)
+            bins.append(into := [chosen[size], 0])
         into[1] += size
     return sorted((min(c for c in capacities if c >= filled), filled) for _, filled in bins)
 
@@ -66,6 +71,16 @@ def test_counts_pack_as_single_pieces_do():
         assert sorted((c, f) for c, f, _ in best_fit([(s, str(i)) for i, s in enumerate(sizes)], (50, 100, 128))) == one_by_one(sizes, (50, 100, 128)), trial
 
 
+@pytest.mark.parametrize("size, share", [(300, 0.9), (520, 0.85), (1_400, 0.68), (2_100, 0.51), (4_096, 1.0), (40, 0.99)])
+def test_bins_are_chosen_for_all_that_is_to_be_packed(size, share):
+    """Many equal pieces fill the bins about as well as their size permits."""
+    bins = best_fit([(size, str(i)) for i in range(2_000)], (512, 1024, 2048, 4096))
+    assert sum(f for _, f, _ in bins) / sum(c for c, _, _ in bins) >= share
+    # Small pieces that can fill the rest are counted on.
+    bins = best_fit([(size, str(i)) for i in range(300)] + [(5, f"s{i}") for i in range(250_000)], (512, 1024, 2048, 4096))
+    assert sum(f for _, f, _ in bins) / sum(c for c, _, _ in bins) > 0.98
+
+
 def test_work_does_not_grow_with_the_pieces_of_a_size():
     counts = {300: 10**12, 2_100: 10**12 + 1, 1_400: 7, 5: 10**13}
     runs, bins = plan(counts, (512, 1024, 2048, 4096))

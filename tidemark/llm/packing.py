@@ -16,13 +16,25 @@ from tidemark.llm.store import stage
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Pieces per shard, at most: a piece's number among those of its size is counted in shards.
 SHARD = 20_000
-#: Price of a bin: its capacity and a fixed part, so that one long bin is cheaper than several short ones as full.
+#: Price of a bin: its capacity and a fixed part, so that one long bin is cheaper than several short ones as full; prices are per word held.
 FIXED = 32
 
 
-def cheapest(size: int, capacities: tuple[int, ...]) -> int:
-    """The least-cost bin to open for a piece: the bin's price over the words it could hold beside what it wastes now."""
-    return min((c for c in capacities if c >= size), key=lambda c: ((c + FIXED) / c + (c - size) / (4 * capacities[-1]), c))
+def cheapest(size: int, left: int, smaller: np.ndarray, spare: int, capacities: tuple[int, ...]) -> int:
+    """The bin size of least price per word for ``left`` pieces of a size, with all that is still to be packed in view.
+
+    ``smaller[r]`` are the words in smaller pieces of at most r words, ``spare`` the room in bins that are open already and take of them first.
+    A bin holds as many pieces as it can and shares what smaller pieces can fill of the rest evenly with its like; its price is that
+    of the permitted size it then shrinks to.  Equal prices go to the larger bin: fewer bins.
+    """
+    def price(c: int) -> tuple[float, int]:
+        per = min(c // size, left)
+        bins, rest = -(-left // per), c - per * size
+        more = max(0, int(smaller[min(rest, size - 1)]) - spare) / bins
+        filled = per * size + min(rest, more)
+        return (min(x for x in capacities if x >= filled) + FIXED) / filled, -c
+
+    return min((c for c in capacities if c >= size), key=price)
 
 
 def plan(counts: dict[int, int], capacities: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -37,15 +49,20 @@ def plan(counts: dict[int, int], capacities: tuple[int, ...]) -> tuple[np.ndarra
     runs: list[tuple] = []
     room: list[tuple[int, int, int, int]] = []  # (free, first bin, bins, filled), sorted
     full: list[tuple[int, int]] = []  # (first bin, filled) of bins without room
-    opened = piece = 0
+    opened = piece = spare = 0
+    words = np.zeros(max(counts, default=0) + 1, np.float64)
+    for size, n in counts.items():
+        words[size] = float(size) * n
+    smaller = np.cumsum(words)
     for size in sorted(counts, reverse=True):
         left = counts[size]
         while left:
             at = bisect_left(room, (size,))
             if at < len(room):
                 free, first, bins, filled = room.pop(at)
+                spare -= free * bins
             else:
-                free = cheapest(size, capacities)
+                free = cheapest(size, left, smaller, spare, capacities)
                 first, bins, filled = opened, -(-left // (free // size)), 0
                 opened += bins
             each = free // size
@@ -57,11 +74,13 @@ def plan(counts: dict[int, int], capacities: tuple[int, ...]) -> tuple[np.ndarra
                     rest = (free - per * size, first, n, filled + per * size)
                     if rest[0]:
                         insort(room, rest)
+                        spare += rest[0] * n
                     else:
                         full.append((first, rest[3]))
                     first, bins = first + n, bins - n
             if bins:
                 insort(room, (free, first, bins, filled))
+                spare += free * bins
     ends = sorted(full + [(first, filled) for _, first, _, filled in room])
     shrunk = [(first, min(c for c in capacities if c >= filled), filled) for first, filled in ends]
     return np.array(runs, np.int64).reshape(-1, 5), np.array(shrunk, np.int64).reshape(-1, 3)
