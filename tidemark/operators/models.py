@@ -8,11 +8,11 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import rate
 from tidemark.functions.pin import pin
+from tidemark.operators.isotonic import isotonic_blocks, isotonic_scores
 from tidemark.operators.scoring import CATEGORICAL, LABEL, NUMERIC, STATIC_NUMERIC, feature_scaling_stats
 
 STATIC = [*CATEGORICAL, *STATIC_NUMERIC]
@@ -122,10 +122,9 @@ def calibrate(oof: DataFrame, scored: DataFrame, epsilon: float = 1e-6) -> DataF
     prepare = lambda df: logit.transform(df.withColumn("logit", F.ln(clipped / (1.0 - clipped))).withColumn("label", F.col("label").cast("double")))
     oof = pin(oof)
     sigmoid = LogisticRegression(regParam=0.0, maxIter=2000, tol=1e-8).fit(prepare(oof))
-    isotonic = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="q").fit(oof.withColumn("label", F.col("label").cast("double")))
     base = scored.select("subscription_id", "label", "p")
     with_sigmoid = sigmoid.transform(prepare(base)).select(
         "subscription_id", F.col("label").cast("int").alias("label"), vector_to_array("probability")[1].alias("p"), F.lit("sigmoid").alias("method"))
-    with_isotonic = isotonic.transform(base).select(
+    with_isotonic = isotonic_scores(base, isotonic_blocks(oof)).select(
         "subscription_id", "label", F.least(F.greatest(F.col("q"), F.lit(0.0)), F.lit(1.0)).alias("p"), F.lit("isotonic").alias("method"))
     return base.withColumn("method", F.lit("none")).unionByName(with_sigmoid).unionByName(with_isotonic)

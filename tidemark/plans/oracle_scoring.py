@@ -71,6 +71,16 @@ UNION ALL SELECT 'platform', platform, label, p FROM s_scored UNION ALL SELECT '
 UNION ALL SELECT 'acquisition_channel', acquisition_channel, label, p FROM s_scored""",
     "s_delta": """SELECT subscription_id, (p - label) * (p - label) - (p2 - label) * (p2 - label) AS b,
   -(CASE WHEN label = 1 THEN ln(p) ELSE ln(1 - p) END) + (CASE WHEN label = 1 THEN ln(p2) ELSE ln(1 - p2) END) AS l FROM s_scored""",
+    # Isotonic regression by its max-min formula over runs of distinct scores, without any pooling.
+    "s_points": """SELECT p, row_number() OVER (ORDER BY p) AS i, sum(y) OVER (ORDER BY p) AS ys, sum(n) OVER (ORDER BY p) AS ns
+FROM (SELECT p, sum(label) AS y, count(*) AS n FROM s_scored GROUP BY p)""",
+    "s_fitted": """
+SELECT p, max(low) AS value FROM (
+  SELECT j.i AS j, k.p, k.i AS k, min((k.ys - coalesce(b.ys, 0)) / CAST(k.ns - coalesce(b.ns, 0) AS DOUBLE)) OVER (PARTITION BY j.i ORDER BY k.i DESC) AS low
+  FROM s_points j JOIN s_points k ON k.i >= j.i LEFT JOIN s_points b ON b.i = j.i - 1) GROUP BY p""",
+    "s_iso": """
+SELECT min(p) AS lo, max(p) AS hi, sum(positives)::BIGINT AS positives, sum(n)::BIGINT AS n, any_value(value) AS value
+FROM (SELECT f.p, f.value, count(*) AS n, sum(s.label) AS positives FROM s_fitted f JOIN s_scored s ON s.p = f.p GROUP BY f.p, f.value) GROUP BY round(value, 12)""",
     **resampled("s_pair", f"""
 SELECT '{{"part":"all"}}' AS g, {key("'paired'", "'{\"part\":\"all\"}'")} AS salt, sum(n) OVER ()::BIGINT AS drawn,
   {key("'value'", "label::VARCHAR", "floor(p * 1e15)::BIGINT::VARCHAR", "floor(p2 * 1e15)::BIGINT::VARCHAR")} AS key, n, b AS m1, l AS m2
@@ -129,6 +139,11 @@ FROM (SELECT *, row_number() OVER (ORDER BY trial_started_at, subscription_id) A
   {", ".join(f"round(m.{d}, 9) AS {d}" for d in _DELTAS)}, m.brier_score < r.brier_score AND m.log_loss < r.log_loss AS improves_both,
   m.method = coalesce((SELECT q.method FROM s_method_metrics q WHERE q.brier_score < r.brier_score AND q.log_loss < r.log_loss ORDER BY q.brier_score, q.log_loss, q.method LIMIT 1), 'none') AS chosen
 FROM s_method_metrics m, (SELECT brier_score, log_loss FROM s_method_metrics WHERE method = 'none') r""",
+    "isotonic_blocks": "SELECT lo, hi, positives, n, positives / CAST(n AS DOUBLE) AS value FROM s_iso",
+    "isotonic_scores": """
+SELECT subscription_id, label, round(p2, 9) AS p, round(CASE WHEN below.hi IS NULL THEN first_value WHEN p2 <= below.hi OR above.lo IS NULL THEN below.value
+  ELSE below.value + (above.value - below.value) * (p2 - below.hi) / (above.lo - below.hi) END, 9) AS q
+FROM s_scored s ASOF LEFT JOIN s_iso below ON s.p2 >= below.lo ASOF LEFT JOIN s_iso above ON s.p2 < above.lo, (SELECT min(value) AS first_value FROM s_iso)""",
     "reliability_bins": """SELECT CAST(b AS INT) AS bin_number, count(*) AS row_count, min(p) AS probability_min, max(p) AS probability_max, round(avg(p), 9) AS mean_predicted_conversion,
   round(avg(CAST(label AS DOUBLE)), 9) AS observed_conversion_rate, round(avg(p) - avg(CAST(label AS DOUBLE)), 9) AS calibration_gap
 FROM (SELECT *, ntile(10) OVER (ORDER BY p, subscription_id) AS b FROM s_scored) GROUP BY 1""",

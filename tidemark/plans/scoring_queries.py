@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.pin import pin
-from tidemark.operators import marts, models, scoring
+from tidemark.operators import isotonic, marts, models, scoring
 from tidemark.plans.experiment_queries import rounded
 from tidemark.plans.mart_queries import cutoff, trial_cohorts
 from tidemark.sources import Warehouse
@@ -91,6 +91,8 @@ QUERIES = {
     "temporal_folds": lambda w: scoring.temporal_folds(scored(w)).select("subscription_id", "trial_started_at", "position", "fold"),
     "temporal_oof_scores": lambda w: models.out_of_fold_scores(scoring.temporal_folds(train(w))),
     "calibration_candidates": calibration,
+    "isotonic_blocks": lambda w: isotonic.isotonic_blocks(scored(w)),
+    "isotonic_scores": lambda w: rounded(isotonic.isotonic_scores(scored(w, 104729).select("subscription_id", "label", "p"), isotonic.isotonic_blocks(scored(w)))),
     "calibration_choice": lambda w: rounded(scoring.calibration_choice(calibrated(w))),
     "reliability_bins": lambda w: rounded(scoring.reliability_bins(scored(w))),
     "targeting_utility": lambda w: rounded(scoring.targeting_utility(scored(w))),
