@@ -93,6 +93,48 @@ def test_record_numbers_hold_across_file_blocks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_blank_records_are_rejects_with_their_number(spark, tmp_path):
+    """Header, a record, a blank one, another: numbers 2, 3 and 4, the blank one with the wrong number of values."""
+    (tmp_path / "a.csv").write_bytes(b"id,body,n\r\n1,x,1\r\n\r\n2,y,2\r\n")
+    parsed = ingest.parse_rows(scan_contract(spark, str(tmp_path), SMALL), SMALL)
+    assert {r.source_row_number: (r.id, r.error_codes) for r in parsed.collect()} == {2: ("1", ""), 3: (None, "COLUMN_COUNT_MISMATCH"), 4: ("2", "")}
+
+
+@pytest.mark.parametrize("size", [64, 1_000, 1_000_000])
+def test_quoted_line_breaks_across_file_blocks(spark, tmp_path, size):
+    """As Python's csv reader has it, however the file is cut."""
+    import csv
+    import io
+    import random
+
+    r = random.Random(4)
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator="\n")
+    writer.writerow(["id", "body", "n"])
+    for i in range(300):
+        writer.writerow([i, "".join(r.choice(["a", '"', "\n", ",", " ", "é"]) for _ in range(r.randint(0, 12))), i])
+    (tmp_path / "a.csv").write_text(out.getvalue(), newline="")
+    wanted = {n: row for n, row in enumerate(csv.reader(io.StringIO(out.getvalue())), start=1) if n > 1}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        df = scan_contract(spark, str(tmp_path), SMALL)
+        if size == 64:
+            assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        got = {x.source_row_number: [x.id, x.body or "", x.n] for x in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    assert got == wanted
+
+
+def test_quotes_that_do_not_close_fail_the_scan(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,body,n\n1,"x,1\n2,y,2\n')
+    with pytest.raises(Exception, match="quotes do not close"):
+        scan_contract(spark, str(tmp_path), SMALL).collect()
+
+
 def test_header_must_equal_contract(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,n,body\n1,2,x\n")
     with pytest.raises(Exception, match="header|Header"):

@@ -11,7 +11,7 @@ from tidemark.functions.pin import checkpoint_dir, pin
 from tidemark.operators import ingest, reports
 from tidemark.plans import mart_queries as mq
 from tidemark.sources import Warehouse, commits
-from tidemark.sources.contracts import CONTRACTS
+from tidemark.sources.contracts import CONTRACTS, Contract, Field
 from tidemark.sources.csv_contract import canonical_text, scan_contract, snapshot_audit, write_csv
 
 TRANSACTIONS = CONTRACTS["subscription_transactions"]
@@ -52,6 +52,19 @@ def scanned(w: Warehouse) -> DataFrame:
     return scan_contract(w.spark, path, TRANSACTIONS)
 
 
+NOTES = Contract("notes", "note_id", (Field("note_id", "integer"), Field("body", nullable=True), Field("source", nullable=True)))
+
+
+def scanned_notes(w: Warehouse) -> DataFrame:
+    """Texts with line breaks, quotes and commas written as CSV and read back record by record."""
+    path = f"{folder(w)}/{NOTES.dataset}.csv"
+    write_csv(w.table("documents").select(F.col("doc_id").alias("note_id"), F.col("text").alias("body"), "source"), path)
+    rows = scan_contract(w.spark, path, NOTES)
+    last = rows.groupBy("source_file").agg((F.count(F.lit(1)) == F.max("source_row_number") - 1).alias("numbered")).agg(F.min("numbered")).scalar()
+    return rows.select(F.col("note_id").cast("long").alias("note_id"), F.sha2(F.coalesce("body", F.lit("")), 256).alias("body_sha256"), "source",
+                       F.col("_malformed").isNotNull().alias("malformed"), (F.col("source_row_number") > 1).alias("after_header")).withColumn("numbers_complete", last)
+
+
 def audited(w: Warehouse) -> DataFrame:
     """A snapshot with one present, one missing and one unexpected dataset."""
     path = folder(w)
@@ -147,6 +160,7 @@ def typed_text(w: Warehouse) -> DataFrame:
 
 QUERIES = {
     "scan_contract": lambda w: scanned(w).select(*TRANSACTIONS.columns),
+    "scan_records": scanned_notes,
     "snapshot_audit": audited,
     "table_fingerprint": lambda w: ingest.snapshot_fingerprint({
         "subscription_transactions": ingest.accepted_rows(parsed(w), TRANSACTIONS), "users": w.users}),

@@ -98,6 +98,8 @@ UNION ALL SELECT 20240131, 'snapshot_a', 'users', count(*), 0, 'succeeded', coun
     "load_reconciliation": """SELECT 'subscription_transactions' AS dataset_name, count(*) AS read_row_count, count(*) FILTER (WHERE error_codes = '') AS accepted_row_count,
   count(*) FILTER (WHERE error_codes <> '') AS rejected_row_count, (SELECT count(*) FROM i_accepted) AS loaded_row_count, true AS reconciled FROM i_parsed""",
     "promote_batch": """SELECT transaction_id, CAST(year(attempted_at) AS BIGINT) AS ingestion_batch_id, CAST(year(attempted_at) * 10 AS BIGINT) AS validation_run_id, amount_gbp FROM i_accepted""",
+    "scan_records": """SELECT doc_id AS note_id, sha256(coalesce(text, '')) AS body_sha256, nullif(source, '') AS source, false AS malformed, true AS after_header,
+  true AS numbers_complete FROM documents""",
     "promotion_gate": "SELECT * EXCLUDE (run), run AS validation_run_id FROM i_gate",
     "staging_promotion": """SELECT a.transaction_id, g.ingestion_batch_id, g.run AS validation_run_id, a.amount_gbp
 FROM i_accepted a JOIN i_gate g ON g.ingestion_batch_id = CAST(substr(a.subscription_id, 5) AS BIGINT) AND g.promoted""",

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions.fixed import fixed_rows
+from tidemark.functions.pin import pin
 from tidemark.sources.contracts import Contract
 
 MALFORMED = "_malformed"
@@ -13,33 +14,64 @@ MALFORMED = "_malformed"
 def scan_contract(spark: SparkSession, path: str, contract: Contract, delimiter: str = ",", multiline: bool = True) -> DataFrame:
     """All contract columns as text, plus source file, record number (the header is 1) and arity verdict.
 
-    Nothing is inferred: the header of every file must equal the contract, or the scan fails.  A record with
-    too few or too many values keeps its text in ``_malformed``.  ``multiline`` allows quoted line breaks;
-    without it large files are split across tasks.
+    Nothing is inferred: the first record of every file must equal the contract, or the scan fails.  A record with too few or too many values
+    (an empty one has none) keeps its text in ``_malformed``, empty values are NULL.  ``multiline`` allows quoted line breaks; a file whose
+    quotes do not close fails the scan then.  Files are split across tasks either way.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in contract.columns] + [T.StructField(MALFORMED, T.StringType())])
-    rows = (
-        spark.read.schema(schema)
-        .option("header", True).option("enforceSchema", False).option("sep", delimiter).option("encoding", "UTF-8")
-        .option("quote", '"').option("escape", '"').option("multiLine", multiline).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", MALFORMED)
-        .csv(path)
-    )
-    return number_records(rows)
+    records = split_records(text_lines(spark, path), multiline)
+    header = delimiter.join(contract.columns)
+    first = F.col("source_row_number") == 1
+    plain = F.regexp_replace(F.regexp_replace("record", "^\ufeff", ""), '"', "")
+    wrong = F.raise_error(F.concat(F.lit(f"header of {contract.dataset} differs from the contract: "), "source_file", F.lit(" has "), plain))
+    body = records.where(F.when(first & (plain != header), wrong.cast("boolean")).otherwise(~first))
+    kinds = ", ".join(f"`{c}` string" for c in [*contract.columns, MALFORMED])
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": MALFORMED, "maxCharsPerColumn": "-1"}
+    parsed = body.withColumn("__values", F.from_csv("record", kinds, options))
+    empty = F.col("record") == ""
+    malformed = F.when(empty, F.col("record")).otherwise(F.col(f"__values.{MALFORMED}"))
+    return parsed.select(*[F.when(~empty, F.col(f"__values.{c}")).alias(c) for c in contract.columns], malformed.alias(MALFORMED), "source_file", "source_row_number")
 
 
-def number_records(rows: DataFrame) -> DataFrame:
-    """Record number inside its file, without moving any row.
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, source_file, block, id: the lines of all files, in order of id within a block of a file."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
 
-    Ids grow along each file block; a small table of blocks with running counts turns them into positions.
+
+def _before_block(blocks: DataFrame, measure: str) -> DataFrame:
+    """What the earlier blocks of a file hold together; a file has one small row per block."""
+    earlier = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.select("source_file", "block", F.coalesce(F.sum(measure).over(earlier), F.lit(0)).alias("before"))
+
+
+def split_records(lines: DataFrame, multiline: bool = True) -> DataFrame:
+    """record, source_file, source_row_number: lines joined where a line break stands inside quotes.
+
+    A line starts inside quotes where the quotes before it in its file are odd in number: a prefix sum, within blocks and over
+    their totals.  So is a record's number.  Only lines of broken records are gathered; all others stay where they are.
     """
-    tagged = rows.select("*", F.col("_metadata.file_path").alias("source_file"),
-                         F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
-    blocks = tagged.groupBy("source_file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
-    before = Window.partitionBy("source_file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("source_file", "__block", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    return tagged.join(offsets, ["source_file", "__block"]).select(
-        *rows.columns, "source_file", (F.col("__id") - F.col("__first") + F.col("__before") + 2).alias("source_row_number"))
+    at = ["source_file", "block"]
+    inside = Window.partitionBy(*at).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))) if multiline else F.lit(0)
+    counted = pin(lines.withColumn("odd", quotes % 2).withColumn("upto", F.sum("odd").over(inside)))
+    totals = counted.groupBy(*at).agg(F.sum("odd").alias("odd"))
+    placed = counted.join(_before_block(totals, "odd"), at)
+    open_ = (F.col("before") + F.col("upto") - F.col("odd")) % 2 == 1
+    marked = placed.withColumn("starts", (~open_).cast("long")).withColumn("ends", (F.col("before") + F.col("upto")) % 2 == 0).drop("before")
+    starts = marked.groupBy(*at).agg(F.sum("starts").alias("starts"))
+    numbered = marked.withColumn("nth", F.sum("starts").over(inside)).join(_before_block(starts, "starts"), at)
+    numbered = numbered.withColumn("source_row_number", F.col("before") + F.col("nth"))
+    one_line = (F.col("starts") == 1) & F.col("ends")
+    text = F.regexp_replace("value", "\r$", "")
+    whole = numbered.where(one_line).select(text.alias("record"), "source_file", "source_row_number")
+    if not multiline:
+        return whole
+    gathered = numbered.where(~one_line).groupBy("source_file", "source_row_number").agg(
+        F.array_sort(F.collect_list(F.struct("block", "id", "value", "ends"))).alias("l"))
+    closed = F.element_at("l", -1)["ends"]
+    unclosed = F.raise_error(F.concat(F.lit("quotes do not close in "), "source_file", F.lit(" from record "), F.col("source_row_number").cast("string"))).cast("string")
+    joined = F.when(closed, F.regexp_replace(F.array_join(F.transform("l", lambda x: x["value"]), "\n"), "\r$", "")).otherwise(unclosed)
+    return whole.unionByName(gathered.select(joined.alias("record"), "source_file", "source_row_number"))
 
 
 def canonical_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -70,16 +102,14 @@ def snapshot_audit(spark: SparkSession, source_dir: str, contracts: list[Contrac
     name = F.regexp_extract("path", r"/([^/]+)\.csv(?:/|$)", 1)
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(source_dir)
              .select(name.alias("dataset"), "length").groupBy("dataset").agg(F.count(F.lit(1)).alias("file_count"), F.sum("length").alias("bytes")))
-    # The list of dataset names is bounded by the folder's contracts, not by the data.
-    present = {r.dataset for r in files.select("dataset").toLocalIterator()}
-    # The reader refuses plans that touch nothing but the malformed column, hence the look at a data column.
-    broken = lambda first: F.col(MALFORMED).isNotNull() & F.coalesce(F.length(first) >= 0, F.lit(True))
+    # Only names that a contract asks for come to the driver, whatever else the folder holds.
+    present = {r.dataset for r in files.where(F.col("dataset").isin([c.dataset for c in contracts])).select("dataset").collect()}
     audit = fixed_rows(spark, [(c.dataset,) for c in contracts], ["dataset"]).withColumn("expected", F.lit(True)).unionByName(
         files, allowMissingColumns=True)
     for c in contracts:
         if c.dataset in present:
             audit = audit.unionByName(scan_contract(spark, f"{source_dir}/{c.dataset}.csv", c).agg(
-                F.lit(c.dataset).alias("dataset"), F.count(F.lit(1)).alias("row_count"), F.count_if(broken(c.columns[0])).alias("malformed_count")),
+                F.lit(c.dataset).alias("dataset"), F.count(F.lit(1)).alias("row_count"), F.count_if(F.col(MALFORMED).isNotNull()).alias("malformed_count")),
                 allowMissingColumns=True)
     for c in ("row_count", "malformed_count"):
         if c not in audit.columns:
