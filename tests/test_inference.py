@@ -125,3 +125,18 @@ def test_guards(spark):
     df = spark.createDataFrame(rows, "experiment_id string, variant string, analysis_window_mature boolean, observation_cutoff_at int")
     got = {r.experiment_id: (r.two_arms, r.one_lineage, r.all_mature) for r in inf.experiment_guards(df).collect()}
     assert got == {"a": (True, True, True), "b": (False, False, False), "c": (True, False, True)}
+
+
+def test_decision_evidence_holds_effect_interval_adjustment_and_sensitivity(spark):
+    c = counts(spark, [("control", 1000, 200), ("treatment", 1000, 260)])
+    binary = inf.two_proportion_test(c)
+    v = values(spark, [0, 0, 0, 11.99] * 25, [0, 0, 11.99, 11.99] * 25).withColumn("metric_key", F.lit("money"))
+    means = inf.mean_diff_inference(v, replicates=300)
+    plan = spark.createDataFrame([("e", "m", "primary", "ready_binary"), ("e", "money", "commercial", "pending_continuous_inference"), ("e", "later", "guardrail", "excluded_deferred")],
+                                 "experiment_id string, metric_key string, metric_role string, inference_status string")
+    holm = inf.holm_adjust(inf.completed_p_values(binary, means))
+    rows = {r.metric_key: r for r in inf.decision_evidence(plan, binary, inf.newcombe_interval(c), means, holm, inf.binary_mde(binary), inf.mean_mde(v)).collect()}
+    m, money, later = rows["m"], rows["money"], rows["later"]
+    assert m.effect == pytest.approx(6.0) and m.confidence_interval_low < 6 < m.confidence_interval_high and m.holm_adjusted_p_value is None and m.mde > 0
+    assert money.effect_unit == "GBP_per_assigned_user" and money.holm_adjusted_p_value == money.raw_p_value and money.mde > 0
+    assert (later.outcome_type, later.effect, later.inference_status) == (None, None, "excluded_deferred")

@@ -162,3 +162,13 @@ def test_calibration_maps_into_probabilities(spark):
     m = {r.method: r for r in scoring.calibration_choice(out).collect()}
     assert set(m) == {"none", "sigmoid", "isotonic"} and m["isotonic"].brier_score <= m["none"].brier_score
     assert out.where("p < 0 or p > 1").isEmpty() and sum(r.chosen for r in m.values()) == 1
+
+
+def test_schema_checks_name_what_is_wrong(spark):
+    good = dict.fromkeys([*scoring.CARRIED, *scoring.CATEGORICAL, *scoring.NUMERIC, scoring.LABEL])
+    kind = lambda c: "double" if c in scoring.NUMERIC else "int" if c == scoring.LABEL else "string"
+    frame = spark.createDataFrame([], ", ".join(f"{c} {kind(c)}" for c in good))
+    assert scoring.schema_checks(frame).where("not passed").count() == 0
+    wrong = frame.drop("platform").withColumn("expired_at", F.lit(None).cast("timestamp")).withColumn("extra", F.lit(1)).withColumn("signup_to_trial_hours", F.lit("x"))
+    assert {r.column_name: r.verdict for r in scoring.schema_checks(wrong).where("not passed").collect()} == {
+        "platform": "missing", "expired_at": "forbidden", "extra": "unexpected", "signup_to_trial_hours": "not_numeric"}

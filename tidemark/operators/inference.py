@@ -345,6 +345,24 @@ def flatten_evidence(decisions: DataFrame) -> DataFrame:
     return decisions.select("experiment_id", "decision_status", F.inline("evidence"))
 
 
+def decision_evidence(plan: DataFrame, binary: DataFrame, intervals: DataFrame, means: DataFrame, holm: DataFrame, binary_sensitivity: DataFrame, mean_sensitivity: DataFrame) -> DataFrame:
+    """One row per planned metric with all that a decision rests on: effect and interval in the metric's own unit, raw and Holm-adjusted p,
+    smallest detectable effect.  A metric without a completed test keeps its status and NULLs; the primary metric has no Holm p.
+    """
+    key = ["experiment_id", "metric_key"]
+    pp = lambda c: F.col(c) * 100.0
+    low, high = "confidence_interval_low", "confidence_interval_high"
+    shares = binary.select(*key, "absolute_effect", "p_value", "statistically_detectable").join(intervals.select(*key, low, high), key).join(
+        binary_sensitivity.select(*key, F.col("mde_pp").alias("mde")), key, "left").select(
+        *key, F.lit("binary").alias("outcome_type"), pp("absolute_effect").alias("effect"), F.lit("percentage_points").alias("effect_unit"), pp(low).alias(low), pp(high).alias(high),
+        F.col("p_value").alias("raw_p_value"), "statistically_detectable", "mde")
+    money = means.join(mean_sensitivity.select(*key, "mde"), key, "left").select(
+        *key, F.lit("continuous").alias("outcome_type"), F.col("absolute_effect").alias("effect"), F.lit("GBP_per_assigned_user").alias("effect_unit"), low, high,
+        F.col("permutation_p_value").alias("raw_p_value"), "statistically_detectable", "mde")
+    done = shares.unionByName(money).join(holm.select(*key, "holm_adjusted_p_value"), key, "left")
+    return plan.select(*key, "metric_role", "inference_status").join(done, key, "left")
+
+
 def variant_differences(summary: DataFrame) -> DataFrame:
     """Every other arm against the reference arm: control, else baseline, else the first by name."""
     arm = F.lower(F.trim("variant"))

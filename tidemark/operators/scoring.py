@@ -7,6 +7,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.functions.fixed import fixed_rows
 from tidemark.functions import count_when, days, elapsed_seconds, hours, ordered_prefix, rate
 from tidemark.operators.resampling import resampled_sums
 
@@ -115,6 +116,29 @@ def leakage_checks(features: DataFrame) -> DataFrame:
     ).alias("r")).select(F.inline("r")).withColumn("passed", F.col("violation_count") == 0)
 
 
+# What only becomes known after the prediction, or names the outcome.
+FORBIDDEN = ("subscription_started_at", "expired_at", "status", "cancelled_at", "first_payment_at", "paid_conversion_at", "is_mature_trial", "subscription_status")
+CARRIED = ["subscription_id", "user_id", "installation_id", "trial_started_at", "trial_ends_at", "prediction_at", "label_ready_at", "observation_cutoff_at",
+                  "max_observed_trial_activity_at", "price_gbp"]
+
+
+def schema_checks(features: DataFrame, forbidden: Sequence[str] = FORBIDDEN) -> DataFrame:
+    """The feature set's columns against the contract: one row per column that is expected, forbidden or found, with its verdict.
+
+    Nothing is read: a model must not be fitted while a row has ``passed`` false.
+    """
+    expected = dict.fromkeys([*CARRIED, *CATEGORICAL, *NUMERIC, LABEL])
+    kinds = dict(features.dtypes)
+    rows = []
+    for c in dict.fromkeys([*expected, *features.columns, *forbidden]):
+        there = c in kinds
+        numeric = not there or c not in [*NUMERIC, LABEL] or kinds[c] in ("int", "bigint", "double", "float", "smallint", "tinyint") or kinds[c].startswith("decimal")
+        verdict = "forbidden" if there and c in forbidden else "missing" if c in expected and not there else "unexpected" if there and c not in expected else "not_numeric" if not numeric else "ok"
+        rows.append((c, there, c in expected, c in forbidden, verdict))
+    named = fixed_rows(features.sparkSession, rows, ["column_name", "present", "expected", "forbidden", "verdict"])
+    return named.withColumn("passed", F.col("verdict") == "ok")
+
+
 # --- splits -----------------------------------------------------------------------------------------------
 
 def temporal_split(features: DataFrame, validation_from: date, test_from: date, excluded_from: date) -> DataFrame:

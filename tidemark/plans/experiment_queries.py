@@ -83,6 +83,13 @@ def holm(w: Warehouse) -> DataFrame:
     return rounded(inf.holm_adjust(inf.completed_p_values(s.binary, s.means)))
 
 
+def evidence(w: Warehouse) -> DataFrame:
+    s = Study(w)
+    binary, means = pin(s.binary), s.means
+    return rounded(inf.decision_evidence(s.plan, binary, inf.newcombe_interval(s.counts), means, inf.holm_adjust(inf.completed_p_values(binary, means)),
+                                         inf.binary_mde(binary), inf.mean_mde(s.values)))
+
+
 def support(w: Warehouse) -> DataFrame:
     """Metrics the running experiments ask for, with what the registry says about them."""
     requested = inf.metric_plan(w.experiment_assignments, w.experiments, metric_registry(w.spark)).groupBy("metric_key").agg(
@@ -118,5 +125,6 @@ QUERIES = {
     "binary_mde": lambda w: rounded(inf.binary_mde(Study(w).binary)),
     "mean_mde": lambda w: rounded(inf.mean_mde(Study(w).values)),
     "experiment_decisions": lambda w: decisions(w).drop("evidence"),
+    "decision_evidence": evidence,
     "experiment_evidence": lambda w: rounded(inf.flatten_evidence(decisions(w))),
 }

@@ -263,3 +263,21 @@ FROM (SELECT *, abs(s2 / 100.0 / treatment_count - s1 / 100.0 / control_count) A
     "experiment_evidence": """SELECT d.experiment_id, d.decision_status, e.metric_role, e.metric_key, e.outcome_type, round(e.p_value, 9) AS p_value,
   e.statistically_detectable, e.inference_status FROM x_decisions d JOIN x_evidence e ON e.experiment_id = d.experiment_id""",
 }
+
+# Evidence in full: the finished reports of tests, intervals, adjustment and sensitivity side by side.
+BODIES["decision_evidence"] = f"""
+SELECT p.experiment_id, p.metric_key, p.metric_role, p.inference_status, d.outcome_type, round(d.effect, 9) AS effect, d.effect_unit,
+  round(d.lo, 9) AS confidence_interval_low, round(d.hi, 9) AS confidence_interval_high, round(d.p, 9) AS raw_p_value, d.statistically_detectable, round(d.mde, 9) AS mde,
+  h.holm_adjusted_p_value
+FROM x_plan p LEFT JOIN (
+  SELECT z.experiment_id, z.metric_key, 'binary' AS outcome_type, z.absolute_effect * 100.0 AS effect, 'percentage_points' AS effect_unit,
+    greatest(-1.0, z.absolute_effect - sqrt((n.treatment_rate - n.treatment_low) ** 2 + (n.control_high - n.control_rate) ** 2)) * 100.0 AS lo,
+    least(1.0, z.absolute_effect + sqrt((n.treatment_high - n.treatment_rate) ** 2 + (n.control_rate - n.control_low) ** 2)) * 100.0 AS hi,
+    z.p_value AS p, z.statistically_detectable, m.mde_pp AS mde
+  FROM x_ztest z JOIN (SELECT *, {_wilson('control')}, {_wilson('treatment')} FROM x_sides) n ON n.experiment_id = z.experiment_id AND n.metric_key = z.metric_key
+    LEFT JOIN ({BODIES["binary_mde"]}) m ON m.experiment_id = z.experiment_id AND m.metric_key = z.metric_key
+  UNION ALL SELECT x.experiment_id, x.metric_key, 'continuous', x.absolute_effect, 'GBP_per_assigned_user', x.confidence_interval_low, x.confidence_interval_high,
+    x.permutation_p_value, x.statistically_detectable, m.mde
+  FROM x_means x LEFT JOIN ({BODIES["mean_mde"]}) m ON m.experiment_id = x.experiment_id AND m.metric_key = x.metric_key) d
+  ON d.experiment_id = p.experiment_id AND d.metric_key = p.metric_key
+LEFT JOIN ({BODIES["holm_adjust"]}) h ON h.experiment_id = p.experiment_id AND h.metric_key = p.metric_key"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.operators.scoring import ACTIVITY_COUNTS, CATEGORICAL, NUMERIC
+from tidemark.operators.scoring import ACTIVITY_COUNTS, CATEGORICAL, FORBIDDEN, CARRIED, LABEL, NUMERIC
 from tidemark.plans.oracle_experiments import _r
 from tidemark.plans.oracle_resampling import key, resampled
 
@@ -113,6 +113,14 @@ FROM (SELECT count(*) AS row_trials, count(*) FILTER (WHERE is_mature_trial) AS
             ("recency_null_iff_no_activity", "(max_observed_trial_activity_at IS NULL) <> (hours_since_last_trial_activity IS NULL)"),
             ("recency_within_five_days", "hours_since_last_trial_activity < 0 OR hours_since_last_trial_activity > 120.000001"))
     ) + " UNION ALL SELECT 'subscription_id_unique', count(*) - count(DISTINCT subscription_id) FROM s_features)",
+    "feature_schema_checks": f"""
+SELECT * FROM (WITH found AS (SELECT unnest(json_keys(to_json(t))) AS c FROM (SELECT * FROM s_features LIMIT 1) t),
+wanted AS (SELECT unnest({[*CARRIED, *CATEGORICAL, *NUMERIC, LABEL]!r}) AS c), barred AS (SELECT unnest({list(FORBIDDEN)!r}) AS c),
+every AS (SELECT c FROM found UNION SELECT c FROM wanted UNION SELECT c FROM barred)
+SELECT c AS column_name, c IN (FROM found) AS present, c IN (FROM wanted) AS expected, c IN (FROM barred) AS forbidden,
+  CASE WHEN c IN (FROM found) AND c IN (FROM barred) THEN 'forbidden' WHEN c IN (FROM wanted) AND c NOT IN (FROM found) THEN 'missing'
+    WHEN c IN (FROM found) AND c NOT IN (FROM wanted) THEN 'unexpected' ELSE 'ok' END AS verdict,
+  (c IN (FROM found)) = (c IN (FROM wanted)) AND NOT (c IN (FROM found) AND c IN (FROM barred)) AS passed FROM every)""",
     "temporal_split": "SELECT subscription_id, trial_started_at, split FROM s_split",
     "split_summary": """SELECT split, count(*) AS row_count, CAST(sum(converted_to_paid) AS BIGINT) AS converted_count, CAST(sum(converted_to_paid) AS DOUBLE) / count(*) AS conversion_rate,
   CAST(min(trial_started_at) AS DATE) AS earliest_trial_date, CAST(max(trial_started_at) AS DATE) AS latest_trial_date,

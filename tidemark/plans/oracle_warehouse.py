@@ -207,7 +207,7 @@ def _rc(name: str, observed: str, expected: str) -> str:
 
 
 _REPORT = [
-    ("analytics_build_succeeded", "SELECT 1", "1"), ("metric_definition_count", "SELECT count(*) FROM x_registry", "39"),
+    ("analytics_build_succeeded", "SELECT min(CASE WHEN reconciled THEN 1 ELSE 0 END) FROM w_rawrecon", "1"), ("metric_definition_count", "SELECT count(*) FROM x_registry", "39"),
     *[(f"{s}_metric_count", f"SELECT count(*) FROM x_registry WHERE support_status = '{s}'", n) for s, n in (("supported", "30"), ("deferred", "5"), ("unsupported", "4"))],
     ("installation_lifecycle_row_count", "SELECT count(*) FROM m_lifecycle", "SELECT count(*) FROM installations"),
     ("installation_lifecycle_unique_grain", "SELECT count(DISTINCT installation_id) FROM m_lifecycle", "SELECT count(*) FROM m_lifecycle"),

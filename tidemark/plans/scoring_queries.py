@@ -79,6 +79,7 @@ QUERIES = {
     "trial_features": features,
     "label_reconciliation": lambda w: scoring.label_reconciliation(base(w), trial_cohorts(w)),
     "leakage_checks": lambda w: scoring.leakage_checks(features(w)),
+    "feature_schema_checks": lambda w: scoring.schema_checks(features(w)),
     "temporal_split": lambda w: split(w).select("subscription_id", "trial_started_at", "split"),
     "split_summary": lambda w: scoring.split_summary(split(w)),
     "feature_scaling_stats": lambda w: rounded(scoring.feature_scaling_stats(pin(train(w)))),

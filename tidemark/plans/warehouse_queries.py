@@ -38,11 +38,12 @@ def built(w: Warehouse) -> StoredTables:
 
 
 def raw_files(w: Warehouse) -> DataFrame:
-    """What the delivery announced: rows per dataset, accepted and rejected by the row rules."""
+    """Rows per dataset as the delivery holds them, and as the stored raw table's rows pass or break the row rules."""
     bad = lambda n: quality.row_violation(RULES[n])
-    return quality.stacked([df.agg(F.count(F.lit(1)).alias("expected_row_count"), F.count_if(~bad(n)).alias("accepted_row_count"),
-                                   F.count_if(bad(n)).alias("rejected_row_count")).select(
-        F.lit(BATCH).cast("long").alias("ingestion_batch_id"), F.lit(n).alias("dataset_name"), F.lit("loaded").alias("status"), "*") for n, df in raw(w).items()])
+    announced = lambda n: layers(w).delivered[n].agg(F.count(F.lit(1))).scalar()
+    return quality.stacked([df.agg(F.count_if(~bad(n)).alias("accepted_row_count"), F.count_if(bad(n)).alias("rejected_row_count")).select(
+        F.lit(BATCH).cast("long").alias("ingestion_batch_id"), F.lit(n).alias("dataset_name"), F.lit("loaded").alias("status"), announced(n).alias("expected_row_count"), "*")
+        for n, df in raw(w).items()])
 
 
 def staging_recon(w: Warehouse) -> DataFrame:
@@ -122,7 +123,7 @@ def reporting(w: Warehouse) -> DataFrame:
         "paid": (mq.retention_base(w), {"n": n}),
         "outcome": (outcomes, {"n": n, "keys": F.count_distinct("assignment_id"), "exposed": F.count_if("is_exposed")}),
         "summary": (summary, {"a": F.sum("a"), "e": F.sum("e")}),
-        "build": (w.raw_events, {"ok": F.max(F.lit(1))}),
+        "build": (star.raw_reconciliation(raw_files(w), staging(w).counts("actual_row_count")), {"ok": F.min(c("reconciled").cast("int"))}),
         "registry": (metric_registry(w.spark), {"n": n, **{s: F.count_if(c("support_status") == s) for s in ("supported", "deferred", "unsupported")}}),
         "rates": (rates(w), {"bad": F.sum("violation_count")}),
         "maturity": (rc.retention_consistency(mq.retention_base(w), marts.HORIZONS), {"bad": F.sum("violation_count")}),

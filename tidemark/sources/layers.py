@@ -83,7 +83,8 @@ class Layers:
         return StoredTables(self.w.spark, f"{self.root}/{layer}", frames, keys, stamp)
 
     @cached_property
-    def raw(self) -> StoredTables:
+    def delivered(self) -> LazyFrames:
+        """The rows as they are delivered, before any layer is stored."""
         w, c = self.w, F.col
 
         def events() -> DataFrame:
@@ -131,8 +132,11 @@ class Layers:
             "marketing_spend": (spend, "datediff(period_start, DATE'2023-01-01') * 128 + ascii(acquisition_channel)"),
             "app_releases": (releases, "app_release_id + 2"),
         }
-        frames = LazyFrames({n: (lambda n=n, f=f, e=e: self._raw(n, f(), F.expr(e))) for n, (f, e) in source.items()})
-        return self._store("raw", frames, BUSINESS_KEYS, [c for c in LINEAGE if c != "validation_run_id"])
+        return LazyFrames({n: (lambda n=n, f=f, e=e: self._raw(n, f(), F.expr(e))) for n, (f, e) in source.items()})
+
+    @cached_property
+    def raw(self) -> StoredTables:
+        return self._store("raw", self.delivered, BUSINESS_KEYS, [c for c in LINEAGE if c != "validation_run_id"])
 
     @cached_property
     def staging(self) -> StoredTables:
