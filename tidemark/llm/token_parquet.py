@@ -21,7 +21,7 @@ END_ID = 2
 ROW_GROUP, PAGE = 16 * 1024 * 1024, 64 * 1024
 BATCH_CHARS = 2_000_000
 TOGETHER = 1_000  # unseen chunks encoded as one text
-MEMO, MEMO_WORD = 500_000, 64  # chunks a worker process remembers, and their characters at most
+MEMO, MEMO_WORD = 250_000, 64  # chunks in each of the two generations that a worker process remembers, and their characters at most
 
 #: Unicode White_Space, Latin letters, and ASCII that is neither: between them the byte-level pre-tokenizer cuts in every
 #: context, before a run of white space that follows anything else and after a run of letters that such ASCII follows.
@@ -49,6 +49,7 @@ class Encoder:
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added)) if added else None
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # Bytes that each id stands for: a byte-level token's string has one character per byte.
         spelled = {i: len(t) for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
         self.widths = np.array([spelled.get(i, 0) for i in range(max(spelled) + 1)])
@@ -75,9 +76,13 @@ class Encoder:
         whole = {i for i, t in enumerate(texts) if t and (DISPUTED.search(t) or self.added and self.added.search(t))}
         chunks = [CHUNK.findall(t) if t and i not in whole else [] for i, t in enumerate(texts)]
         if len(self.memo) >= MEMO:
-            self.memo = {}
-        memo = self.memo
-        new = [c for c in set(chain.from_iterable(chunks)) if c not in memo]
+            # What is still met moves over from the older generation; the rest goes with it.
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
+        unknown = set(chain.from_iterable(chunks)) - memo.keys()
+        known = unknown & older.keys()
+        memo.update(zip(known, map(older.__getitem__, known)))
+        new = list(unknown - known)
         self._remember(new)
         out = [b"".join(map(memo.__getitem__, c)) for c in chunks]
         for i in whole:
@@ -136,7 +141,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     encoded = ordered.mapInArrow(tokenise(tokenizer_path, end_id), "doc_id long, n_tokens int, tokens array<int>")
     (encoded.write.option("parquet.block.size", row_group).option("parquet.page.size", page).option("parquet.writer.version", "v2")
      .option("parquet.enable.dictionary", "false").option("parquet.enable.dictionary#tokens.list.element", "true")
-     .option("parquet.page.row.count.limit", 2_000).option("compression", "zstd").parquet(path))
+     .option("parquet.page.row.count.limit", 2_000).option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).parquet(path))
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
