@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions import rate
 from tidemark.functions.pin import pin
 from tidemark.operators.isotonic import isotonic_blocks, isotonic_scores
-from tidemark.operators.scoring import CATEGORICAL, LABEL, NUMERIC, STATIC_NUMERIC, feature_scaling_stats
+from tidemark.operators.scoring import CATEGORICAL, LABEL, NUMERIC, STATIC_NUMERIC, feature_scaling_stats, temporal_folds
 
 STATIC = [*CATEGORICAL, *STATIC_NUMERIC]
 BEHAVIOURAL = [*CATEGORICAL, *NUMERIC]
@@ -70,6 +70,49 @@ def fit_logistic(train: DataFrame, features: Sequence[str], c: float = 1.0):
 KEEP = ["subscription_id", "split"]
 
 
+def penalised_gradient(prep: Preprocessor, model, train: DataFrame, c: float = 1.0) -> DataFrame:
+    """(coefficient, value, gradient): the derivative of mean log loss plus penalty in each coefficient of a fit, the intercept at -1.
+
+    One aggregate per coefficient over the training rows; all are near zero at the optimum.
+    """
+    n = train.count()
+    scored = model.transform(prep.apply(train)).select("label", vector_to_array("probability")[1].alias("p"), vector_to_array("features").alias("x"))
+    error = scored.select((F.col("p") - F.col("label")).alias("e"), "x")
+    each = error.select(F.explode(F.array_append(F.transform("x", lambda v, i: F.struct(i.cast("int").alias("coefficient"), v.alias("v"))),
+                                                 F.struct(F.lit(-1).alias("coefficient"), F.lit(1.0).alias("v")))).alias("t"), "e")
+    sums = each.groupBy(F.col("t.coefficient").alias("coefficient")).agg((F.sum(F.col("e") * F.col("t.v")) / n).alias("loss"))
+    weights = F.create_map(*[F.lit(x) for i, v in enumerate(model.coefficients.toArray().tolist()) for x in (i, v)], F.lit(-1), F.lit(float(model.intercept)))
+    value = F.element_at(weights, F.col("coefficient"))
+    penalty = F.when(F.col("coefficient") >= 0, value / (c * n)).otherwise(0.0)
+    return sums.select("coefficient", value.alias("value"), (F.col("loss") + penalty).alias("gradient"))
+
+
+def fit_invariants(split: DataFrame, folds: int = 5) -> DataFrame:
+    """What must hold of any right fit, per model and the rows it was fitted on: the mean score equals the observed rate, scores lie in
+    [0, 1], and no coefficient has a gradient left.
+
+    The free intercept makes the first true of both logistic fits and of sigmoid calibration, pooling makes it true of isotonic calibration.
+    """
+    split = pin(split)
+    tests = []
+    for name, features, fitted_on in (("static_logistic", STATIC, ["train"]), ("behavioural_logistic", BEHAVIOURAL, ["train"]), ("behavioural_logistic_refit", BEHAVIOURAL, ["train", "validation"])):
+        rows = split.where(F.col("split").isin(fitted_on))
+        prep, model = fit_logistic(rows, features)
+        steepest = penalised_gradient(prep, model, rows).agg(F.max(F.abs("gradient"))).scalar()
+        tests.append((_probability(model, prep.apply(rows), KEEP, name).select("model", "label", "p"), steepest))
+    oof = pin(out_of_fold_scores(temporal_folds(split.where(F.col("split") == "train"), folds), folds))
+    for method in ("sigmoid", "isotonic"):
+        own = calibrate(oof, oof).where(F.col("method") == method)
+        tests.append((own.select(F.lit(f"{method}_calibration").alias("model"), "label", "p"), F.lit(0.0)))
+    parts = [df.withColumn("steepest", g).groupBy("model").agg(
+        F.count(F.lit(1)).alias("row_count"), F.avg("label").alias("observed_rate"), F.avg("p").alias("mean_score"),
+        F.bool_and(F.col("p").between(0, 1)).alias("scores_in_range"), (F.max("steepest") < 1e-4).alias("gradient_vanishes")) for df, g in tests]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def logistic_scores(split: DataFrame, fit_on: Sequence[str] = ("train",), score: Sequence[str] = ("validation",)) -> DataFrame:
     """Static (8 features) and behavioural (16 features) logistic scores in long form."""
     split = pin(split)

