@@ -251,6 +251,13 @@ _ORDER = ("occurred_at, installation_id, list_position(['app_install', 'signup',
 
 BODIES: dict[str, str] = {
     "raw_counts": _counts(_R, "actual_row_count"),
+    "active_counts": " UNION ALL ".join(
+        f"""SELECT event_name, '{g}' AS grain, CAST(date_trunc('{g}', occurred_at) AS DATE) AS period_start, count(DISTINCT installation_id) AS active_count
+FROM product_events GROUP BY 1, 3""" for g in ("day", "week", "month")),
+    "trailing_actives": """
+SELECT d.event_name, d.day AS period_start, count(DISTINCT e.installation_id) AS active_count
+FROM (SELECT DISTINCT event_name, CAST(occurred_at AS DATE) AS day FROM product_events) d
+JOIN product_events e ON e.event_name = d.event_name AND CAST(e.occurred_at AS DATE) BETWEEN d.day - 6 AND d.day GROUP BY 1, 2""",
     "raw_reconciliation": "SELECT * FROM w_rawrecon",
     "staging_reconciliation": f"""SELECT r.ingestion_batch_id, r.dataset_name, r.raw_row_count, coalesce(s.staging_row_count, 0) AS staging_row_count,
   r.raw_row_count - coalesce(s.staging_row_count, 0) AS row_count_delta, r.raw_row_count = coalesce(s.staging_row_count, 0) AS reconciled

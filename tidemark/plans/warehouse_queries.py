@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions import days
 from tidemark.functions.pin import pin
-from tidemark.operators import events as ev
+from tidemark.operators import actives, events as ev
 from tidemark.operators import experiments as ex
 from tidemark.operators import marts, quality, reporting_checks as rc, star
 from tidemark.operators.registry import metric_registry
@@ -192,7 +192,13 @@ def verdicts(w: Warehouse) -> DataFrame:
     return star.analytics_checks(analytics_recon(w), lineage(w))
 
 
+def event_bitmaps(w: Warehouse) -> DataFrame:
+    return pin(actives.daily_bitmaps(w.product_events.select("installation_id", "occurred_at", "event_name"), "installation_id", F.col("occurred_at"), ["event_name"]))
+
+
 QUERIES = {
+    "active_counts": lambda w: actives.active_counts(event_bitmaps(w), ["event_name"]),
+    "trailing_actives": lambda w: actives.trailing_actives(event_bitmaps(w), 7, ["event_name"]),
     "raw_counts": lambda w: raw(w).counts("actual_row_count"),
     "raw_reconciliation": lambda w: star.raw_reconciliation(raw_files(w), staging(w).counts("actual_row_count")),
     "staging_reconciliation": staging_recon,
