@@ -52,6 +52,12 @@ def test_equals_all_pairs(spark, monkeypatch):
     assert sorted(map(tuple, cap_filters.near_vectors(vectors).collect()), key=str) == want
 
 
+def test_double_precision_and_few_dimensions(spark):
+    data = rows(n=250, dim=3)
+    vectors = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").repartition(3)
+    assert sorted(map(tuple, cap_filters.near_vectors(vectors).collect()), key=str) == brute(data)
+
+
 @pytest.mark.parametrize("dim, n", [(3, 50), (10, 400), (16, 2_000)])
 def test_list_decoding_finds_all_filters_above_the_cap(dim, n):
     rng = np.random.default_rng(0)

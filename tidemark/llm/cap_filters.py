@@ -98,8 +98,12 @@ def list_decode(unit: np.ndarray, n: int, near: float = NEAR) -> list[np.ndarray
 
 
 def list_filters(n: int, near: float, wide: bool):
-    """(rid, label, m, embedding) -> a row per filter: rid, label, m, embedding, filter, and all filters of the vector."""
-    schema = pa.schema([("rid", pa.int64()), ("label", pa.string()), ("m", pa.int64()), ("embedding", pa.list_(pa.float64() if wide else pa.float32())), ("filter", pa.int64()), ("filters", pa.list_(pa.int64()))])
+    """(rid, label, m, embedding) -> a row per filter: rid, label, m, embedding, filter, and all filters of the vector.
+
+    Embeddings and filter lists travel as bytes: Spark moves those whole, arrays entry by entry.
+    """
+    schema = pa.schema([("rid", pa.int64()), ("label", pa.string()), ("m", pa.int64()), ("embedding", pa.binary()), ("filter", pa.int64()), ("filters", pa.binary())])
+    kind = np.float64 if wide else np.float32
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,13 +111,14 @@ def list_filters(n: int, near: float, wide: bool):
                 rows = batch.slice(at, 500).to_pylist()
                 for dim in sorted({len(r["embedding"]) for r in rows}):
                     same = [r for r in rows if len(r["embedding"]) == dim]
-                    unit = _unit(np.array([r["embedding"] for r in same], float))
+                    given = np.array([r["embedding"] for r in same], float)
+                    unit = _unit(given)
                     found = list_decode(unit, n, near)
                     counts = [len(f) for f in found]
                     index = np.repeat(np.arange(len(same)), counts)
                     own = pa.RecordBatch.from_arrays([
                         pa.array([r["rid"] for r in same], pa.int64()), pa.array([f"{r['label']}/{dim}" for r in same]), pa.array([r["m"] for r in same], pa.int64()),
-                        pa.array([r["embedding"] for r in same], schema.field("embedding").type), pa.array(found, pa.list_(pa.int64()))], names=["rid", "label", "m", "embedding", "filters"])
+                        pa.array([v.tobytes() for v in given.astype(kind)], pa.binary()), pa.array([f.astype(np.int64).tobytes() for f in found], pa.binary())], names=["rid", "label", "m", "embedding", "filters"])
                     each = own.take(pa.array(index))
                     filters = pa.array(np.concatenate(found))
                     yield pa.RecordBatch.from_arrays([each["rid"], each["label"], each["m"], each["embedding"], filters, each["filters"]], schema=schema)
@@ -127,7 +132,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def verify(near: float):
+def _entries(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds and values of a column of packed numbers."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1] // np.dtype(kind).itemsize
+    return ends, np.frombuffer(column.buffers()[2], kind, ends[-1]) if ends[-1] else np.empty(0, kind)
+
+
+def verify(near: float, wide: bool):
     """Rows (label, filter, i, j, side, rid, m, embedding, filters) sorted by square -> links counted and a spanning forest.
 
     Square (i, j) compares block i of a filter's list with block j.  A pair counts under its smallest common filter only.
@@ -181,9 +192,11 @@ def verify(near: float):
         for batch in batches:
             keys = list(zip(*(batch.column(n).to_pylist() for n in ("label", "filter", "i", "j"))))
             side, rid, m = (batch.column(n).to_numpy() for n in ("side", "rid", "m"))
-            vectors, lists = batch.column("embedding"), batch.column("filters")
-            ends, values = vectors.offsets.to_numpy(), vectors.values.to_numpy().astype(float)
-            tails, filters = lists.offsets.to_numpy(), lists.values.to_numpy()
+            if not batch.num_rows:
+                continue
+            ends, values = _entries(batch.column("embedding"), np.float64 if wide else np.float32)
+            values = values.astype(float)
+            tails, filters = _entries(batch.column("filters"), np.int64)
             starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
             for lo, hi in zip(starts, [*starts[1:], len(keys)]):
                 if keys[lo] != now:
@@ -215,7 +228,7 @@ def near_vectors(vectors: DataFrame, near: float = NEAR) -> DataFrame:
     reps = stage(reps.withColumn("rid", F.monotonically_increasing_id()), "vectors")
     largest = reps.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     listed = reps.select("rid", "label", "m", "embedding").mapInArrow(
-        list_filters(largest, near, kind == "double"), f"rid long, label string, m long, embedding array<{kind}>, filter long, filters array<long>")
+        list_filters(largest, near, kind == "double"), "rid long, label string, m long, embedding binary, filter long, filters binary")
     listed = stage(listed, "filters")
     sizes = listed.groupBy("label", "filter").agg(F.count("*").alias("c")).where("c > 1").withColumn("blocks", F.ceil(F.col("c") / SQUARE))
     met = listed.join(sizes, ["label", "filter"]).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")))
@@ -223,7 +236,7 @@ def near_vectors(vectors: DataFrame, near: float = NEAR) -> DataFrame:
     squares = met.withColumn("o", other).select(
         "label", "filter", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), (F.col("block") > F.col("o")).cast("int").alias("side"), "rid", "m", "embedding", "filters")
     keys = ["label", "filter", "i", "j"]
-    found = squares.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify(near), "a long, b long, w long")
+    found = squares.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify(near, kind == "double"), "a long, b long, w long")
     found = stage(found, "links")
     counts = found.where("b is null").groupBy(F.col("a").alias("rid")).agg(F.sum("w").alias("w"))
     label = components(found.where("b is not null").select("a", "b"))
