@@ -79,10 +79,11 @@ class Encoder:
             # What is still met moves over from the older generation; the rest goes with it.
             self.memo, self.older = {}, self.memo
         memo, older = self.memo, self.older
-        unknown = set(chain.from_iterable(chunks)) - memo.keys()
-        known = unknown & older.keys()
+        # Sets are walked here, never the memory.
+        unknown = set(chain.from_iterable(chunks)).difference(memo)
+        known = [c for c in unknown if c in older]
         memo.update(zip(known, map(older.__getitem__, known)))
-        new = list(unknown - known)
+        new = list(unknown.difference(known))
         self._remember(new)
         out = [b"".join(map(memo.__getitem__, c)) for c in chunks]
         for i in whole:
