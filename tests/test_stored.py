@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.lazy import LazyFrames
 from tidemark.operators import star
 from tidemark.sources.layers import RULES, layers
-from tidemark.sources.stored import LEAVES, StoredTables, differing_leaves, input_stamp, leaf_of, store_root
+from tidemark.operators.quality import row_violation
+from tidemark.sources.stored import LEAVES, StoredTables, differing_leaves, input_stamp, leaf_digests, leaf_of, store_root
 from tidemark.sources.tables import Warehouse
 
 STAMP = ["source_row_number", "row_hash"]
@@ -93,3 +94,76 @@ def test_raw_and_staging_of_the_warehouse(spark, sf_dir, name):
     own = layers(Warehouse(spark, sf_dir))
     assert own.staging[name].where("leaf IS NULL OR validation_run_id IS NULL").isEmpty()
     assert own.raw.digests(name).agg(F.sum("n")).first()[0] == own.raw[name].count()
+
+
+def exchanged(df):
+    """The columns that each exchange of the plan moves."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    return [line for line in final.splitlines() if "Exchange hashpartitioning" in line], final
+
+
+def test_counts_shuffle_no_key_and_staged_rows_are_not_written_twice(spark, sf_dir, tmp_path):
+    own = layers(Warehouse(spark, sf_dir))
+    counts = own.staging.counts("n")
+    rows, plan = exchanged(counts)
+    assert "subscription_id" not in "".join(rows) and "transaction_id" not in "".join(rows)
+    assert {r.dataset_name for r in counts.collect()} <= set(RULES)
+    for n in ("users", "subscriptions"):
+        assert set(own.staging[n].inputFiles()) == set(own.raw[n].inputFiles())
+        broken = own.raw[n].where(~F.col("accepted")).count()
+        assert own.staging[n].count() == own.raw[n].count() - broken
+        assert own.raw[n].where(F.col("accepted") == row_violation(RULES[n])).isEmpty()
+
+
+def test_digests_count_repeated_keys_without_moving_stamps(spark, tmp_path):
+    twice = rows(spark, 50).unionByName(rows(spark, 2)).unionByName(rows(spark, 1))
+    tables = stored(spark, tmp_path, "s", {"users": twice})
+    got = tables.digests("users").agg(F.sum("n"), F.sum("repeats")).first()
+    assert tuple(got) == (53, 3)
+    moved, _ = exchanged(leaf_digests(tables["users"], STAMP, ["ingestion_batch_id", "user_id"]))
+    assert moved and not any("user_id" in m for m in moved)
+
+
+def one_by_one(s, installation, user, how, subscription=None):
+    """Every dimension joined to the whole rows."""
+    b = "ingestion_batch_id"
+    out = s.join(installation.select(b, "installation_id", "installation_key"), [b, "installation_id"]).join(user.select(b, "user_id", "user_key"), [b, "user_id"], how)
+    return out if subscription is None else out.join(subscription.select(b, "subscription_id", "subscription_key"), [b, "subscription_id"])
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("subscribed", [False, True])
+def test_keys_resolved_for_distinct_ids_equal_joins_of_whole_rows(spark, how, subscribed):
+    """Unknown, null and repeated ids on both sides."""
+    fact = spark.createDataFrame([(1, i, u, s, f"r{n}") for n, (i, u, s) in enumerate(
+        [(1, 1, 1), (1, 1, 1), (1, None, 1), (2, 2, 2), (2, 9, 2), (9, 2, 2), (None, 1, 1), (3, 3, None), (3, 3, 3), (None, None, 3)])] + [(None, 1, 1, 1, "r")],
+        "ingestion_batch_id long, installation_id long, user_id long, subscription_id long, place string")
+    one = lambda name: spark.createDataFrame([(1, 1, 10), (1, 2, 20), (1, 2, 21), (1, 3, 30), (1, None, 40), (None, 1, 50)],
+                                             f"ingestion_batch_id long, {name}_id long, {name}_key long")
+    dims = [one("installation"), one("user")], one("subscription") if subscribed else None
+    got, wanted = star._resolved(fact, *dims[0], how, dims[1]), one_by_one(fact, *dims[0], how, dims[1])
+    as_rows = lambda df: sorted(map(str, df.select(*sorted(wanted.columns)).collect()))
+    assert as_rows(got) == as_rows(wanted)
+
+
+def test_relationships_move_no_hash_and_find_what_is_planted(spark):
+    """A fact row under another user's key, one under an unknown key, one without user; repeated facts count by their greatest id."""
+    wide = "ingestion_batch_id long, event_id long, row_hash string, installation_id long, user_id long"
+    staged = spark.createDataFrame([(1, k, f"h{k}", k, None if k == 4 else k) for k in range(1, 8)], wide)
+    fact = spark.createDataFrame([(1, k, f"h{k}", 100 + k, {3: 201, 4: None, 5: 999}.get(k, 200 + k)) for k in range(1, 8)] + [(1, 6, "h6", 106, 201), (1, 7, "h7", 106, 207)],
+                                 "ingestion_batch_id long, event_id long, row_hash string, installation_key long, user_key long")
+    none = lambda df, *c: df.where("false").select(*df.columns, *[F.lit(None).cast(t).alias(n) for n, t in c])
+    dim = lambda name, base: spark.range(1, 8).select(F.lit(1).cast("long").alias("ingestion_batch_id"), F.col("id").alias(f"{name}_id"), (F.col("id") + base).alias(f"{name}_key"))
+    keys = {"users": "user_id", "product_events": "event_id", "subscriptions": "subscription_id", "subscription_transactions": "transaction_id", "experiment_assignments": "assignment_id"}
+    extra = [("subscription_id", "long"), ("transaction_id", "string"), ("assignment_id", "string")]
+    s = {n: none(staged, *extra) for n in keys} | {"product_events": staged}
+    empty = none(fact, *extra, ("subscription_key", "long"))
+    built = {"dim_installation": dim("installation", 100), "dim_user": dim("user", 200).select("*", F.lit("x").alias("row_hash"), F.lit(101).cast("long").alias("installation_key")),
+             "fact_product_event": fact, "fact_subscription": empty, "fact_subscription_transaction": empty, "fact_experiment_assignment": empty}
+    result = star.relationship_checks(s, built, keys)
+    got = {r.dataset_name: r.violation_count for r in result.collect()}
+    assert got == {n: 0 for n in keys} | {"product_events": 2}
+    moved, _ = exchanged(result)
+    assert not any("row_hash" in m for m in moved)
