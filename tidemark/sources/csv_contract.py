@@ -53,14 +53,20 @@ def split_records(lines: DataFrame, multiline: bool = True) -> DataFrame:
     at = ["source_file", "block"]
     inside = Window.partitionBy(*at).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))) if multiline else F.lit(0)
-    counted = pin(lines.withColumn("odd", quotes % 2).withColumn("upto", F.sum("odd").over(inside)))
-    totals = counted.groupBy(*at).agg(F.sum("odd").alias("odd"))
-    placed = counted.join(_before_block(totals, "odd"), at)
+    # Lines are shuffled once: record starts are counted for a block that begins outside quotes; where it begins inside them, the other lines start.
+    even = ((F.col("upto") - F.col("odd")) % 2 == 0).cast("long")
+    counted = pin(lines.withColumn("odd", quotes % 2).withColumn("upto", F.sum("odd").over(inside))
+                  .withColumns({"even": F.sum(even).over(inside), "line": F.sum(F.lit(1).cast("long")).over(inside)}))
+    totals = counted.groupBy(*at).agg(F.sum("odd").alias("odd"), F.max("even").alias("even"), F.max("line").alias("line"))
+    parity = F.col("before") % 2 == 1
+    begun = totals.join(_before_block(totals, "odd"), at).withColumn("starts", F.when(parity, F.col("line") - F.col("even")).otherwise(F.col("even")))
+    # One small row per block goes to the lines, which stay where they are.
+    blocks = F.broadcast(begun.select(*at, "before", "starts").join(_before_block(begun, "starts").withColumnRenamed("before", "records"), at).drop("starts"))
+    placed = counted.join(blocks, at)
     open_ = (F.col("before") + F.col("upto") - F.col("odd")) % 2 == 1
-    marked = placed.withColumn("starts", (~open_).cast("long")).withColumn("ends", (F.col("before") + F.col("upto")) % 2 == 0).drop("before")
-    starts = marked.groupBy(*at).agg(F.sum("starts").alias("starts"))
-    numbered = marked.withColumn("nth", F.sum("starts").over(inside)).join(_before_block(starts, "starts"), at)
-    numbered = numbered.withColumn("source_row_number", F.col("before") + F.col("nth"))
+    nth = F.when(parity, F.col("line") - F.col("even")).otherwise(F.col("even"))
+    numbered = placed.select("value", *at, "id", (~open_).cast("long").alias("starts"), ((F.col("before") + F.col("upto")) % 2 == 0).alias("ends"),
+                             (F.col("records") + nth).alias("source_row_number"))
     one_line = (F.col("starts") == 1) & F.col("ends")
     text = F.regexp_replace("value", "\r$", "")
     whole = numbered.where(one_line).select(text.alias("record"), "source_file", "source_row_number")
