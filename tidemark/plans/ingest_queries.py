@@ -22,19 +22,23 @@ def raw_transactions(w: Warehouse) -> DataFrame:
     o = w.table("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     line = F.col("l_linenumber")
     text = lambda prefix, *c: F.concat_ws("_", F.lit(prefix), *[F.col(x).cast("string") for x in c])
-    late = (F.col("l_linestatus") == "F") & (line == 7)
-    moment = F.when(late, F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    amount = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
-    return w.table("lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    # What is asked of a line item is answered before the join, which then moves flags instead of amounts.
+    items = w.table("lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", F.col("l_extendedprice").cast("decimal(18,2)").alias("price"),
+        ((F.col("l_linestatus") == "F") & (line == 7)).alias("late"), (F.col("l_tax") == 0.08).alias("unpriced"), (F.col("l_discount") == 0.05).alias("padded"),
+        (F.col("l_returnflag") == "R").alias("failed"), (F.col("l_quantity") > 45).alias("third"))
+    moment = F.when(F.col("late"), F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    amount = F.col("price").cast("string")
+    return items.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
         text("txn", "l_orderkey", "l_linenumber", "l_partkey").alias("transaction_id"), text("sub", "l_orderkey").alias("subscription_id"),
         text("usr", "o_custkey").alias("user_id"), text("ins", "o_custkey").alias("installation_id"),
         F.when(line == 1, "initial_charge").otherwise("renewal").alias("transaction_type"), moment.alias("attempted_at"),
         F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "annual").when(F.col("o_orderpriority") == "5-LOW", "weekly")
         .otherwise("monthly").alias("billing_period"),
-        F.when(F.col("l_tax") == 0.08, "").when(F.col("l_discount") == 0.05, F.concat(F.lit(" "), amount)).otherwise(amount).alias("amount_gbp"),
-        F.lit("GBP").alias("currency"), F.when(F.col("l_returnflag") == "R", "failed").otherwise("succeeded").alias("payment_status"),
+        F.when(F.col("unpriced"), "").when(F.col("padded"), F.concat(F.lit(" "), amount)).otherwise(amount).alias("amount_gbp"),
+        F.lit("GBP").alias("currency"), F.when(F.col("failed"), "failed").otherwise("succeeded").alias("payment_status"),
         F.when(line == 3, "03").otherwise(line.cast("string")).alias("billing_cycle_number"),
-        F.when(F.col("l_quantity") > 45, "3").otherwise("1").alias("attempt_number"))
+        F.when(F.col("third"), "3").otherwise("1").alias("attempt_number"))
 
 
 def parsed(w: Warehouse) -> DataFrame:
@@ -90,7 +94,7 @@ def snapshot_load(w: Warehouse) -> DataFrame:
 def stored_reconciliation(w: Warehouse) -> DataFrame:
     """The accepted rows written as a table, and the counts of the delivery against what the table then holds."""
     path = f"{folder(w)}/{TRANSACTIONS.dataset}"
-    ingest.accepted_rows(parsed(w), TRANSACTIONS).write.parquet(path)
+    ingest.accepted_rows(parsed(w), TRANSACTIONS).write.option("compression", "zstd").parquet(path)
     return ingest.load_reconciliation(parsed(w), w.spark.read.parquet(path), TRANSACTIONS.dataset)
 
 
