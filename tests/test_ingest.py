@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.canonical import canonical_payload, row_hash
 from tidemark.operators import ingest
 from tidemark.sources.contracts import CONTRACTS, Contract, Field
-from tidemark.sources.csv_contract import canonical_text, scan_contract, snapshot_audit, write_csv
+from tidemark.sources.csv_contract import canonical_text, scan_contract, snapshot_audit, split_records, text_lines, write_csv
 
 TXN = CONTRACTS["subscription_transactions"]
 GOOD = ["t1", "s1", "u1", "i1", "renewal", "2024-01-02T03:04:05Z", "monthly", "9.99", "GBP", "succeeded", "1", "1"]
@@ -179,3 +179,12 @@ def test_batch_is_loaded_once_and_bad_rows_block_or_go_aside(spark, tmp_path):
     assert [r.ingestion_batch_id for r in ingest.orphan_partitions(spark.read.parquet(table), runs).collect()] == [8]
     assert ingest.load_batch(parsed, TXN, table, audit, 8, "raw_b", "quarantine", aside) == "loaded"
     assert spark.read.parquet(table).groupBy("ingestion_batch_id").count().where("count <> 1").count() == 0
+
+
+def test_lines_are_not_shuffled_again_after_their_quotes_are_counted(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
+    whole = split_records(text_lines(spark, str(tmp_path / "t.csv")), multiline=False)
+    assert [r.record for r in whole.orderBy("source_row_number").collect()] == ["a,b", '1,"x', 'y"', "2,z"]
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line or "Sort [" in line]
+    assert not any("value#" in line or " id#" in line for line in moved) and "SortMergeJoin [source_file" not in plan
