@@ -5,7 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.canonical import canonical_payload, row_hash
+from tidemark.functions.canonical import canonical_payload, canonical_value, row_hash
 from tidemark.operators import ingest
 from tidemark.sources.contracts import CONTRACTS, Contract, Field
 from tidemark.sources.csv_contract import canonical_text, scan_contract, snapshot_audit, split_records, text_lines, write_csv
@@ -68,6 +68,20 @@ def test_row_hash_escapes_text_and_normalises_decimals(spark):
 SMALL = Contract("notes", "id", (Field("id"), Field("body", nullable=True), Field("n", "integer")))
 
 
+@pytest.mark.parametrize("kind", ["decimal(18,2)", "decimal(9,6)", "decimal(20,0)", "decimal(26,6)", "decimal(38,18)", "decimal(10,7)"])
+def test_decimals_have_the_text_of_eighteen_digits_at_their_own_scale(spark, kind):
+    precision, scale = map(int, kind[8:-1].split(","))
+    whole = "9" * (precision - scale)
+    texts = ["0", "-0", "1", "-100", "0.01", "-0.5", "0.000001", "0.0000001", "12.340000", whole, f"-{whole}", f"{whole}.{'9' * scale}" if scale else "10", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.expr(f"try_cast(t AS {kind})").alias("d"))
+    plain = """CASE WHEN d IS NULL THEN '["null",null]' ELSE concat('["decimal","', CASE WHEN d = 0 THEN '0'
+               ELSE trim(TRAILING '.' FROM trim(TRAILING '0' FROM CAST(CAST(d AS DECIMAL(38,18)) AS STRING))) END, '"]') END"""
+    for got, want in df.select(F.expr(canonical_value("d", kind)), F.expr(plain)).collect():
+        assert got == want
+    # Casting to 18 digits first costs five times as much.
+    assert ("38,18" in canonical_value("d", kind)) == (scale > 6)
+
+
 def test_scan_numbers_records_with_quoted_line_breaks(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,body,n\n1,"two\nlines",1\n2,"say ""hi""",2\n3,,3\n4,short\n')
     (tmp_path / "b.csv").write_text("id,body,n\n9,x,1\n")
