@@ -1,10 +1,14 @@
 """Stored layers: digest trees find what was planted, and read nothing where layers agree."""
 
+import os
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.lazy import LazyFrames
 from tidemark.operators import star
+from tidemark.plans import warehouse_queries
 from tidemark.sources.layers import RULES, layers
 from tidemark.operators.quality import row_violation
 from tidemark.sources.stored import LEAVES, StoredTables, differing_leaves, input_stamp, leaf_digests, leaf_of, store_root
@@ -167,3 +171,11 @@ def test_relationships_move_no_hash_and_find_what_is_planted(spark):
     assert got == {n: 0 for n in keys} | {"product_events": 2}
     moved, _ = exchanged(result)
     assert not any("row_hash" in m for m in moved)
+
+
+def test_snapshot_bounds_stores_the_raw_tables_it_reads_and_no_other(spark, sf_dir, tmp_path):
+    folder = shutil.copytree(sf_dir, tmp_path / "tables")
+    w = Warehouse(spark, str(folder))
+    assert warehouse_queries.bounds(w).count() == 2 * len(warehouse_queries.DATED_COLUMNS)
+    raw = layers(w).raw.root.removeprefix("file:")
+    assert {n for n in os.listdir(raw) if n != "_drafts"} == set(warehouse_queries.DATED_COLUMNS)
