@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from support import corpus, documents, empty
 from tidemark.llm.store import folder
-from tidemark.llm.token_parquet import encoder, read_metadata, read_tokens, token_output, token_positions, write_tokens
+from tidemark.llm.token_parquet import Encoder, encoder, read_metadata, read_tokens, token_output, token_positions, write_tokens
 
 tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
@@ -48,6 +48,26 @@ def test_an_added_token_in_a_text_is_one_id():
     assert len(ids[1]) == 4
 
 
+def test_a_word_is_remembered_over_half_a_million_others(monkeypatch):
+    seen = []
+    codes = Encoder(PATH)
+    monkeypatch.setattr(codes, "_remember", lambda chunks: (seen.extend(chunks), codes.memo.update(dict.fromkeys(chunks, b""))))
+    words = lambda lo, hi: "".join(f" {''.join(chr(97 + int(d)) for d in str(i))}" for i in range(lo, hi))
+    for lo in range(0, 600_000, 60_000):
+        codes.ids([words(lo, lo + 60_000)])
+    assert len(seen) == len(set(seen)) == 600_000
+    codes.ids([words(0, 100)])
+    assert len(seen) == 600_000
+
+
+def test_many_chunks_encoded_as_one_text_get_their_own_ids():
+    rng = np.random.default_rng(6)
+    letters = np.array(list("aeinrst.,'9_-") + ["é", "ß", "世", "\u0120", "“", "\U0001f600"])
+    words = ["".join(rng.choice(letters, rng.integers(1, 12))) for _ in range(5_000)]
+    encode = plain()
+    assert Encoder(PATH).ids([" ".join(words)])[0] == np.array(encode(" ".join(words)), "<u4").tobytes()
+
+
 def test_files_are_ordered_by_their_number(spark):
     path = folder(spark, "tokens-many")
     docs = spark.createDataFrame([(1, "one"), (2, "two words")], "doc_id long, text string")

@@ -19,9 +19,9 @@ from tidemark.llm.store import folder
 END_ID = 2
 #: Row groups are what a reader skips by statistics, pages what it skips by the page index (min and max of doc_id).
 ROW_GROUP, PAGE = 16 * 1024 * 1024, 64 * 1024
-BATCH_CHARS = 2_000_000
+BATCH_CHARS, SLICE = 1_000_000, 500  # characters encoded together, and rows of an Arrow batch turned to Python objects at once
 TOGETHER = 1_000  # unseen chunks encoded as one text
-MEMO, MEMO_WORD = 250_000, 64  # chunks in each of the two generations that a worker process remembers, and their characters at most
+MEMO, MEMO_WORD = 500_000, 64  # chunks in each of the two generations that a worker process remembers, and their characters at most
 
 #: Unicode White_Space, Latin letters, and ASCII that is neither: between them the byte-level pre-tokenizer cuts in every
 #: context, before a run of white space that follows anything else and after a run of letters that such ASCII follows.
@@ -50,27 +50,26 @@ class Encoder:
         self.added = re.compile("|".join(added)) if added else None
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        # Bytes that each id stands for: a byte-level token's string has one character per byte.
-        spelled = {i: len(t) for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
-        self.widths = np.array([spelled.get(i, 0) for i in range(max(spelled) + 1)])
+        # Ids whose first byte is a space, which byte-level tokens spell as this letter and no other byte does.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
 
     def _encoded(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def _remember(self, chunks: list[str]) -> None:
         """Chunks of one space and a printed character start where a text is always cut: many are encoded as one text, and its ids
-        are dealt back by the bytes they stand for."""
+        are dealt back by the spaces they start with, one a chunk."""
         plain = [c for c in chunks if c[0] == " " and len(c) > 1 and not c[1].isspace()]
         for at in range(0, len(plain), TOGETHER):
             some = plain[at : at + TOGETHER]
-            ids = np.frombuffer(self._encoded(["".join(some)])[0], "<u4")
-            ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(c.encode()) for c in some])) + 1
-            raw, lo = ids.tobytes(), 0
-            for chunk, hi in zip(some, (4 * ends).tolist()):
-                self.memo[chunk] = raw[lo:hi]
-                lo = hi
-        rest = [c for c in chunks if c not in self.memo]
-        self.memo.update(zip(rest, self._encoded(rest)))
+            raw = self._encoded(["".join(some)])[0]
+            starts = (4 * np.flatnonzero(self.spaced[np.frombuffer(raw, "<u4")])).tolist()
+            self.memo.update(zip(some, [raw[lo:hi] for lo, hi in zip(starts, [*starts[1:], len(raw)])], strict=True))
+        if len(plain) < len(chunks):
+            rest = [c for c in chunks if c not in self.memo]
+            self.memo.update(zip(rest, self._encoded(rest)))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         whole = {i for i, t in enumerate(texts) if t and (DISPUTED.search(t) or self.added and self.added.search(t))}
@@ -116,8 +115,9 @@ def tokenise(tokenizer_path: str, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = encoder(tokenizer_path)
         docs, texts, held = [], [], 0
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        slices = (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE))
+        for part in slices:
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 docs.append(doc), texts.append(text)
                 held += len(text or "")
                 if held >= BATCH_CHARS:
