@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.lazy import LazyFrames
-from tidemark.operators import star
+from tidemark.operators import quality, star
 from tidemark.plans import warehouse_queries
 from tidemark.sources.layers import RULES, layers
 from tidemark.operators.quality import row_violation
@@ -179,3 +179,19 @@ def test_snapshot_bounds_stores_the_raw_tables_it_reads_and_no_other(spark, sf_d
     assert warehouse_queries.bounds(w).count() == 2 * len(warehouse_queries.DATED_COLUMNS)
     raw = layers(w).raw.root.removeprefix("file:")
     assert {n for n in os.listdir(raw) if n != "_drafts"} == set(warehouse_queries.DATED_COLUMNS)
+
+
+def test_event_entity_counts_stores_no_raw_table_and_equals_the_check_of_the_stored_ones(spark, sf_dir, tmp_path):
+    folder = shutil.copytree(sf_dir, tmp_path / "tables")
+    for name, key in (("customer", "c_custkey"), ("orders", "o_orderkey"), ("lineitem", "l_orderkey"), ("events", "user_id")):
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        # Keys that occur twice, and keys that are null.
+        odd = df.unionByName(df.where(F.col(key) % 5 == 0)).unionByName(df.where(F.col(key) % 11 == 0).withColumn(key, F.lit(None).cast(df.schema[key].dataType)))
+        os.chmod(folder, 0o755)
+        os.remove(folder / f"{name}.parquet")
+        odd.write.parquet(str(folder / f"{name}.parquet"))
+    w = Warehouse(spark, str(folder))
+    got = sorted(map(tuple, warehouse_queries.QUERIES["dq_event_entity_counts"](w).collect()))
+    assert not os.path.exists(layers(w).raw.root.removeprefix("file:"))
+    assert got == sorted(map(tuple, quality.event_entity_counts(layers(w).raw).collect()))
+    assert len(got) == 6 and any(r[3] for r in got)
