@@ -68,6 +68,25 @@ def test_many_chunks_encoded_as_one_text_get_their_own_ids():
     assert Encoder(PATH).ids([" ".join(words)])[0] == np.array(encode(" ".join(words)), "<u4").tobytes()
 
 
+def test_the_memory_is_asked_once_a_batch_for_each_chunk():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            Counted.asked += 1
+            return dict.get(self, key)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return dict.__getitem__(self, key)
+
+    codes, text = Encoder(PATH), "été, a rock'n'roll\u3000\xa0 \n 世 b! " * 500
+    codes.memo = Counted()
+    assert codes.ids([text, "", None, text])[3] == np.array(plain()(text), "<u4").tobytes()
+    assert 0 < Counted.asked < 100
+    assert codes.ids(["", None]) == [b"", b""] and codes.ids([]) == []
+
+
 def test_files_are_ordered_by_their_number(spark):
     path = folder(spark, "tokens-many")
     docs = spark.createDataFrame([(1, "one"), (2, "two words")], "doc_id long, text string")
